@@ -1,0 +1,76 @@
+"""Queries of problems 3 and 4, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import dedup, ranking
+from ..session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.copies(table(spark, sf_dir, "search_result"), "result_id", dedup.url_fields(F.col("url")))
+
+
+def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct page with its number of results."""
+    return dedup.copy_counts(table(spark, sf_dir, "search_result"), "result_id", dedup.url_fields(F.col("url")))
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.fuse_rankings(table(spark, sf_dir, "source_score"), table(spark, sf_dir, "search_source"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.agreed_best(_ranking(spark, sf_dir)).select("query_id", "result_id").distinct()
+
+
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ranking of every query."""
+    return _ranking(spark, sf_dir).select("query_id", "result_id", "position", "n_sources", "n_best")
+
+
+QUERIES = {"p3_found": p3_found, "p3_copies": p3_copies, "p4_found": p4_found, "p4_ranking": p4_ranking}
+
+_P3 = r"""
+WITH u AS (SELECT result_id, regexp_replace(url, '\s+', '', 'g') AS u FROM search_result WHERE url IS NOT NULL),
+parts AS (
+  SELECT result_id,
+    regexp_extract(u, '#(.*)$', 1, 's') AS frag,
+    regexp_replace(u, '#.*$', '', 's') AS body
+  FROM u),
+split AS (
+  SELECT result_id, frag, regexp_extract(body, '\?(.*)$', 1, 's') AS query,
+    regexp_replace(regexp_replace(trim(url_decode(regexp_replace(body, '\?.*$', '', 's'))), '^([a-z][a-z0-9+.-]*:)?//+', '', 'i'), '^www\.', '', 'i') AS base
+  FROM parts),
+canon AS (
+  SELECT result_id,
+    lower(regexp_replace(base, '[^\p{L}\p{N}\p{M}]+', '', 'g')) AS base,
+    lower(regexp_replace(url_decode(frag), '[^\p{L}\p{N}\p{M}]+', '', 'g')) AS frag,
+    list_sort(list_filter(list_transform(string_split(query, '&'), lambda p:
+      lower(regexp_replace(url_decode(split_part(p, '=', 1)), '[^\p{L}\p{N}\p{M}]+', '', 'g')) || '=' ||
+      lower(regexp_replace(url_decode(CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END), '[^\p{L}\p{N}\p{M}]+', '', 'g'))),
+      lambda p: p <> '=')) AS pairs
+  FROM split),
+g AS (SELECT result_id, min(result_id) OVER (PARTITION BY base, frag, pairs) AS first_id FROM canon)
+"""
+
+_P4 = """
+WITH last AS (
+  SELECT query_id, result_id, source, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, result_id, source ORDER BY scored_at DESC NULLS LAST, score DESC NULLS LAST) AS rn FROM source_score
+    WHERE result_id IS NOT NULL AND source IS NOT NULL)
+  WHERE rn = 1 AND score IS NOT NULL),
+s AS (SELECT l.*, CASE WHEN lower(x.better) = 'low' THEN -score ELSE score END AS good FROM last l LEFT JOIN search_source x USING (source)),
+b AS (SELECT query_id, source, max(good) AS top FROM s GROUP BY 1, 2),
+t AS (SELECT query_id, source, any_value(result_id) AS result_id FROM s JOIN b USING (query_id, source) WHERE good = top GROUP BY 1, 2 HAVING count(*) = 1),
+n AS (SELECT query_id, count(DISTINCT source) AS n FROM s GROUP BY 1)
+SELECT query_id, result_id FROM t JOIN n USING (query_id) WHERE n >= 3 GROUP BY query_id, result_id, n HAVING count(*) >= n - 1
+"""
+
+ORACLE = {
+    "p3_found": _P3 + "SELECT first_id, result_id AS copy_id FROM g WHERE result_id <> first_id",
+    "p3_copies": _P3 + "SELECT first_id, count(*) AS n_copies FROM g GROUP BY 1 UNION ALL SELECT result_id, 1 FROM search_result WHERE url IS NULL",
+    "p4_found": _P4,
+}
