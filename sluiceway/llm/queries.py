@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import boilerplate, keywords, quality, repeats, templates
+from ..session import cut, table
+from . import boilerplate, keywords, languages, leaks, mixing, quality, repeats, templates
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,77 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_lines(pages, repeats.repeated_lines(pages))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p5_found, p5_lines, p6_found, p6_slots, p7_found, p7_sequences, p7_cleaned)}
+# ------------------------------------------------------------------ 8: leaked evaluation texts
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).filter("own").select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks, those with edits included, with their longest runs."""
+    return _leaks(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ 9: mixing sources
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    counts = cut(mixing.token_counts(table(spark, sf_dir, "documents")))
+    targets = table(spark, sf_dir, "mix_target")
+    return mixing.draw(counts, targets)[0], counts, targets
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn and how often."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached shares of the sources."""
+    return mixing.report(*_mix(spark, sf_dir))
+
+
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the sources by temperature, at the entropy of the wanted shares."""
+    counts = mixing.token_counts(table(spark, sf_dir, "documents"))
+    sizes = {r[0]: r[1] for r in counts.filter("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens")).limit(mixing.MOST_SOURCES).collect()}
+    shares = [r[0] for r in table(spark, sf_dir, "mix_target").select("target_share").limit(mixing.MOST_SOURCES).collect()]
+    weights = mixing.temperature_weights(sizes, mixing.entropy(shares))
+    return spark.createDataFrame([(s, round(w, 6), sizes[s]) for s, w in sorted(weights.items())], "source string, weight double, n_tokens bigint")
+
+
+# ------------------------------------------------------------------ 10: languages
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, languages.Model]:
+    docs = table(spark, sf_dir, "documents")
+    return docs, languages.fit_on(docs, "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = _languages(spark, sf_dir)
+    return languages.unnamed_languages(docs, "doc_id", "text", "lang", model)
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language with its confidence."""
+    docs, model = _languages(spark, sf_dir)
+    return languages.segments(docs, "doc_id", "text", model)
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language of each document with its share and confidence."""
+    return languages.document_languages(p10_segments(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_statistics, p2_found, p5_found, p5_lines, p6_found, p6_slots, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_temperature, p10_found, p10_segments, p10_documents,
+)}
 
 _P7 = r"""
 WITH p AS (
@@ -100,6 +170,13 @@ f AS (SELECT site, key FROM k WHERE key <> '' GROUP BY 1, 2 HAVING count(DISTINC
 
 ORACLE = {
     "p7_found": _P7 + "SELECT DISTINCT page_id, line_no FROM k JOIN f USING (site, key)",
+    "p8_found": r"""
+WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT item_id, text FROM eval_item)),
+g AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM w WHERE len(w) >= 10),
+u AS (SELECT g, min(item_id) AS item_id FROM g GROUP BY g HAVING count(DISTINCT item_id) = 1),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM d WHERE len(w) >= 10)
+SELECT DISTINCT doc_id, item_id FROM h JOIN u USING (g)""",
     "p7_cleaned": _P7
     + """, g AS (SELECT DISTINCT page_id, line_no FROM k JOIN f USING (site, key)),
 a AS (SELECT page_id, list(line_no) AS gone FROM g GROUP BY 1),
