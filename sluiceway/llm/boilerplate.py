@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .keywords import frame_links, line_links
+from .pages import read
 from .passes import map_rows
 
 #: Link bytes per byte from which on short lines are links, and below which they are not.
@@ -22,12 +23,11 @@ LINKED, UNLINKED = 0.65, 0.35
 _FIRST = "page_id bigint, numbers array<int>, sizes array<int>, kinds array<int>"
 
 
-def first_pass(content: str, title: str | None) -> tuple[list[int], list[int], list[int]]:
+def first_pass(content: str, title: str | None, lines: list | None = None) -> tuple[list[int], list[int], list[int]]:
     """(number, UTF-8 bytes, kind) of the non-blank lines; a headline that is the page's title is prose."""
     numbers, sizes, kinds = [], [], []
     heading = B.bare(title).casefold() if title else ""
-    for no, line in enumerate(content.split("\n"), 1):
-        kind = B.kind(line)[0]
+    for no, (line, kind, _, _) in enumerate(read(content) if lines is None else lines, 1):
         if kind == B.BLANK:
             continue
         if kind in (B.SHORT, B.ITEM) and heading and (b := B.bare(line).casefold()) and len(b) > 8 and b in heading:
@@ -98,7 +98,12 @@ def boilerplate_lines(pages: DataFrame, frames: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("bigint"), "content", "title").filter("page_id IS NOT NULL AND content IS NOT NULL")
     first = map_rows(rows, lambda i, x, t: ((i, *first_pass(x, t)),), _FIRST).filter(F.size("kinds") > 0)
-    met = first.join(frame_links(frames), "page_id", "left").select("page_id", "numbers", "sizes", "kinds", "frames")
+    return second_lines(first.join(frame_links(frames), "page_id", "left"))
+
+
+def second_lines(met: DataFrame) -> DataFrame:
+    """The second pass over pages' ``numbers, sizes, kinds`` joined with their ``frames``: ``page_id, line_no``, distinct."""
+    met = met.select("page_id", "numbers", "sizes", "kinds", "frames")
 
     def second(i, numbers, sizes, kinds, frames):
         return ((i, no) for no, bad in zip(numbers, second_pass(sizes, kinds, frames), strict=True) if bad)

@@ -73,9 +73,8 @@ def link_share(sizes: list[int], kinds: list[int], frames: list | None) -> float
 LINK_LIST = 0.55
 
 
-def judge(facts: DataFrame, links: DataFrame) -> DataFrame:
-    """``page_id, stuffed, link_list`` of each page with facts."""
-    met = facts.join(links, "page_id", "left")
+def judge(met: DataFrame) -> DataFrame:
+    """``page_id, stuffed, link_list`` of each page, from its facts joined with its ``frames``."""
 
     def rule(i, cover, long_cover, often, stop, multi, tags, words, sizes, kinds, frames):
         core = prose = machine = 0
@@ -98,5 +97,5 @@ def keyword_pages(pages: DataFrame, frames: DataFrame) -> DataFrame:
     and tables have neither repeats across items nor links. Null or blank content is no case,
     missing frames or link counts leave the words to decide. Distinct ids.
     """
-    return judge(page_facts(pages), frame_links(frames)).filter("stuffed OR link_list").select("page_id").distinct()
+    return judge(page_facts(pages).join(frame_links(frames), "page_id", "left")).filter("stuffed OR link_list").select("page_id").distinct()
 

@@ -44,11 +44,17 @@ def count_line(v: list[int], kind: int, n: int, k: int, stops: int, ended: bool)
             v[CORE_LONG] += n
 
 
-def counts(text: str) -> list[int]:
-    """Counts of a whole text."""
+def read(text: str) -> list[tuple[str, int, int, int]]:
+    """(line, kind, words, function words) of each line of a text."""
+    return [(line, *B.kind(line)) for line in text.split("\n")]
+
+
+def counts(text: str, lines: list | None = None) -> list[int]:
+    """Counts of a whole text; ``lines`` are its lines as read, if they are."""
     v = [0] * WIDTH
-    for line in text.split("\n"):
-        add_line(v, line)
+    for line, kind, k, stops in read(text) if lines is None else lines:
+        n = len(line.strip())
+        count_line(v, kind, n, k, stops, bool(n and B._END.search(line.rstrip()[-40:])))
     v[WORD_CHARS] = len(text) - sum(map(str.isspace, text)) if len(text) < 64 else len("".join(text.split()))
     v[SYMBOLS] = len(_SYMBOL.findall(text))
     return v
@@ -77,7 +83,7 @@ _HASH = re.compile(r"(?:^|\s)#\w{3,}")
 _HOST = re.compile(r"^(?:[•*·-]\s+|\d+[.)]\s+)?(?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?$")
 
 
-def keyword_facts(content: str) -> tuple[float, float, float, float, float, float, int, list[int], list[int]]:
+def keyword_facts(content: str, lines: list | None = None) -> tuple[float, float, float, float, float, float, int, list[int], list[int]]:
     """Facts on keyword stuffing in a page's text, boilerplate aside.
 
     (share of characters in repeats, in repeats of two words or more, in repeats that occur three
@@ -86,8 +92,7 @@ def keyword_facts(content: str) -> tuple[float, float, float, float, float, floa
     """
     core, sizes_of, kinds = [], [], []
     words_n = stops_n = 0
-    for line in content.split("\n"):
-        kind, k, stops = B.kind(line)
+    for line, kind, k, stops in read(content) if lines is None else lines:
         if kind == B.BLANK:
             continue
         sizes_of.append(len(line) if line.isascii() else len(line.encode()))
@@ -150,6 +155,7 @@ _FILLER_LINE = re.compile(
     r"welcome to your new (?:site|blog|page)\b.{0,140}|(?:hello world|sample page|just another .{1,40} site|content goes here|coming soon: content).{0,60}|.{0,40}\bgoes here\b.{0,60}|replace (?:it|this|me) with\b.{0,60}|.{0,60}\bclick to edit\b.{0,20}|edit or delete (?:it|this)\b.{0,80})\.?",
     re.I,
 )
+_FILLER_HINT = re.compile("text|title|headline|heading|content|description|tagline|caption|story|name|lorem|placeholder|todo|tbd|fixme|tk|sample|example|dummy|test|welcome to|hello world|goes here|replace|click to|edit or|another", re.I)
 _FILLER_TITLE = re.compile(
     r"(?:your (?:title|headline|page title|text|name) here|(?:insert|add|enter) (?:a |your )?(?:title|headline|name)(?: here)?|(?:untitled|unnamed)(?: (?:document|page|post|\d+))?|(?:new|sample|example|test|blank|default) (?:page|post|document|site|title)(?: \d+)?|(?:page )?title(?: here)?|lorem ipsum.*|hello world!?|placeholder(?: title)?|no title|null|undefined|nan)",
     re.I,
@@ -197,7 +203,7 @@ def _variables(line: str) -> int:
     return n
 
 
-def residue(title: str | None, content: str | None) -> tuple[int, str | None, list[str]]:
+def residue(title: str | None, content: str | None, lines: list | None = None) -> tuple[int, str | None, list[str]]:
     """What of a page is template residue, its whole text as a template if it is short, its slots.
 
     Returns bits (``VAR`` unfilled variable, ``FILLER``, ``NOTICE`` error or script notice, ``TITLE``
@@ -207,12 +213,9 @@ def residue(title: str | None, content: str | None) -> tuple[int, str | None, li
     bits = 0
     slots: list[str] = []
     core: list[str] = []
-    words = prose = 0
-    lorem = lorem_of = 0
-    filler = 0
+    words = lorem = filler = 0
     if content is not None and not content.isspace():
-        for line in content.split("\n"):
-            kind, k, stops = B.kind(line)
+        for line, kind, k, stops in read(content) if lines is None else lines:
             if kind == B.BLANK:
                 continue
             if _MARKS.intersection(line) and kind not in (B.LOG, B.JUNK) and (kind != B.CODE or len(line) < 200) and (v := _variables(line)):
@@ -223,14 +226,12 @@ def residue(title: str | None, content: str | None) -> tuple[int, str | None, li
                 continue
             words += k
             core.append(line)
-            if k < 40 and _FILLER_LINE.fullmatch(B.bare(line)):
+            if k <= 25 and _FILLER_HINT.search(line) and _FILLER_LINE.fullmatch(B.bare(line)):
                 filler += 1
-            ws = line.lower().split()
-            if stops * 4 < k or kind == B.ITEM:
-                hit = sum(w.strip(".,;:") in LOREM for w in ws)
-                if hit * 4 >= k and k >= 3:
+            if (stops * 4 < k or kind == B.ITEM) and k >= 3:
+                hit = sum(w.strip(".,;:") in LOREM for w in line.lower().split())
+                if hit * 4 >= k:
                     lorem += hit
-                lorem_of += k
     if filler or (lorem >= 4 and lorem * 3 >= max(words, 1) * 0.5):
         bits |= FILLER
     skel = None

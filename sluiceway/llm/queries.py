@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import boilerplate, keywords, languages, leaks, mixing, quality, repeats, templates
+from . import boilerplate, keywords, languages, leaks, mixing, quality, repeats, review, templates
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,7 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    junk = _counted(spark, sf_dir).filter(quality.listlike(F.col("v"))).select(F.col("id").alias("page_id"))
-    return junk.unionByName(p2_found(spark, sf_dir)).distinct().join(p6_found(spark, sf_dir), "page_id", "left_anti")
+    return review.Review(_pages(spark, sf_dir), _frames(spark, sf_dir)).list_pages()
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +43,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    junk = _counted(spark, sf_dir).filter(quality.listlike(F.col("v"))).select(F.col("id").alias("page_id"))
-    out = junk.unionByName(p2_found(spark, sf_dir)).unionByName(p6_found(spark, sf_dir)).distinct()
-    return boilerplate.boilerplate_lines(pages, _frames(spark, sf_dir)).join(out, "page_id", "left_anti")
+    return review.Review(_pages(spark, sf_dir), _frames(spark, sf_dir)).boilerplate_lines()
 
 
 def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
