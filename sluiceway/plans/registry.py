@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records
+from . import markup, records, web
 
-_MODULES = [records]
+_MODULES = [web, markup, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.p4_ranking(spark, sf_dir)
+    return web.flagship(spark, sf_dir)
