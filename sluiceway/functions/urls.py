@@ -131,6 +131,22 @@ def join_link(base: Column, href: Column) -> Column:
     return F.when(href.rlike(plain), cut).when(href.rlike(rooted) & (root != ""), F.concat(root, cut)).otherwise(_join_udf(base, href))
 
 
+def _without_dots(path: str) -> str:
+    """A path with its ``.`` and ``..`` segments carried out."""
+    if "/." not in path:
+        return path
+    kept: list[str] = []
+    parts = path.split("/")[1:]
+    for p in parts:
+        if p.lower() in ("..", "%2e%2e", ".%2e", "%2e."):
+            kept = kept[:-1]
+        elif p.lower() not in (".", "%2e"):
+            kept.append(p)
+    if parts[-1].lower() in (".", "..", "%2e", "%2e%2e"):
+        kept.append("")
+    return "/" + "/".join(kept)
+
+
 _PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 
 
@@ -158,7 +174,7 @@ def resolved(base: str | None, canonical: str | None) -> str | None:
         port = p.port
         user = p.netloc.rpartition("@")[0]
         where = (user + "@" if user else "") + host.lower() + (f":{port}" if port is not None and port != _PORTS.get(p.scheme) else "")
-        path = (p.path or "/").replace(" ", "%20")
+        path = _without_dots(p.path or "/").replace(" ", "%20")
         out = f"{p.scheme}://{where}{path}"
         if p.query or "?" in joined.split("#")[0]:
             out += f"?{p.query}".replace(" ", "%20")

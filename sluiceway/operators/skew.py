@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut as cut_lineage
+
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows, so that at most HOT_PARTS keys are hot.
 HOT_PARTS = 1000
 #: No key below this many rows is hot: one task sorts that many with ease.
@@ -54,11 +56,12 @@ def grouped_rank(df: DataFrame, group: list[str], value: str, total_rows: int, b
         w = Window.partitionBy(*group)
         below = w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return dist.select(*group, value, F.coalesce(F.sum("n_equal").over(below), F.lit(0)).alias("n_less"), "n_equal", F.sum("n_equal").over(w).alias("n_all"))
+    dist = cut_lineage(dist)  # read four times below
     sizes = dist.groupBy(*group).agg(F.sum("n_equal").alias("n_all"))
     edges = join_groups(df.select(*group, value), sizes.filter(F.col("n_all") > limit), group, "n_all", total_rows)
     edges = edges.groupBy(*group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("edges"))
     sizes = sizes.join(F.broadcast(edges), group, "left")  # at most HOT_PARTS rows of fixed size
-    cut = join_groups(dist, sizes, group, "n_all", total_rows)
+    cut = join_groups(dist, cut_lineage(sizes), group, "n_all", total_rows)
     bucket: Column = F.coalesce(F.aggregate("edges", F.lit(0), lambda n, e: n + (F.col(value) > e).cast("int")), F.lit(0))
     cut = cut.withColumn("bucket", bucket).drop("edges")
     per = cut.groupBy(*group, "bucket").agg(F.sum("n_equal").alias("in_bucket"))
