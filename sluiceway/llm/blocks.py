@@ -168,7 +168,7 @@ def _judge(line: str, s: str, n: int, k: int, share: float) -> int:
             return JUNK
         if _LOG.search(s):
             return LOG
-        if share < 0.2 and _CODE.search(line):
+        if share < 0.25 and _CODE.search(line):
             return CODE
         tokens = s.replace("|", " ").replace(";", " ").split()
         num = sum(_CELL.match(t) is not None for t in tokens)

@@ -20,11 +20,13 @@ from .passes import map_rows
 
 #: Link bytes per byte from which on short lines are links, and below which they are not.
 LINKED, UNLINKED = 0.65, 0.35
+#: Undecided lines in a row at the end of a page that are links.
+LINK_RUN = 3
 _FIRST = "page_id bigint, numbers array<int>, sizes array<int>, kinds array<int>"
 
 
 def first_pass(content: str, title: str | None, lines: list | None = None) -> tuple[list[int], list[int], list[int]]:
-    """(number, UTF-8 bytes, kind) of the non-blank lines; a headline that is the page's title is prose."""
+    """(number, UTF-8 bytes, kind) of the non-blank lines; a headline that is the page's title, or a short line that starts small, is prose."""
     numbers, sizes, kinds = [], [], []
     heading = B.bare(title).casefold() if title else ""
     for no, (line, kind, _, _) in enumerate(read(content) if lines is None else lines, 1):
@@ -32,6 +34,8 @@ def first_pass(content: str, title: str | None, lines: list | None = None) -> tu
             continue
         if kind in (B.SHORT, B.ITEM) and heading and (b := B.bare(line).casefold()) and len(b) > 8 and b in heading:
             kind = B.PROSE
+        elif kind == B.SHORT and (line.lstrip(" >\t")[:1]).islower():  # a sentence in passing, no heading
+            kind = B.PROSE
         numbers.append(no)
         sizes.append(len(line) if line.isascii() else len(line.encode()))
         kinds.append(kind)
@@ -79,15 +83,18 @@ def second_pass(sizes: list[int], kinds: list[int], frames: list | None) -> list
             out[i] = bool(label[i])
             continue
         p, q = before[i], nxt
+        run = (q[0] if q else n) - (p[0] if p else -1) - 1  # undecided lines in a row
         if p is None or q is None:
-            only = p or q
-            out[i] = bool(only and only[1])
+            # a list of headings after the body's end is one of links
+            out[i] = run >= LINK_RUN if q is None and p is not None and not p[1] else bool((p or q) and (p or q)[1])
         elif p[1] == q[1]:
             out[i] = p[1]
-        elif q[0] - p[0] == 2:  # alone between body and boilerplate: a subhead while the body goes on, else a link
-            out[i] = not later_body
-        else:
-            out[i] = p[1] if i - p[0] < q[0] - i else q[1]
+        elif p[1]:  # boilerplate before, body after
+            out[i] = i - p[0] < q[0] - i
+        elif not later_body:
+            out[i] = True
+        else:  # body before, boilerplate after, and more body behind it: a subhead if alone
+            out[i] = run > 1 and q[0] - i < i - p[0]
     return out
 
 

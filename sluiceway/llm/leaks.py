@@ -30,7 +30,7 @@ WINDOW = RUN - STRIDE + 1
 #: Edits between a document's window and an item's that the candidates should bridge, and the recall aimed at.
 EDITS, RECALL = 1, 0.9
 #: Sampled positions of the walk to a key.
-SAMPLED = 8
+SAMPLED = 5
 MOST_REPEATS = 16
 #: Words of all items together that one index may hold; larger sets are refused.
 MOST_WORDS = 5_000_000
@@ -48,7 +48,8 @@ class Walk:
     def __init__(self, seed: int, window: int, sampled: int):
         rng = np.random.default_rng(seed)
         self.steps = 3 * window
-        self.at = np.sort(rng.choice(2 * window, min(sampled, 2 * window), replace=False))
+        k = min(sampled, 2 * window)
+        self.at = np.unique(((np.arange(k) + rng.random(k)) * 2 * window / k).astype(int))  # one of each k-th part of the walk
         self.bits = rng.integers(1, 2**63 - 1, self.steps, dtype=np.int64) | 1
         self.mul = rng.integers(1, 2**63 - 1, dtype=np.int64) | 1
         self.window = window
@@ -127,33 +128,33 @@ class Index:
         self.places = base[self.owner] + self.start if len(owner) else np.zeros(0, dtype=np.int64)
         self.walks: list[Walk] = []
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in range(self._repeats(seed, recall)):
-            walk = Walk(seed * 1000 + r, self.window, SAMPLED)
+        edited = self._edited(seed)
+        missed = np.ones(len(edited) // self.window, dtype=bool)
+        at = np.arange(len(missed)) * self.window
+        while not self.walks or (missed.sum() > (1 - recall) * len(missed) and len(self.walks) < MOST_REPEATS):
+            walk = Walk(seed * 1000 + len(self.walks), self.window, SAMPLED)
             keys = walk.keys(self.flat, self.places)
             order = np.argsort(keys, kind="stable")
             self.walks.append(walk)
             self.tables.append((keys[order], order))
+            if len(missed):
+                missed &= walk.keys(edited, at) != keys[self._picked]
+        self.recall = 1 - missed.mean() if len(missed) else 1.0
 
-    def _repeats(self, seed: int, recall: float) -> int:
-        """Walks needed for windows at ``edits`` edits to collide with ``recall``, measured on edited item windows."""
+    def _edited(self, seed: int) -> np.ndarray:
+        """Windows of items with ``edits`` words replaced, end to end: walks are added until they find these."""
         if not self.edits or not len(self.places):
-            return 1
+            self._picked = np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.int64)
         rng = np.random.default_rng(seed + 1)
-        pick = rng.choice(self.places, min(2000, len(self.places)), replace=False)
-        one = self.flat[pick[:, None] + np.arange(self.window)]
-        edited = one.copy()
+        self._picked = rng.integers(0, len(self.places), 2000)
+        out = self.flat[self.places[self._picked][:, None] + np.arange(self.window)]
         for _ in range(self.edits):
-            at = rng.integers(0, self.window, len(pick))
-            edited[np.arange(len(pick)), at] = rng.integers(2, 2**62, len(pick)) | 1
-        walk = Walk(seed * 1000 + 999, self.window, SAMPLED)
-        starts = np.arange(len(pick)) * self.window
-        hit = (walk.keys(one.ravel(), starts) == walk.keys(edited.ravel(), starts)).mean()
-        if hit <= 0:
-            return MOST_REPEATS
-        return min(MOST_REPEATS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(hit, 1 - 1e-9)))))
+            out[np.arange(len(out)), rng.integers(0, self.window, len(out))] = rng.integers(2, 2**62, len(out)) | 1
+        return out.ravel()
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct (window of the document, window of an item), as numbers of ``starts`` and of the index."""
+        """Distinct (window of the document, window of an item) that collide and lie near each other, as numbers of ``starts`` and of the index."""
         pairs = []
         for walk, (keys, order) in zip(self.walks, self.tables, strict=True):
             mine = walk.keys(codes, starts)
@@ -166,7 +167,7 @@ class Index:
             n = hi - lo[there]
             rows = np.repeat(there, n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack([rows, order[np.repeat(lo[there], n) + within]], 1))
+            pairs.append(self.near(codes, starts, np.stack([rows, order[np.repeat(lo[there], n) + within]], 1)))
         if not pairs:
             return np.zeros((0, 2), dtype=np.int64)
         both = np.concatenate(pairs)
@@ -301,7 +302,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: in
             starts = np.concatenate(starts) if len(starts) else np.zeros(0, dtype=np.int64)
             found: dict[tuple[int, int], list] = {}
             if len(starts) and len(ix.owner):
-                pairs = ix.telling(codes, starts, ix.near(codes, starts, ix.candidates(codes, starts)))
+                pairs = ix.telling(codes, starts, ix.candidates(codes, starts))
                 doc_of, item_of = owner[pairs[:, 0]], ix.owner[pairs[:, 1]]
                 at_of, s_of = starts[pairs[:, 0]], ix.start[pairs[:, 1]]
                 # one comparison for each diagonal of two texts: its run is the longest on it

@@ -28,7 +28,7 @@ def _facts(i, url, title, content):
     facts = P.keyword_facts(text, lines)
     numbers, _, headed = boilerplate.first_pass(text, title, lines)
     own = facts[8]
-    heading = [at for at, (a, b) in enumerate(zip(own, headed, strict=True)) if a != b]  # lines that repeat the title
+    heading = [at for at, (a, b) in enumerate(zip(own, headed, strict=True)) if a != b]  # lines that read as prose in this place
     bits, skeleton, _ = P.residue(title, content, lines)
     yield i, listlike, *facts, numbers, heading, templates.site_of(url), bits, skeleton
 
