@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .skew import join_groups
 
 _P1, _P2 = 2305843009213693951, 2305843009213693921  # the two largest primes below 2**61
@@ -78,10 +79,12 @@ def collapse(df: DataFrame, id_col: str, fields: Column) -> DataFrame:
     first = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.min_by("fields", "id").alias("first_fields"))
     first = first.filter("n > 1")
     met = join_groups(keys, first, ["h1", "h2"], "n", df.count())
-    met = met.withColumn("same", _same(F.col("fields"), F.col("first_fields")))
-    good = met.filter("same").select("first_id", "id")
+    same = _same(F.col("fields"), F.col("first_fields"))
+    # two numbers a copy, read by both branches below
+    met = cut(met.select("id", "first_id", F.when(~same, F.array_sort("fields")).alias("key")))
+    good = met.filter("key IS NULL").select("first_id", "id")
     # records whose fingerprint collides with another record's: settled exactly among themselves
-    rest = met.filter("NOT same").select("id", F.array_sort("fields").alias("key"))
+    rest = met.filter("key IS NOT NULL").select("id", "key")
     least = rest.groupBy("key").agg(F.min("id").alias("first_id"))
     return good.unionByName(rest.join(least, "key").select("first_id", "id"))
 
