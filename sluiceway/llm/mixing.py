@@ -196,7 +196,7 @@ def draw(counts: DataFrame, targets: DataFrame, budget: float | None = None, see
     before = F.col("last_block").isNull() | (F.col("block") < F.col("last_block")) | ((F.col("block") == F.col("last_block")) & (F.col("sub") < F.col("last_sub")))
     rest = docs.filter(~F.coalesce(edge, F.lit(False))).withColumn("extra", F.coalesce(before, F.lit(False)).cast("int"))
     cols = ["doc_id", "source", "n_tokens", "whole", "rest", "extra", "h"]
-    both = rest.select(*cols).unionByName(taken.select(*cols))
+    both = cut(rest.select(*cols).unionByName(taken.select(*cols)))  # a few numbers a document, read three times below
     # what is still missing goes to the one document left whose size comes closest, if it comes closer than none
     short = both.groupBy("source").agg((F.first("rest") - F.sum(F.col("n_tokens") * F.col("extra"))).alias("gap"))
     open_ = both.filter("extra = 0").join(F.broadcast(short), "source")

@@ -145,7 +145,7 @@ VARIABLE = re.compile(
 )
 _MARKS = frozenset("{}[]<>%@$_")
 # Words of a sentence that explains a variable or a filler instead of leaving it unfilled.
-_EXPLAINS = re.compile(r"\b(?:such as|stands? for|for example|in the example|an? example|example of|called|named|means?|known as|turns? an?|replaces|written as|the mark|the tag|the variable|placeholder for|template engine|syntax)\b", re.I)
+_EXPLAINS = re.compile(r"\b(?:such as|stands? for|for example|in the example|an? example|example of|called|named|means?|known as|turns? an?|replaces|written as|the mark|the tag|the variable|placeholders?|templates?|syntax)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 # Filler of fresh sites and editors.
