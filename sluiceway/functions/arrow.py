@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def arrow_function(return_type: str) -> Callable:
     """As ``pandas_udf(return_type)``, but set up at each use."""
@@ -15,6 +17,7 @@ def arrow_function(return_type: str) -> Callable:
     def decorate(fn: Callable) -> Callable[..., Column]:
         @wraps(fn)
         def call(*columns) -> Column:
+            ship(SparkSession.active())
             return F.pandas_udf(fn, return_type)(*columns)
 
         return call

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 100_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, so that they need no path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sluiceway_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # already an archive on a worker otherwise
+        path = os.path.join(tempfile.mkdtemp(prefix="sluiceway-"), f"{root.name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        sc.addPyFile(path)
+    sc._sluiceway_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.arrow import arrow_function
 from .html import Selector, squeeze, tree
 
 RESULT = "array<struct<title:string,url:string,description:string,image:string>>"
@@ -160,7 +161,7 @@ def _udf(fn):
         return pd.Series(out, dtype=object)
 
     run.__annotations__ = {"body": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, RESULT)
+    return arrow_function(RESULT)(run)
 
 
 def brave(df: DataFrame) -> DataFrame:
