@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 #: Bytes of text that one pass holds at once, besides a single text beyond it.
 SLICE = 16 << 20
 
@@ -19,6 +21,7 @@ def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     Rows are handed to Python in Arrow batches and written back in slices, so memory stays bounded
     by the largest texts. No shuffle.
     """
+    ship(df.sparkSession)
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
@@ -41,6 +44,7 @@ def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """``make()`` is called once a task and gives ``fn(*columns as lists) -> columns as lists``, batch by batch."""
+    ship(df.sparkSession)
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
