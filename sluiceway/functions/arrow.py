@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
-def arrow_function(return_type: str) -> Callable:
-    """As ``pandas_udf(return_type)``, but set up at each use."""
+def arrow_function(return_type: str, once: bool = False) -> Callable:
+    """As ``pandas_udf(return_type)``, but set up at each use.
+
+    ``once`` keeps the optimizer from copying the call into filters that it moves down, which would
+    run a costly function twice.
+    """
 
     def decorate(fn: Callable) -> Callable[..., Column]:
         @wraps(fn)
         def call(*columns) -> Column:
             ship(SparkSession.active())
-            return F.pandas_udf(fn, return_type)(*columns)
+            udf = F.pandas_udf(fn, return_type)
+            return (udf.asNondeterministic() if once else udf)(*columns)
 
         return call
 

@@ -82,7 +82,7 @@ def viable(tag: Column, n: Column) -> Column:
     return ~tag_kind(tag).isin("header", "list") & (n >= LEAST_BYTES)
 
 
-@arrow_function(SCHEMA)
+@arrow_function(SCHEMA, once=True)
 def frames_of(html: pd.Series) -> pd.DataFrame:
     """Title, canonical url, text chunks and element frames of pages; nulls for a null page."""
     rows = [read_frames(h) or (None, None, None, None) for h in html]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import lists, search
-from ..session import table
+from ..session import spread, table
 
 FEED_QUERY = "the old Council bridge the"
 AS_OF = "2024-01-05 00:00:00"
@@ -117,7 +117,7 @@ def rank_fusion_adjusted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feed_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "title", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "title", "text"))
     return search.feed_search(docs, F.lit(FEED_QUERY), "title", "text").select("doc_id", "score")
 
 

@@ -29,6 +29,15 @@ def ship(spark: SparkSession) -> None:
     sc._sluiceway_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt out over all cores; larger scans, which have partitions enough, stay as they are.
+
+    Only for plans that read files without a shuffle. What is moved is less than a partition's size times the cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one Parquet table of a data folder."""
     ship(spark)
