@@ -104,7 +104,7 @@ def boilerplate_lines(pages: DataFrame, frames: DataFrame) -> DataFrame:
     Null content has no lines. Frames that don't fit a page's text, or miss, leave lines to the other rules.
     """
     rows = pages.select(F.col("page_id").cast("bigint"), "content", "title").filter("page_id IS NOT NULL AND content IS NOT NULL")
-    first = map_rows(rows, lambda i, x, t: ((i, *first_pass(x, t)),), _FIRST).filter(F.size("kinds") > 0)
+    first = map_rows(rows, lambda i, x, t: ((i, *first_pass(x, t)),), _FIRST, scan=True).filter(F.size("kinds") > 0)
     return second_lines(first.join(frame_links(frames), "page_id", "left"))
 
 

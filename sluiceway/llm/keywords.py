@@ -21,7 +21,7 @@ _FACTS = "page_id bigint, cover double, long_cover double, often double, stop do
 def page_facts(pages: DataFrame) -> DataFrame:
     """Facts on each page's words and lines; null content gives none."""
     rows = pages.select(F.col("page_id").cast("bigint"), "content").filter("page_id IS NOT NULL AND content IS NOT NULL")
-    return map_rows(rows, lambda i, t: ((i, *P.keyword_facts(t)),), _FACTS)
+    return map_rows(rows, lambda i, t: ((i, *P.keyword_facts(t)),), _FACTS, scan=True)
 
 
 def frame_links(frames: DataFrame) -> DataFrame:

@@ -289,7 +289,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
 
         return batch
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint"), text_col), make, _SEGMENTS)
+    return map_batches(docs.select(F.col(id_col).cast("bigint"), text_col), make, _SEGMENTS, scan=True)
 
 
 def document_languages(segs: DataFrame) -> DataFrame:

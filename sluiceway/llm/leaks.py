@@ -324,4 +324,4 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: in
 
         return batch
 
-    return map_batches(docs.select(docs[id_col].cast("bigint"), text_col), make, "doc_id bigint, item_id bigint, run int, edits int, own boolean")
+    return map_batches(docs.select(docs[id_col].cast("bigint"), text_col), make, "doc_id bigint, item_id bigint, run int, edits int, own boolean", scan=True)

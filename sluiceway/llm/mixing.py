@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def make():
         return lambda ids, sources, texts: (ids, sources, [count_tokens(t, tokenizer) if t else 0 for t in texts])
 
-    counted = map_batches(rows, make, "doc_id bigint, source string, n_tokens bigint")
+    counted = map_batches(rows, make, "doc_id bigint, source string, n_tokens bigint", scan=True)
     return counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens"))
 
 

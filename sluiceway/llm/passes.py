@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import ship, spread
 
 #: Bytes of text that one pass holds at once, besides a single text beyond it.
 SLICE = 16 << 20
 
 
-def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable, schema: str, scan: bool = False) -> DataFrame:
     """``fn(*values of a row) -> iterable of output tuples``, row by row inside Arrow batches.
 
     Rows are handed to Python in Arrow batches and written back in slices, so memory stays bounded
-    by the largest texts. No shuffle.
+    by the largest texts. ``scan`` says that ``df`` only reads files: small ones are then spread over all cores.
     """
     ship(df.sparkSession)
     struct = StructType.fromDDL(schema)
@@ -39,10 +39,10 @@ def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                     out, n = [[] for _ in arrow], 0
         yield _batch(out, arrow)
 
-    return df.mapInArrow(run, struct)
+    return (spread(df) if scan else df).mapInArrow(run, struct)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, scan: bool = False) -> DataFrame:
     """``make()`` is called once a task and gives ``fn(*columns as lists) -> columns as lists``, batch by batch."""
     ship(df.sparkSession)
     struct = StructType.fromDDL(schema)
@@ -54,7 +54,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
             for part in _slices(batch):
                 yield _batch(fn(*(c.to_pylist() for c in part.columns)), arrow)
 
-    return df.mapInArrow(run, struct)
+    return (spread(df) if scan else df).mapInArrow(run, struct)
 
 
 def _values(column):

@@ -130,7 +130,7 @@ def counts(df: DataFrame, id_col: str, text: Column, chunk: int = CHUNK) -> Data
     repeated rows of an id count once where they are exact copies.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
-    short = map_rows(rows.filter(F.length("t") <= chunk), lambda i, t: ((i, P.counts(t)),), _STATS)
+    short = map_rows(rows.filter(F.length("t") <= chunk), lambda i, t: ((i, P.counts(t)),), _STATS, scan=True)
     long = rows.filter(F.length("t") > chunk).dropDuplicates(["id"])
     pieces = long.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int")), lambda i: F.substring(F.col("t"), i * chunk + 1, F.lit(chunk)))).alias("at", "t"))
     state = map_rows(pieces.repartition("id", "at"), lambda i, at, t: ((i, at, json.dumps(partial(t))),), "id bigint, at int, s string")

@@ -39,7 +39,7 @@ class Review:
     def __init__(self, pages: DataFrame, frames: DataFrame):
         self.pages, self.frames = pages, frames
         rows = pages.select(F.col("page_id").cast("bigint"), "url", "title", "content").filter("page_id IS NOT NULL AND (title IS NOT NULL OR content IS NOT NULL)")
-        facts = map_rows(rows, _facts, _FACTS)
+        facts = map_rows(rows, _facts, _FACTS, scan=True)
         self.facts = cut(facts.withColumns({"h": F.xxhash64("skeleton"), "m": F.md5("skeleton")}).drop("skeleton"))
         self.met = self.facts.join(keywords.frame_links(frames), "page_id", "left")
 
