@@ -8,27 +8,20 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import urlsplit
 from urllib.request import Request, urlopen
+from urllib.robotparser import RobotFileParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import urls
-from ..functions.arrow import arrow_function
 from ..session import cut
-from ..sources.html import hrefs
-
-
-@arrow_function("array<string>")
-def anchors(html: pd.Series) -> pd.Series:
-    """Every ``href`` of every link of a page, in order."""
-    return pd.Series([hrefs(h) for h in html], dtype=object)
+from ..sources import harvest
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``src_url, dst_url``: each page's links, resolved and without fragments; unreadable ones fall out."""
-    flat = pages.select(F.col(url).alias("src_url"), F.explode(anchors(F.col(html))).alias("href"))
+    flat = pages.select(F.col(url).alias("src_url"), F.explode(harvest.anchors(F.col(html))).alias("href"))
     return flat.select("src_url", urls.join_link(F.col("src_url"), F.col("href")).alias("dst_url")).filter("dst_url IS NOT NULL")
 
 
@@ -94,6 +87,7 @@ class PoliteReader(DataSourceReader):
         self.timeout = float(options.get("timeout", "10"))
         self.agent = options.get("agent", "Mozilla/5.0 (compatible; sluiceway)")
         self.exclude = [p for p in options.get("exclude", "").split() if p]
+        self.robots = options.get("robots", "true").lower() == "true"
 
     def partitions(self):
         by: dict[str, list[str]] = {}
@@ -102,8 +96,24 @@ class PoliteReader(DataSourceReader):
                 by.setdefault(urlsplit(u).netloc, []).append(u)
         return [_Site(v) for v in by.values()] or [_Site([])]
 
+    def _rules(self, url: str) -> RobotFileParser | None:
+        """A host's rules; None, which allows all, without any that can be read."""
+        parts = urlsplit(url)
+        if not self.robots or parts.scheme not in ("http", "https"):
+            return None
+        try:
+            with urlopen(Request(f"{parts.scheme}://{parts.netloc}/robots.txt", headers={"User-Agent": self.agent}), timeout=self.timeout) as r:  # noqa: S310
+                rules = RobotFileParser()
+                rules.parse(r.read().decode("utf-8", "ignore").splitlines())
+                return rules
+        except Exception:  # noqa: BLE001
+            return None
+
     def read(self, partition) -> Iterator[tuple]:
+        rules = self._rules(partition.urls[0]) if partition.urls else None
         for n, url in enumerate(partition.urls):
+            if rules is not None and not rules.can_fetch(self.agent, url):
+                continue
             if n:
                 time.sleep(self.delay)
             try:

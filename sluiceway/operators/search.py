@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,3 +109,29 @@ def empty_page(template: str) -> str:
     for mark in ("QUERY", "STATUS", "RESULTS"):
         template = template.replace("{{" + mark + "}}", "")
     return template
+
+
+def stream_page(results: DataFrame, template: str, q: str, columns: tuple[tuple[str, str], ...] = (("Web", "column-big"), ("Discovery", "column"))) -> Iterator[str]:
+    """A result page piece by piece: head, each column's label and cards, tail.
+
+    ``results`` has ``column_no, position, card``; rows arrive in order, one partition at a time in the
+    driver, so the page is never held as a whole.
+    """
+    head, tail = (r for r in results.sparkSession.range(1).select(*page_parts(template, F.lit(q))).first())
+    yield head
+    yield '<div id="results">'
+    at = -1
+    for row in results.orderBy("column_no", "position").select("column_no", "card").toLocalIterator():
+        while at < row["column_no"]:
+            if at >= 0:
+                yield "</div>"
+            at += 1
+            yield f'<div class="{columns[at][1]}"><div class="column-label">{columns[at][0]}</div>'
+        yield row["card"]
+    while at < len(columns) - 1:
+        if at >= 0:
+            yield "</div>"
+        at += 1
+        yield f'<div class="{columns[at][1]}"><div class="column-label">{columns[at][0]}</div>'
+    yield "</div></div>"
+    yield tail

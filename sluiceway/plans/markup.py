@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import crawl, index, readability
 from ..session import table
-from ..sources import parsers
+from ..sources import harvest, parsers
 from ..streaming import pipelines
 
 AS_OF = "2024-01-05 00:00:00"
@@ -163,6 +163,39 @@ def cached_sources(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.snapshot(log, "key", "fetched_at", F.col("ok"), F.to_timestamp(F.lit(AS_OF)))
 
 
+def _linking(spark: SparkSession, d: str) -> DataFrame:
+    """Markup that links to every result: plainly, through the visit service, and as a listing."""
+    u = text.html_escape(F.lower(F.trim("url")))
+    host = urls.url_host(F.lower(F.trim("url")))
+    html = F.concat(F.lit('<a href="'), u, F.lit('">x</a><a href="/local">y</a><a href="https://api.smallweb.cc/db/visit/'), host, F.lit('/feed">z</a><a class="title may-blank outbound" href="'), u, F.lit('">t</a><span class="next-button"><a href="?after=1">next</a></span>'))
+    return table(spark, d, "search_result").filter("url IS NOT NULL").select(html.alias("html"), F.lower(F.trim("url")).alias("u"))
+
+
+def anchor_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.anchor_hosts(_linking(spark, d))
+
+
+def visit_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.visit_hosts(_linking(spark, d))
+
+
+def listing_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.listing_hosts(_linking(spark, d))
+
+
+def markdown_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.text_hosts(_linking(spark, d).select(F.concat(F.lit("- [x]("), F.col("u"), F.lit(") and more")).alias("value")))
+
+
+def json_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return harvest.json_hosts(_linking(spark, d).select(F.to_json(F.struct(F.array("u", F.concat(F.col("u"), F.lit("/x"))).alias("sites"))).alias("value")), "$.sites")
+
+
+def harvested(spark: SparkSession, d: str) -> DataFrame:
+    """All scans of one run as one list."""
+    return harvest.harvest(*[f(spark, d) for f in (anchor_hosts, visit_hosts, listing_hosts, markdown_hosts, json_hosts)])
+
+
 # ------------------------------------------------------------------ source answers
 
 
@@ -225,7 +258,7 @@ QUERIES = {
     "q_" + f.__name__: f
     for f in (
         best_elements, element_kinds, main_content, page_titles, page_outcomes, page_links, attribute_scores, tag_classes, frame_scores, stripped, normalised, latest_pages, upserted, field_terms, body_terms, body_stems, index_search,
-        discovered_urls, discovered_domains, cached_sources, json_answers, markup_answers, feed_entries, event_properties,
+        discovered_urls, discovered_domains, cached_sources, anchor_hosts, visit_hosts, listing_hosts, markdown_hosts, json_hosts, harvested, json_answers, markup_answers, feed_entries, event_properties,
     )
 }
 
@@ -241,7 +274,20 @@ v AS (SELECT 'https://site.example/p1' AS url UNION SELECT t FROM e JOIN v ON s
 _T = r"regexp_replace(title, '^\s+|\s+$', '', 'g')"
 _R = "SELECT result_id, '{}' AS source, 1 AS rank, {} AS title, {} AS url, {} AS description, {} AS image FROM search_result WHERE {}"
 
+_U = "u AS (SELECT lower(trim(url)) AS u FROM search_result WHERE url IS NOT NULL)"
+_AH = "SELECT regexp_extract(u, '^https?://([^/?]+)', 1) AS domain FROM u UNION ALL SELECT 'api.smallweb.cc'"
+_VH = r"SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^(?s:.*?)://', ''), '(?s)[/?].*\z', ''), ':[0-9]*\z', ''), '^www\.', '') AS domain FROM u"
+_LH = "SELECT regexp_extract(u, '^https?://([^/]+)', 1) AS domain FROM u"
+_MH = "SELECT regexp_extract(unnest(regexp_extract_all('- [x](' || u || ') and more', 'https?://[^/ )]+')), '^https?://([^/]+)', 1) AS domain FROM u"
+_JH = "SELECT CASE WHEN split_part(u, '/', 1) IN ('http:', 'https:') THEN split_part(u, '/', 3) ELSE split_part(u, '/', 1) END AS domain FROM u"
+
 ORACLE = {
+    "q_anchor_hosts": f"WITH {_U} SELECT DISTINCT domain FROM ({_AH}) WHERE domain <> ''",
+    "q_visit_hosts": f"WITH {_U} SELECT DISTINCT domain FROM ({_VH}) WHERE domain <> ''",
+    "q_listing_hosts": f"WITH {_U} SELECT DISTINCT domain FROM ({_LH}) WHERE domain <> ''",
+    "q_markdown_hosts": f"WITH {_U} SELECT DISTINCT domain FROM ({_MH}) WHERE domain <> ''",
+    "q_json_hosts": f"WITH {_U} SELECT DISTINCT domain FROM ({_JH}) WHERE domain <> ''",
+    "q_harvested": f"WITH {_U} SELECT DISTINCT domain FROM ({_AH} UNION ALL {_VH} UNION ALL {_LH} UNION ALL {_MH} UNION ALL {_JH}) WHERE domain <> ''",
     "q_best_elements": f"""WITH {_PAGE} SELECT page_id, CASE WHEN h + b >= 100 THEN 'article' ELSE 'body' END AS tag, CASE WHEN h + b >= 100 THEN h + b ELSE h + b + 12 END::BIGINT AS bytes,
 CASE WHEN h + b >= 100 THEN 0 ELSE 9 END::BIGINT AS link_bytes, (hc + c)::BIGINT AS commas,
 round((CASE WHEN h + b >= 100 THEN (55 + sqrt((h + b)::FLOAT)::FLOAT)::FLOAT + (hc + c)::FLOAT ELSE sqrt((h + b + 12)::FLOAT)::FLOAT + (hc + c)::FLOAT END)::FLOAT::DOUBLE, 2) AS score FROM s WHERE h + b + 12 >= 100""",

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from sluiceway.operators import lists, search
-from sluiceway.sources import parsers
+from sluiceway.sources import harvest, parsers
 from sluiceway.streaming import pipelines
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -186,3 +186,38 @@ def test_the_core_imports_without_the_llm_subpackage():
     for f in (ROOT / "sluiceway").rglob("*.py"):
         if "llm" not in f.parts:
             assert "llm import" not in f.read_text() and "import llm" not in f.read_text(), f
+
+
+# ---------------------------------------------------------------- harvesting
+
+
+def test_harvesting(spark):
+    pages = spark.createDataFrame([("<a href='https://A.test:1/x?y'>1</a><a href=/rel>2</a><a href='https://api.smallweb.cc/db/visit/b.test/f'>3</a><a class='title outbound' href='http://c.test/z'>4</a>",), (None,), ("",)], "html string")
+    one = lambda df: [r[0] for r in df.collect()]
+    assert one(harvest.anchor_hosts(pages)) == ["A.test:1", "api.smallweb.cc", "c.test"]
+    assert one(harvest.visit_hosts(pages)) == ["b.test"] and one(harvest.listing_hosts(pages)) == ["c.test"]
+    text = harvest.literal(["see [x](https://d.test/p) or http://e.test", "nothing"], spark)
+    assert one(harvest.text_hosts(text)) == ["d.test", "e.test"]
+    js = harvest.literal(['{"a":{"b":["https://f.test/x","g.test/y"]}}', '{"a":{"b":"h.test"}}', "no json", "{}"], spark)
+    assert one(harvest.json_hosts(js, "$.a.b")) == ["f.test", "g.test", "h.test"]
+    assert one(harvest.loose_hosts(harvest.literal(["x.test/1", "https://x.test/2"], spark))) == ["x.test", "x.test"]
+    assert [tuple(r) for r in harvest.numbered(spark, "https://n.test/?p={}&x", 2, 3).collect()] == [(2, "https://n.test/?p=2&x"), (3, "https://n.test/?p=3&x")]
+    assert one(harvest.harvest(harvest.visit_hosts(pages), harvest.text_hosts(text), harvest.visit_hosts(pages))) == ["b.test", "d.test", "e.test"]
+
+
+def test_following_next_links(spark):
+    site = {f"http://l.test/{i}": f"<a class='title outbound' href='http://o{i}.test'></a>" + (f"<span class=next-button><a href='/{i + 1}'></a></span>" if i < 5 else "") for i in range(6)}
+    assert [u for u, _ in harvest.follow("http://l.test/0", 99, site.get)] == list(site)
+    assert len(list(harvest.follow("http://l.test/0", 2, site.get))) == 2 and list(harvest.follow("http://none.test", 9, site.get)) == []
+    loop = {"http://l.test/": "<span class=next-button><a href='/'></a></span>"}
+    assert len(list(harvest.follow("http://l.test/", 9, loop.get))) == 1
+    spark.dataSource.register(harvest.CursorSource)
+    rows = spark.read.format("cursor_pages").option("urls", "data:text/html,<p>one</p>").option("delay", "0").load().collect()
+    assert [r["html"] for r in rows] == ["<p>one</p>"]
+
+
+def test_a_page_in_pieces(spark):
+    df = spark.createDataFrame([(0, 2, "[b]"), (0, 1, "[a]"), (1, 1, "[c]")], "column_no int, position int, card string")
+    page = "".join(search.stream_page(df, "<{{QUERY}}{{STATUS}}|{{RESULTS}}>", "q"))
+    assert page.index("[a]") < page.index("[b]") < page.index("Discovery") < page.index("[c]") and page.endswith(">") and page.count("<div") == page.count("</div>")
+    assert "Discovery" in "".join(search.stream_page(df.limit(0), "{{RESULTS}}", "q"))
