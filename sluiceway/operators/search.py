@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from .skew import row_numbers
 
 
 def relevant(query: Column, *parts: Column) -> Column:
@@ -22,24 +23,24 @@ def answerable(q: Column) -> Column:
     return F.coalesce(q != "", F.lit(False))
 
 
-def rank_in_source(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def rank_in_source(results: DataFrame, keys: list[str], order: list[str], total_rows: int | None = None) -> DataFrame:
     """1-based place of each row within its source's list."""
-    return results.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return row_numbers(results, keys, order, "place", total_rows)
 
 
 def top_per_source(results: DataFrame, keys: list[str], order: list[str], first: int = 4) -> DataFrame:
-    """The first rows of each source; the rank limit is pushed below the window's sort."""
-    return rank_in_source(results, keys, order).filter(F.col("place") <= first)
+    """The first rows of each source; the limit prunes each task's rows before they are shuffled."""
+    return results.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= first)
 
 
-def interleave(results: DataFrame, query: str, arrival: str, order: list[str], first: int = 4) -> DataFrame:
+def interleave(results: DataFrame, query: str, arrival: str, order: list[str], first: int = 4, total_rows: int | None = None) -> DataFrame:
     """Emission order per query: the first rows of each source as it arrives, then the rest.
 
-    Adds ``tier`` (0 or 1), ``position`` from 1, and ``side``: left and right take turns.
+    Adds ``place``, ``tier`` (0 or 1), ``position`` from 1, and ``side``: left and right take turns.
+    ``order`` must make a source's rows unique. ``total_rows`` is an upper bound that saves a count.
     """
-    placed = rank_in_source(results, [query, arrival], order).withColumn("tier", F.when(F.col("place") <= first, 0).otherwise(1))
-    w = Window.partitionBy(query).orderBy("tier", arrival, "place")
-    placed = placed.withColumn("position", F.row_number().over(w))
+    placed = rank_in_source(results, [query, arrival], order, total_rows).withColumn("tier", F.when(F.col("place") <= first, 0).otherwise(1))
+    placed = row_numbers(placed, [query], ["tier", arrival, "place"], "position", total_rows)
     return placed.withColumn("side", F.when((F.col("position") - 1) % 2 == 0, "left").otherwise("right"))
 
 

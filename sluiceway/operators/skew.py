@@ -70,3 +70,25 @@ def grouped_rank(df: DataFrame, group: list[str], value: str, total_rows: int, b
     within = Window.partitionBy(*group, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut.withColumn("n_in", F.coalesce(F.sum("n_equal").over(within), F.lit(0)))
     return ranked.join(per, [*group, "bucket"]).select(*group, value, (F.col("before") + F.col("n_in")).alias("n_less"), "n_equal", "n_all")
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list, name: str, total_rows: int | None = None) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` that never sorts a hot group in one task.
+
+    ``order`` are columns whose values, with the group's, make rows unique (else equal rows are
+    numbered as they come). With more than ``hot_limit`` rows the rows are laid out by ranges of group
+    and order, numbered inside each range, and offset by the group's rows in the ranges before.
+    ``total_rows`` may be an upper bound; without it the rows are counted.
+    """
+    keys = [c if not isinstance(c, str) else F.col(c) for c in order]
+    n = df.count() if total_rows is None else total_rows
+    if n <= hot_limit(n):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*keys)))
+    laid = cut_lineage(df.repartitionByRange(*[F.col(g) for g in group], *keys).withColumn("__part", F.spark_partition_id()))
+    sizes = laid.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "__part", before.alias("__before"))  # a row for each range a group lies in
+    local = laid.withColumn("__at", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*keys)))
+    on = reduce(lambda x, y: x & y, (F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*group, "__part"]))
+    met = local.alias("l").join(sizes.alias("s"), on).select("l.*", "s.__before")
+    return met.withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__part", "__at", "__before")

@@ -160,7 +160,8 @@ def discovered_domains(spark: SparkSession, d: str) -> DataFrame:
 def cached_sources(spark: SparkSession, d: str) -> DataFrame:
     """What a one-hour cache serves for each source and query at one moment."""
     log = table(spark, d, "search_result").select(F.concat_ws(":", "source", "query_id").alias("key"), F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.col("url").isNotNull().alias("ok"))
-    return pipelines.snapshot(log, "key", "fetched_at", F.col("ok"), F.to_timestamp(F.lit(AS_OF)))
+    out = pipelines.snapshot(log, "key", "fetched_at", F.col("ok"), F.to_timestamp(F.lit(AS_OF)))
+    return out.select("key", F.unix_micros("fetched_at").alias("fetched_micros"), "state")
 
 
 def _linking(spark: SparkSession, d: str) -> DataFrame:
@@ -313,7 +314,7 @@ SELECT url, term, count(*) AS tf, min(pos)::INT AS first FROM t GROUP BY 1, 2"""
     "q_discovered_urls": f"WITH RECURSIVE {_EDGES} SELECT url FROM v",
     "q_discovered_domains": f"WITH RECURSIVE {_EDGES} SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS domain FROM v",
     "q_cached_sources": f"""WITH l AS (SELECT source || ':' || query_id AS key, fetched_at AS ft, url IS NOT NULL AS ok FROM search_result WHERE fetched_at <= TIMESTAMP '{AS_OF}'),
-m AS (SELECT key, max(ft) FILTER (WHERE ok) AS fetched_at FROM l GROUP BY 1) SELECT key, fetched_at, CASE WHEN fetched_at IS NULL THEN 'missing' WHEN fetched_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 'fresh' ELSE 'stale' END AS state FROM m""",
+m AS (SELECT key, max(ft) FILTER (WHERE ok) AS fetched_at FROM l GROUP BY 1) SELECT key, epoch_us(fetched_at) AS fetched_micros, CASE WHEN fetched_at IS NULL THEN 'missing' WHEN fetched_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 'fresh' ELSE 'stale' END AS state FROM m""",
     "q_json_answers": " UNION ALL ".join(
         (
             _R.format("wiby", "title", "url", "coalesce(description, '')", "NULL", "title IS NOT NULL AND url IS NOT NULL"),

@@ -99,7 +99,9 @@ def top_per_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interleaved(spark: SparkSession, d: str) -> DataFrame:
-    return search.interleave(_relevant(_results(spark, d)), "query_id", "source", ["rank", "result_id"]).select("query_id", "result_id", "tier", "position", "side")
+    rows = _results(spark, d)
+    out = search.interleave(_relevant(rows), "query_id", "source", ["rank", "result_id"], total_rows=rows.count())
+    return out.select("query_id", "result_id", "tier", "position", "side")
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +148,7 @@ def squeezed(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Results of every query: relevant, from no blocked domain, in the order in which they are shown."""
     rows = lists.without_blocked(_relevant(_results(spark, d)), "url", _block(spark, d))
-    out = search.interleave(rows, "query_id", "source", ["rank", "result_id"])
+    out = search.interleave(rows, "query_id", "source", ["rank", "result_id"], total_rows=_results(spark, d).count())
     return out.select("query_id", "position", "side", "source", "result_id", "title", "url")
 
 

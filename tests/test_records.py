@@ -168,3 +168,15 @@ def test_grouped_rank_is_exact_on_either_path(spark, monkeypatch, least):
         vs = [v for h, v in rows if h == g]
         for v in vs:
             assert got[g, v] == (sum(x < v for x in vs), vs.count(v), len(vs))
+
+
+@pytest.mark.parametrize("least", [10, 10_000])
+def test_row_numbers_on_either_path(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "HOT_LEAST", least)
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else rng.choice(["a", "b", None]), rng.randrange(50), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(7)
+    got = {r["i"]: r["n"] for r in skew.row_numbers(df, ["g"], ["v", "i"], "n").collect()}
+    for g in ("hot", "a", "b", None):
+        mine = sorted((v, i) for h, v, i in rows if h == g)
+        assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
