@@ -301,6 +301,8 @@ UNION ALL SELECT 'other', 4 * count(*), (2 * sum(h + b + 12) + 12 * count(*))::B
     "q_page_links": "WITH p AS (SELECT DISTINCT page_id, url, title, content FROM page_data), l AS (SELECT 'https://host' || (page_id % 7) || '.example' AS h FROM p) SELECT h || '/about' AS dst_url, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT h || '/a/next', count(*) FROM l GROUP BY 1",
     "q_attribute_scores": f"""WITH a AS (SELECT unnest({ATTRIBUTES!r}) AS attr) SELECT attr, CASE WHEN regexp_matches(attr, '(?i){readability.UNLIKELY}') AND NOT regexp_matches(attr, '(?i){readability.AMBIGUOUS}') THEN -50.0
 WHEN regexp_matches(attr, '(?i){readability.POSITIVE}') THEN 25.0 WHEN regexp_matches(attr, '(?i){readability.NEGATIVE}') THEN -25.0 ELSE 0.0 END::DOUBLE AS score FROM a""",
+    "q_tag_classes": f"""SELECT tag, CASE WHEN tag = 'div' THEN 'div' WHEN tag = 'p' THEN 'p' WHEN regexp_full_match(tag, 'h[1-6]') THEN 'header' WHEN tag IN ('ul', 'ol', 'dl') THEN 'list' WHEN tag IN ('article', 'main', 'section') THEN 'article' ELSE 'other' END AS kind,
+CASE WHEN tag IN ('head', 'script', 'form', 'svg', 'embed') THEN 'container' WHEN tag IN ('br', 'img', 'input') THEN 'void' WHEN tag IN ('title', 'button', 'option') THEN 'leaf' ELSE 'content' END AS category FROM (SELECT unnest({TAGS!r}) AS tag)""",
     "q_frame_scores": """WITH f AS (SELECT DISTINCT page_id, frame_no, base_score::FLOAT AS b, char_count AS n, link_char_count AS l, comma_count AS c FROM element_frame WHERE link_char_count IS NOT NULL),
 g AS (SELECT *, ((b + sqrt(n::FLOAT)::FLOAT)::FLOAT + c::FLOAT)::FLOAT AS raw, CASE WHEN n = 0 THEN 0::FLOAT ELSE (l::FLOAT / n::FLOAT)::FLOAT END AS d FROM f)
 SELECT page_id, frame_no, round((raw * CASE WHEN d <= 0.4::FLOAT THEN 1::FLOAT ELSE greatest(0::FLOAT, least(1::FLOAT, (1::FLOAT - ((d - 0.4::FLOAT)::FLOAT / 0.6::FLOAT)::FLOAT)::FLOAT)) END)::FLOAT::DOUBLE, 3) + 0.0::DOUBLE AS score, n >= 100 AS viable FROM g""",
