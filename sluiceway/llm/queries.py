@@ -59,8 +59,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line templates that keep variable names in their slots, with the number of pages that hold them."""
-    return templates.slot_lines(templates.page_facts(_pages(spark, sf_dir)))
+    """Line templates that keep variable names in their slots, with the pages that left and that filled them."""
+    return templates.slot_lines(_pages(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ 7: repeated lines

@@ -68,7 +68,8 @@ def test_repeated_whole_pages_are_templates_even_in_unknown_words(spark):
     rows = [(i, f"http://s{i}.test/", None, f"Wir ruhen uns aus bis Montag {i}") for i in range(5)] + [(9, "http://z.test/", None, "Etwas anderes steht hier")]
     assert sorted(r[0] for r in templates.residue_pages(spark.createDataFrame(rows, PAGE)).collect()) == [0, 1, 2, 3, 4]
     slots = spark.createDataFrame([(i, "u", None, "Dear {{a}}, we wrote to Anna." if i else "Dear ${b}, we wrote to Bob.") for i in range(3)], PAGE)
-    assert [r["n_pages"] for r in templates.slot_lines(templates.page_facts(slots)).collect()] == [3]
+    slots = slots.unionByName(spark.createDataFrame([(7, "u", None, "Dear Anna, we wrote to Bob.\nDear Carl, we wrote to Dora."), (8, "u", None, None), (0, "u", None, "Dear ${b}, we wrote to Bob.")], PAGE))
+    assert [(r["n_pages"], r["n_filled"]) for r in templates.slot_lines(slots).collect()] == [(3, 1)]
 
 
 # ---------------------------------------------------------------- 7
