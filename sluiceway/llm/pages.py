@@ -83,6 +83,10 @@ _HASH = re.compile(r"(?:^|\s)#\w{3,}")
 _HOST = re.compile(r"^(?:[•*·-]\s+|\d+[.)]\s+)?(?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?$")
 
 
+#: Words of one automaton. Pages beyond it, some hundred kilobytes of text, are measured stretch by stretch.
+SAM_WORDS = 50_000
+
+
 def keyword_facts(content: str, lines: list | None = None) -> tuple[float, float, float, float, float, float, int, list[int], list[int]]:
     """Facts on keyword stuffing in a page's text, boilerplate aside.
 
@@ -101,16 +105,22 @@ def keyword_facts(content: str, lines: list | None = None) -> tuple[float, float
             core.append(line)
             words_n += k
             stops_n += stops
-    words: list[str] = []
-    for line in core:
+    total = cover = long_cover = often = 0
+    words: list[str | int] = []
+    for at, line in enumerate(core):
         words += _WORD.findall(line.lower())
-        words.append("\n")
-    sizes = [len(w) if w != "\n" else 0 for w in words]
-    total = sum(sizes)
+        words.append(at)  # the end of a line, like no other: no repeat crosses it
+        if len(words) >= SAM_WORDS or at == len(core) - 1:
+            for a in range(0, len(words), 2 * SAM_WORDS):  # a line of its own may be longer still
+                part = words[a : a + 2 * SAM_WORDS]
+                sizes = [len(w) if isinstance(w, str) else 0 for w in part]
+                total += sum(sizes)
+                got = repeat_cover(part, sizes)
+                cover, long_cover, often = cover + got[0], long_cover + got[1], often + got[2]
+            words = []
+    stop = stops_n / max(words_n, 1)
     if not total:
         return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, sizes_of, kinds
-    stop = stops_n / max(words_n, 1)
-    cover, long_cover, often = repeat_cover(words, sizes)
     chars = sum(map(len, core)) or 1
     multi = sum(len(x) for x in core if len(_SEP.findall(x)) >= 3) / chars if stop < 0.25 else 0.0
     tags = max(sum(len(_HASH.findall(x)) for x in core) / max(words_n, 1), sum(len(x) for x in core if _HOST.match(x.strip())) / chars) if stop < 0.25 else 0.0
@@ -128,7 +138,7 @@ def stuffed(cover: float, long_cover: float, often: float, stop: float, multi: f
     """
     if words < LEAST_WORDS or machine > 0.4:
         return False
-    if (long_cover >= 0.7 and stop < 0.25) or (long_cover >= 0.85 and stop < 0.36):
+    if (long_cover >= 0.62 and stop < 0.25) or (long_cover >= 0.85 and stop < 0.36):
         return True
     if tags > 0.4 and stop < 0.2:
         return True
