@@ -138,7 +138,7 @@ def stuffed(cover: float, long_cover: float, often: float, stop: float, multi: f
     """
     if words < LEAST_WORDS or machine > 0.4:
         return False
-    if (long_cover >= 0.62 and stop < 0.25) or (long_cover >= 0.85 and stop < 0.36):
+    if (long_cover >= 0.66 and stop < 0.25) or (long_cover >= 0.85 and stop < 0.36):
         return True
     if tags > 0.4 and stop < 0.2:
         return True
