@@ -95,13 +95,13 @@ def relevant_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_per_source(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_per_source(_results(spark, d), ["query_id", "source"], ["rank", "result_id"]).select("query_id", "source", "result_id", "place")
+    return search.top_per_source(_results(spark, d), ["query_id", "source"], ["rank", "result_id"]).select("query_id", "source", "result_id", F.col("place").cast("bigint").alias("place"))
 
 
 def interleaved(spark: SparkSession, d: str) -> DataFrame:
     rows = _results(spark, d)
     out = search.interleave(_relevant(rows), "query_id", "source", ["rank", "result_id"], total_rows=rows.count())
-    return out.select("query_id", "result_id", "tier", "position", "side")
+    return out.select("query_id", "result_id", "tier", F.col("position").cast("bigint").alias("position"), "side")
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,7 @@ def rank_fusion_adjusted(spark: SparkSession, d: str) -> DataFrame:
 
 def feed_search(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "title", "text"))
-    return search.feed_search(docs, F.lit(FEED_QUERY), "title", "text").select("doc_id", "score")
+    return search.feed_search(docs, F.lit(FEED_QUERY), "title", "text").select("doc_id", F.col("score").cast("bigint").alias("score"))
 
 
 def recent_results(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Results of every query: relevant, from no blocked domain, in the order in which they are shown."""
     rows = lists.without_blocked(_relevant(_results(spark, d)), "url", _block(spark, d))
     out = search.interleave(rows, "query_id", "source", ["rank", "result_id"], total_rows=_results(spark, d).count())
-    return out.select("query_id", "position", "side", "source", "result_id", "title", "url")
+    return out.select("query_id", F.col("position").cast("bigint").alias("position"), "side", "source", "result_id", "title", "url")
 
 
 def _json_bodies(spark: SparkSession, d: str, body: Column) -> DataFrame:
