@@ -32,8 +32,11 @@ def ship(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small scan dealt out over all cores; larger scans, which have partitions enough, stay as they are.
 
-    Only for plans that read files without a shuffle. What is moved is less than a partition's size times the cores.
+    What is moved is less than a partition's size times the cores. Plans with a shuffle stay as they
+    are too: counting their partitions would run them.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
