@@ -3,7 +3,7 @@
 A page is a sequence of line identifiers; a pattern is frequent when it stands on enough distinct
 urls of one site. Patterns grow from their prefixes as in PrefixSpan, one distributed round a length:
 round one counts single lines, each further round extends the frequent patterns by the line that
-follows them in the projected sequences (those of frequent lines only). Every line of a frequent
+follows them in the projected sequences (those of frequent lines only), until none is frequent. Every line of a frequent
 sequence is itself a frequent sequence of length one, so what is deleted is settled by round one;
 longer sequences tell which lines make up one block.
 
@@ -13,10 +13,10 @@ its pages meets in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Distinct urls of one site on which a frequent line stands.
 SUPPORT = 5
@@ -70,29 +70,36 @@ def repeated_lines(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     return occurrences(pages, support).select("page_id", "line_no").distinct()
 
 
-def _grams(n: int) -> Column:
-    """All runs of n adjacent items of ``seq``."""
-    return F.transform(F.sequence(F.lit(1), F.size("seq") - (n - 1)), lambda i: F.slice("seq", i, n))
+def frequent_sequences(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``site, length, pattern, n_urls``: all frequent sequences of adjacent frequent lines, of any length.
 
-
-def frequent_sequences(pages: DataFrame, support: int = SUPPORT, longest: int = 4) -> DataFrame:
-    """``site, length, pattern, n_urls``: frequent sequences of adjacent frequent lines, up to ``longest`` lines.
-
-    ``pattern`` is the array of the lines' hashes. Each round projects the pages' sequences of frequent
-    lines on the frequent prefixes of the round before and counts what follows them.
+    ``pattern`` is the array of the lines' hashes. Each round extends the frequent patterns of the round
+    before by the line that follows them, where what then remains without its first line is frequent
+    too; rounds run until one finds nothing. Rows are of fixed size whatever a pattern's length (a
+    pattern goes by one number), and those that begin no frequent pattern are gone in the next round.
     """
     seen = occurrences(pages, support).select("page_id", "site", "u", "line_no", "h1").distinct()
-    by_page = seen.groupBy("page_id", "site", "u").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "h1"))), lambda x: x["h1"]).alias("seq"))
-    out, prefixes = None, None
-    for n in range(1, longest + 1):
-        grams = _grams(n)
-        items = by_page.filter(F.size("seq") >= n).select("site", "u", F.explode(F.array_distinct(grams)).alias("pattern"))
-        if prefixes is not None:
-            items = items.withColumn("prefix", F.slice("pattern", 1, n - 1)).join(prefixes, ["site", "prefix"], "left_semi").drop("prefix")
-        found = _frequent(items, ["site", "pattern"], support).select("site", F.lit(n).alias("length"), "pattern", "n_urls")
-        prefixes = found.select("site", F.col("pattern").alias("prefix"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    page = Window.partitionBy("page_id", "site", "u")
+    at = F.row_number().over(page.orderBy("line_no", "h1"))
+    occ = cut(seen.select("page_id", "site", "u", at.alias("at"), F.col("h1").alias("id"), F.col("h1").alias("last")))
+    found = cut(_frequent(occ, ["site", "id"], support).select("site", "id", F.lit(1).alias("length"), F.array("id").alias("pattern"), "n_urls"))
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    out, n, wide = None, 1, page.orderBy("at")
+    while not found.isEmpty():
+        rows = found.select("site", "length", "pattern", "n_urls")
+        out = rows if out is None else out.unionByName(rows)
+        if n % 16 == 0:  # else the plan grows with the rounds
+            out = cut(out)
+        n += 1
+        pairs = occ.select("page_id", "site", "u", "at", "id", F.lead("id").over(wide).alias("then"), F.lead("last").over(wide).alias("last"), F.lead("at").over(wide).alias("beside"))
+        pairs = cut(pairs.filter("beside = at + 1").drop("beside"))
+        more = _frequent(pairs, ["site", "id", "then", "last"], support)
+        more = more.join(found.select("site", "id", "pattern"), ["site", "id"])
+        found = cut(more.select("site", F.xxhash64("id", "then").alias("id"), F.col("id").alias("prefix"), "then", F.lit(n).alias("length"), F.concat("pattern", F.array("last")).alias("pattern"), "n_urls"))
+        kept = found.select("site", F.col("prefix").alias("id"), "then", salts)
+        salted = pairs.withColumn("salt", F.pmod(F.col("page_id"), F.lit(SALTS)).cast("int"))
+        occ = salted.join(kept, ["site", "id", "then", "salt"], "left_semi").select("page_id", "site", "u", "at", F.xxhash64("id", "then").alias("id"), "last")
+    return found.select("site", "length", "pattern", "n_urls") if out is None else out
 
 
 def without_lines(pages: DataFrame, drop: DataFrame) -> DataFrame:

@@ -107,6 +107,30 @@ def test_sequences_grow_from_frequent_prefixes(spark):
     assert got == {(1, 7): 2, (1, 6): 1, (2, 6): 2, (3, 6): 1}
 
 
+def test_sequences_of_any_length_equal_brute_force(spark):
+    rng = random.Random(6)
+    names = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
+    rows = [(i, f"http://{'ab'[i % 2]}.test/{i % 17}", None, "\n".join([*names[rng.randrange(3) : rng.randrange(7, 11)], *rng.choices(names, k=4)])) for i in range(40)]
+    rows += rows[:3]
+    where = defaultdict(set)
+    for _, url, _, content in rows:
+        x = content.split("\n")
+        for n in range(1, len(x) + 1):
+            for a in range(len(x) - n + 1):
+                where[templates.site_of(url), tuple(x[a : a + n])].add(url)
+    want = Counter((len(k), len(us)) for (_, k), us in where.items() if len(us) >= 5)
+    assert max(n for n, _ in want) > 6
+    got = repeats.frequent_sequences(spark.createDataFrame(rows, PAGE)).collect()
+    assert Counter((r["length"], r["n_urls"]) for r in got) == want and all(len(r["pattern"]) == r["length"] for r in got)
+    assert len({(r["site"], tuple(r["pattern"])) for r in got}) == len(got)
+
+
+def test_sequences_longer_than_the_rounds_between_cuts(spark):
+    block = "\n".join("line " + chr(97 + i // 26) + chr(97 + i % 26) for i in range(35))
+    got = Counter(r["length"] for r in repeats.frequent_sequences(spark.createDataFrame([(i, f"http://a.test/{i}", None, block) for i in range(5)], PAGE)).collect())
+    assert got == {n: 36 - n for n in range(1, 36)}
+
+
 # ---------------------------------------------------------------- 8
 
 
