@@ -48,7 +48,8 @@ def grouped_rank(df: DataFrame, group: list[str], value: str, total_rows: int, b
     Returns ``group, value, n_less, n_equal, n_all``. Ties are folded first by a partial aggregation.
     A group with more than ``hot_limit`` rows is cut into value ranges (edges from a mergeable
     sketch), ranked range by range, and offset by the sizes of the ranges below, so that no task
-    sorts a whole hot group; the result is exact. ``value`` must not be null.
+    sorts a whole hot group; the result is exact. A null in ``group`` is a group like any other;
+    ``value`` must not be null.
     """
     dist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
     limit = hot_limit(total_rows)
@@ -60,7 +61,8 @@ def grouped_rank(df: DataFrame, group: list[str], value: str, total_rows: int, b
     sizes = dist.groupBy(*group).agg(F.sum("n_equal").alias("n_all"))
     edges = join_groups(df.select(*group, value), sizes.filter(F.col("n_all") > limit), group, "n_all", total_rows)
     edges = edges.groupBy(*group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("edges"))
-    sizes = sizes.join(F.broadcast(edges), group, "left")  # at most HOT_PARTS rows of fixed size
+    alike = lambda a, b, keys: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+    sizes = sizes.alias("s").join(F.broadcast(edges.alias("e")), alike("s", "e", group), "left").select("s.*", "e.edges")  # at most HOT_PARTS rows of fixed size
     cut = join_groups(dist, cut_lineage(sizes), group, "n_all", total_rows)
     bucket: Column = F.coalesce(F.aggregate("edges", F.lit(0), lambda n, e: n + (F.col(value) > e).cast("int")), F.lit(0))
     cut = cut.withColumn("bucket", bucket).drop("edges")
@@ -69,7 +71,8 @@ def grouped_rank(df: DataFrame, group: list[str], value: str, total_rows: int, b
     per = per.select(*group, "bucket", offset.alias("before"))
     within = Window.partitionBy(*group, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut.withColumn("n_in", F.coalesce(F.sum("n_equal").over(within), F.lit(0)))
-    return ranked.join(per, [*group, "bucket"]).select(*group, value, (F.col("before") + F.col("n_in")).alias("n_less"), "n_equal", "n_all")
+    met = ranked.alias("r").join(per.alias("p"), alike("r", "p", [*group, "bucket"])).select("r.*", "p.before")
+    return met.select(*group, value, (F.col("before") + F.col("n_in")).alias("n_less"), "n_equal", "n_all")
 
 
 def row_numbers(df: DataFrame, group: list[str], order: list, name: str, total_rows: int | None = None) -> DataFrame:

@@ -170,6 +170,20 @@ def test_grouped_rank_is_exact_on_either_path(spark, monkeypatch, least):
             assert got[g, v] == (sum(x < v for x in vs), vs.count(v), len(vs))
 
 
+@pytest.mark.parametrize("least", [10, 10_000])
+@pytest.mark.parametrize("nulls", [5, 90])
+def test_grouped_rank_keeps_a_null_group_on_either_path(spark, monkeypatch, least, nulls):
+    monkeypatch.setattr(skew, "HOT_LEAST", least)
+    monkeypatch.setattr(skew, "HOT_PARTS", 100)
+    rng = random.Random(7)
+    rows = [(None, "s", float(rng.randint(0, 30))) for _ in range(nulls)] + [("g", rng.choice(["s", None]), float(rng.randint(0, 30))) for _ in range(60)]
+    got = {(r["g"], r["h"], r["v"]): (r["n_less"], r["n_equal"], r["n_all"]) for r in skew.grouped_rank(spark.createDataFrame(rows, "g string, h string, v double"), ["g", "h"], "v", len(rows), buckets=8).collect()}
+    want = defaultdict(list)
+    for g, h, v in rows:
+        want[g, h].append(v)
+    assert got == {(*k, v): (sum(x < v for x in vs), vs.count(v), len(vs)) for k, vs in want.items() for v in vs}
+
+
 @pytest.mark.parametrize("least", [10, 10_000])
 def test_row_numbers_on_either_path(spark, monkeypatch, least):
     monkeypatch.setattr(skew, "HOT_LEAST", least)
