@@ -195,7 +195,27 @@ _ERROR_TITLE = re.compile(
 )
 _TITLE_CUT = re.compile(r"\s+[|–—•·]\s+|\s+-\s+")
 
-#: Most words, boilerplate aside, of a page that is nothing but an error message or a notice.
+# Error messages and script notices that are known by their form, between other text too.
+_MESSAGE_HINTS = ("javascript", "java script", "script", "error", "not found", "not be found", "on line ", "traceback", "denied for user", "sqlstate", "exception", "unavailable", "bad gateway", "forbidden")
+_ENGINE = re.compile(r"\b(?:warning|(?:catchable |php )?fatal error|parse error|notice|deprecated|strict standards)\s*:\s.+\bin\s+\S+.*\bon line \d+", re.I)
+_MESSAGE_LINE = re.compile(
+    r"(?:http )?(?:error )?[45]\d\d\s*[:–-]?\s*(?:error\s*[:–-]?\s*)?(?:(?:page |file )?not found|forbidden|bad gateway|bad request|unauthori[sz]ed|(?:service|temporarily|service temporarily) unavailable|internal server error|gateway time-?out|gone)|(?:page|file|document) not found",
+    re.I,
+)
+_MESSAGE = re.compile(
+    r"error establishing an? \w+ connection\b|you have an error in your sql syntax\b|(?:php )?(?:fatal error: )?uncaught \w*(?:error|exception)\b.{0,4}[:'\"]|access denied for user '|traceback \(most recent call last\)|sqlstate\[|(?:database|mysql|sql|server|application|runtime|internal server) error\s*(?::|#|\(|\d)|"
+    r"(?:sorry,? )?(?:the )?(?:requested )?(?:page|url|file|document|resource)(?: \S+)?(?: (?:that )?you (?:requested|wanted|(?:are|were) looking for|asked for))?(?: \S+)? (?:was not|wasn't|could not be|couldn't be|cannot be|can't be) found(?: on this (?:server|site))?\W*$|"
+    r"please (?:enable|activate|turn on|switch on|allow) (?:your )?(?:java ?script|scripts|scripting)\b|you(?:'ll)? (?:need to|have to|must) (?:enable|activate|turn on|switch on|allow|have) (?:java ?script|scripts|scripting)\b|(?:enable|activate|turn on|switch on|allow) (?:java ?script|scripts|scripting)\b.{0,40}\bto (?:view|see|use|run|continue|load|read|watch|post)\b|"
+    r"to (?:view|see|use|run|continue|load|read|watch|post)\b[^.]{0,80}?(?:please |you (?:need|have|must) (?:to )?)(?:enable|activate|turn on|switch on|allow) (?:java ?script|scripts|scripting)\b|"
+    r"(?:java ?script|scripting|scripts) (?:is|are|must be|needs? to be|has to be|have to be|appears? to be|seems? to be) (?:currently )?(?:disabled|turned off|switched off|required|not enabled|blocked|needed|enabled|activated|turned on|switched on)(?:\W*$| (?:in|on|by) your (?:web )?browser\b| (?:for|on) this (?:site|page|app|form|feature)\b| to (?:view|see|use|run|continue|load|read|watch|post)\b)|"
+    r"(?:this|our) (?:web ?site|web ?page|site|page|app|application|form|content|video|player|map|feature) (?:requires?|needs|(?:does not|doesn't|cannot|can't|won't) work (?:properly )?without) (?:java ?script|scripts|scripting)\b|your (?:web )?browser (?:has java ?script (?:disabled|turned off|switched off)|(?:does not|doesn't) support java ?script|blocks? (?:java ?script|scripts))\b|"
+    r"(?:bitte )?(?:aktivieren|schalten) sie (?:bitte )?java ?script\b|veuillez activer (?:le )?java ?script\b|por favor,? (?:habilite|active) java ?script\b",
+    re.I,
+)
+# Error titles that are everyday titles of articles as well; they count over short texts only.
+_EVERYDAY_TITLE = re.compile(r"warning|forbidden|coming soon|members only|loading.{0,4}|just a moment.{0,4}|oops.{0,30}|something went wrong|security check|are you a robot\??|not found|access (?:denied|refused)|under construction|[45]\d\d\b ?[-:–]? ?.{0,3}", re.I)
+
+#: Most words, boilerplate aside, of a page that is nothing but an error message or a notice in whatever words.
 SHORT_PAGE = 90
 VAR, FILLER, NOTICE, TITLE = 1, 2, 4, 8
 
@@ -213,6 +233,19 @@ def _variables(line: str) -> int:
     return n
 
 
+def _message(line: str, before: str) -> bool:
+    """Whether a line holds an error message or a script notice by its form, unless it or the line ``before`` explains it."""
+    low = line.lower()
+    if not any(h in low for h in _MESSAGE_HINTS) or before.rstrip().endswith(":") or (before and _EXPLAINS.search(_SENTENCE.split(before.rstrip())[-1])):
+        return False
+    bare = B.bare(line)
+    if _ENGINE.search(line):
+        return not _EXPLAINS.search(_ENGINE.sub(" ", line))
+    if _MESSAGE_LINE.fullmatch(bare.rstrip(" .!")):
+        return True
+    return any(_MESSAGE.match(x) and not _EXPLAINS.search(x) for x in _SENTENCE.split(bare))
+
+
 def residue(title: str | None, content: str | None, lines: list | None = None) -> tuple[int, str | None, list[str]]:
     """What of a page is template residue, its whole text as a template if it is short, its slots.
 
@@ -224,6 +257,7 @@ def residue(title: str | None, content: str | None, lines: list | None = None) -
     slots: list[str] = []
     core: list[str] = []
     words = lorem = filler = 0
+    before = ""
     if content is not None and not content.isspace():
         for line, kind, k, stops in read(content) if lines is None else lines:
             if kind == B.BLANK:
@@ -232,6 +266,9 @@ def residue(title: str | None, content: str | None, lines: list | None = None) -
                 if kind != B.CODE or VARIABLE.sub("", line).strip(" .,:;") == "" or v > 0 and not re.search(r"[=;`]|\bfunction\b", VARIABLE.sub("", line)):
                     bits |= VAR
                     slots.append(skeleton(line))
+            if not bits & NOTICE and _message(line, before):
+                bits |= NOTICE
+            before = line
             if kind == B.BOILER:
                 continue
             words += k
@@ -255,7 +292,7 @@ def residue(title: str | None, content: str | None, lines: list | None = None) -
         parts = [whole, *(p.strip() for p in _TITLE_CUT.split(whole))]
         if any(VARIABLE.fullmatch(p) for p in parts) or any(_FILLER_TITLE.fullmatch(p) for p in parts):
             bits |= TITLE
-        elif any(_ERROR_TITLE.fullmatch(p) for p in parts) and words <= 2 * SHORT_PAGE:
+        elif any(_ERROR_TITLE.fullmatch(p) and (words <= 2 * SHORT_PAGE or not _EVERYDAY_TITLE.fullmatch(p)) for p in parts):
             bits |= TITLE
     return bits, skel, slots
 
