@@ -32,6 +32,8 @@ EDITS, RECALL = 1, 0.9
 #: Sampled positions of the walk to a key.
 SAMPLED = 5
 MOST_REPEATS = 16
+#: Walks where words may also be inserted or deleted, which shifts the rest of a window.
+MOST_REPEATS_SHIFTED = 96
 #: Words of all items together that one index may hold; larger sets are refused.
 MOST_WORDS = 5_000_000
 
@@ -84,8 +86,8 @@ def _code(words: list[str], number: dict[str, int]) -> np.ndarray:
 class Index:
     """Items' windows under repeated walks, and their texts for the exact comparison."""
 
-    def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, stride: int = STRIDE, edits: int = EDITS, recall: float = RECALL, seed: int = 8):
-        self.run, self.stride = run, stride
+    def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, stride: int = STRIDE, edits: int = EDITS, recall: float = RECALL, seed: int = 8, own_only: bool = False):
+        self.run, self.stride, self.own_only = run, stride, own_only
         self.window = run - stride + 1
         self.edits = edits
         texts = sorted({(i, tuple(words_of(t))) for i, t in items if i is not None})
@@ -118,8 +120,8 @@ class Index:
             held[g] = i if held.get(g, i) == i else -1
         own = [held[tuple(self.words[i][s : s + self.window])] >= 0 for i, s in zip(owner, start, strict=True)]
         self.risky = np.array([self._risky(i) for i in range(len(self.words))], dtype=bool)
-        # windows that only ever lie in words which items share tell nothing and are left out
-        useful = [k for k, (i, s) in enumerate(zip(owner, start, strict=True)) if own[k] or self.risky[i] or any(flags[i][max(0, s - self.run + self.window) : s + 1])]
+        # where only an item's own runs are asked for, windows that only ever lie in words which items share tell nothing and are left out
+        useful = [k for k, (i, s) in enumerate(zip(owner, start, strict=True)) if not own_only or own[k] or self.risky[i] or any(flags[i][max(0, s - self.run + self.window) : s + 1])]
         owner, start = [owner[k] for k in useful], [start[k] for k in useful]
         self.window_own = np.array([own[k] for k in useful], dtype=bool)
         self.owner, self.start = np.array(owner, dtype=np.int64), np.array(start, dtype=np.int64)
@@ -129,9 +131,12 @@ class Index:
         self.walks: list[Walk] = []
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         edited = self._edited(seed)
-        missed = np.ones(len(edited) // self.window, dtype=bool)
-        at = np.arange(len(missed)) * self.window
-        while not self.walks or (missed.sum() > (1 - recall) * len(missed) and len(self.walks) < MOST_REPEATS):
+        wide = self.window + self.edits  # words of a stretch
+        missed = np.ones(len(edited) // wide, dtype=bool)
+        at = np.arange(len(missed)) * wide
+        kinds = [missed] if own_only else [missed[k::3] for k in range(3)]  # replaced, inserted, deleted: each must reach the recall
+        most = MOST_REPEATS if own_only else MOST_REPEATS_SHIFTED
+        while not self.walks or (any(m.sum() > (1 - recall) * len(m) for m in kinds) and len(self.walks) < most):
             walk = Walk(seed * 1000 + len(self.walks), self.window, SAMPLED)
             keys = walk.keys(self.flat, self.places)
             order = np.argsort(keys, kind="stable")
@@ -139,18 +144,26 @@ class Index:
             self.tables.append((keys[order], order))
             if len(missed):
                 missed &= walk.keys(edited, at) != keys[self._picked]
-        self.recall = 1 - missed.mean() if len(missed) else 1.0
+        self.recall = 1 - max(m.mean() for m in kinds) if len(missed) else 1.0
 
     def _edited(self, seed: int) -> np.ndarray:
-        """Windows of items with ``edits`` words replaced, end to end: walks are added until they find these."""
+        """Stretches that begin with windows of items with ``edits`` words replaced (else, in turn, replaced, inserted and deleted), end to end: walks are added until they find these."""
         if not self.edits or not len(self.places):
             self._picked = np.zeros(0, dtype=np.int64)
             return np.zeros(0, dtype=np.int64)
         rng = np.random.default_rng(seed + 1)
         self._picked = rng.integers(0, len(self.places), 2000)
-        out = self.flat[self.places[self._picked][:, None] + np.arange(self.window)]
+        padded = np.append(self.flat, np.zeros(self.edits, dtype=np.int64))
+        out = padded[self.places[self._picked][:, None] + np.arange(self.window + self.edits)]  # the words that follow move up after a deletion
         for _ in range(self.edits):
-            out[np.arange(len(out)), rng.integers(0, self.window, len(out))] = rng.integers(2, 2**62, len(out)) | 1
+            where, new = rng.integers(0, self.window, len(out)), rng.integers(2, 2**62, len(out)) | 1
+            for k, (i, word) in enumerate(zip(where.tolist(), new.tolist(), strict=True)):
+                if not self.own_only and k % 3 == 1:
+                    out[k, i + 1 :] = out[k, i:-1].copy()
+                elif not self.own_only and k % 3 == 2:
+                    out[k, i:-1] = out[k, i + 1 :].copy()
+                    continue
+                out[k, i] = word
         return out.ravel()
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -185,11 +198,22 @@ class Index:
         mine = np.append(self.flat, np.full(self.window + self.edits, -1, dtype=np.int64))
         p, q = starts[pairs[:, 0]], self.places[pairs[:, 1]]
         keep = np.zeros(len(pairs), dtype=bool)
-        if self.edits < 2:  # windows of one length at one edit differ in one word
+        if self.edits < 2:  # at one edit one word differs, or those after it stand one place further or nearer
             equal = np.zeros(len(pairs), dtype=np.int16)
+            head, going = np.zeros(len(pairs), dtype=np.int16), np.ones(len(pairs), dtype=bool)
             for k in range(self.window):
-                equal += padded[p + k] == mine[q + k]
-            return pairs[equal >= self.window - self.edits]
+                same = padded[p + k] == mine[q + k]
+                equal += same
+                going &= same
+                head += going
+            keep = equal >= self.window - self.edits
+            for shift in (1, -1) if self.edits and not self.own_only else ():
+                tail, going = np.zeros(len(pairs), dtype=np.int16), np.ones(len(pairs), dtype=bool)
+                for k in range(self.window - 1, max(0, -shift) - 1, -1):
+                    going &= padded[p + k + shift] == mine[q + k]
+                    tail += going
+                keep |= head + tail >= self.window - (shift < 0)
+            return pairs[keep]
         for shift in range(-self.edits, self.edits + 1):
             equal = np.zeros(len(pairs), dtype=np.int16)
             for k in range(max(0, -shift), self.window - max(0, shift)):
@@ -225,7 +249,9 @@ class Index:
         """
         best, own = 0, False
         mine = self.codes[item]
-        d = edit_distance(codes[at : min(at + self.window, b)], mine[s : s + self.window], self.edits)
+        reach = 0 if self.own_only else self.edits  # words that the document's stretch may be longer or shorter
+        near = [edit_distance(codes[at : at + n], mine[s : s + self.window], self.edits) for n in range(self.window - reach, self.window + reach + 1) if at + n <= b]
+        d = min((x for x in near if x >= 0), default=-1)
         for shift in range(-self.edits, self.edits + 1):
             p, q = at, s + shift
             if q < 0:
@@ -279,16 +305,18 @@ def edit_distance(a: np.ndarray, b: np.ndarray, bound: int) -> int:
     return row[-1] if row[-1] <= bound else -1
 
 
-def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: int = RUN, edits: int = EDITS) -> DataFrame:
+def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: int = RUN, edits: int = EDITS, own_only: bool = False) -> DataFrame:
     """``doc_id, item_id, run, edits, own``: documents with a passage of an item.
 
-    ``run``: the longest run of equal words found; ``edits``: the least edit distance of two windows;
+    ``run``: the longest run of equal words found; ``edits``: the least edit distance of an item's window
+    to a stretch of the document (words replaced, inserted or deleted), -1 beyond the bound;
     ``own``: the document has at least ``run`` consecutive words of the item that, as a run, stand in
     no other item. Pairs whose windows lie beyond ``edits`` edits and that share no run are dropped.
+    ``own_only`` leaves out what can't be ``own``: all pairs with ``own`` come out, few of the others.
     Null ids and texts and items shorter than a window match nothing; repeated items count once.
     """
     got = [(r[0], r[1]) for r in items.select("item_id", "text").distinct().collect()]  # bounded: the index checks it
-    index = docs.sparkSession.sparkContext.broadcast(Index(got, run=run, edits=edits))
+    index = docs.sparkSession.sparkContext.broadcast(Index(got, run=run, edits=edits, own_only=own_only))
 
     def make():
         ix = index.value
@@ -302,11 +330,15 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: in
             starts = np.concatenate(starts) if len(starts) else np.zeros(0, dtype=np.int64)
             found: dict[tuple[int, int], list] = {}
             if len(starts) and len(ix.owner):
-                pairs = ix.telling(codes, starts, ix.candidates(codes, starts))
+                pairs = ix.candidates(codes, starts)
+                if ix.own_only:
+                    pairs = ix.telling(codes, starts, pairs)
                 doc_of, item_of = owner[pairs[:, 0]], ix.owner[pairs[:, 1]]
                 at_of, s_of = starts[pairs[:, 0]], ix.start[pairs[:, 1]]
                 # one comparison for each diagonal of two texts: its run is the longest on it
                 diagonal = np.stack([doc_of, item_of, at_of - s_of])
+                if not ix.own_only:  # windows of one diagonal differ in their edits
+                    diagonal = np.concatenate([diagonal, at_of[None]])
                 pick = np.unique(diagonal, axis=1, return_index=True)[1] if len(pairs) else []
                 for doc, item, at, s in zip(doc_of[pick].tolist(), item_of[pick].tolist(), at_of[pick].tolist(), s_of[pick].tolist(), strict=True):
                     d, n, own = ix.verify(codes, words[doc], int(ends[doc]), int(ends[doc + 1]), at, item, s)

@@ -84,16 +84,16 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 8: leaked evaluation texts
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"))
+def _leaks(spark: SparkSession, sf_dir: str, own_only: bool = False) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), own_only=own_only)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).filter("own").select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf_dir, own_only=True).filter("own").select("doc_id", "item_id").distinct()
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All leaks, those with edits included, with their longest runs."""
+    """All leaks, those with edits and those in words that items share included, with their longest runs."""
     return _leaks(spark, sf_dir)
 
 

@@ -190,6 +190,27 @@ def test_edited_passages_are_candidates():
     assert hit >= 0.8 * 200
 
 
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "deleted"])
+def test_passages_with_one_edit_of_any_kind_are_leaks(spark, kind):
+    rng = random.Random(4)
+    item = [f"t{rng.randrange(10**6)}" for _ in range(60)]
+    docs = []
+    for d in range(60):
+        at, cut = rng.randrange(50), rng.randrange(1, 8)
+        w = item[at : at + 9]
+        w[cut : cut + (kind != "inserted")] = [] if kind == "deleted" else ["other"]
+        docs.append((d, " ".join(w)))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert len(got) >= 0.8 * 60 and all(r["edits"] == 1 and not r["own"] for r in got)
+
+
+def test_leaks_of_items_with_the_same_text(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(1, text), (2, text), (3, "other words")], "item_id bigint, text string")
+    got = leaks.leaks(spark.createDataFrame([(7, "so " + text + " it is")], "doc_id bigint, text string"), "doc_id", "text", items).collect()
+    assert sorted(tuple(r) for r in got) == [(7, 1, 20, 0, False), (7, 2, 20, 0, False)]
+
+
 def test_leaks_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame([], "item_id bigint, text string")
