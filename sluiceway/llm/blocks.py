@@ -1,14 +1,15 @@
 """What a text block (a line of a page) is, judged from the line alone.
 
-Plain functions over strings, used inside Arrow-batched passes. Every line gets one of the kinds
-below; nothing here looks at other pages.
+Plain functions over strings, used inside Arrow-batched passes. A line is judged by its density of
+function words, its length, its end, its bullets, figures and marks, at any length alike; no list of
+phrases is asked, and nothing here looks at other pages.
 """
 
 from __future__ import annotations
 
 import re
 
-#: Kinds of a line.
+#: Kinds of a line. ``BOILER`` is never given here: that takes other pages (see ``support``).
 BLANK, PROSE, SHORT, BOILER, ITEM, TABLE, CODE, LOG, JUNK = range(9)
 
 # Frequent function words of ten languages.
@@ -26,58 +27,12 @@ STOP_WORDS = {
 }
 STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws.split())
 
-# Words of navigation bars.
-_NAV = (
-    "about|about us|accessibility|account|archive|archives|authors|blog|blogroll|cart|categories|contact|contact us|cookies|credits|"
-    "downloads|events|faq|feed|feeds|forum|gallery|guestbook|help|home|imprint|index|jobs|legal|library|links|log in|login|log out|"
-    "members|menu|news|newsletter|notes|now|overview|photos|press|privacy|privacy policy|products|projects|random page|recent changes|"
-    "register|report a problem|rss|search|sections|services|shop|sign in|site map|sitemap|start|store|subscribe|support|team|terms|"
-    "terms of use|thanks|topics|impressum|datenschutz|kontakt|startseite|über uns|suche|accueil|mentions légales|recherche|à propos|"
-    "inicio|contacto|aviso legal|buscar|previous entry|next entry|newer|older|previous|next|share|save|print|mail|send"
-)
-_MENU = re.compile(rf"(?:{_NAV})(?:[\s|/·•»›,–—-]+(?:{_NAV}))*")
-
-# How boilerplate lines begin, in the case-folded line without bullet and closing marks.
-_BEGINS = re.compile(
-    "|".join(
-        (
-            # trails
-            r"you are here\b", r"(?:home|index|start|startseite|accueil|inicio) ?[›»>]",
-            # bylines and dates
-            r"by [\w'’.-]+ [\w'’.-]+(?: [\w'’.-]+)?(?:,? (?:on )?\d{1,2}\.? \w+\.? \d{4}.*)?$", r"(?:written|posted|published|edited|photographed|reported) (?:by|on) [\w'’.-]+(?: [\w'’.-]+){0,3}(?:$| ?[|,·]| on \d| \d)", r"(?:words|text|photos?|pictures|author|autor|auteur): \w+ \w+\b.{0,60}$",
-            r"last (?:edited|updated|changed|modified)\b", r"\d+ min(?:ute)?s? read\b",
-            # series, first print, editors' notes
-            r"this (?:piece|article|post|entry|story|text|page) (?:is part of|first appeared|was first|originally|appeared first)", r"(?:first|originally) (?:printed|published|posted|appeared) (?:on|in|at)\b.{0,90}$", r"editor'?s?[’']?s? note\b", r"(?:correction|corrections|note from the editors?)\b ?[:-]",
-            # sharing and comments
-            r"(?:share|like|pin|tweet|recommend) (?:this|on (?:your|my|the)|it)\b.{0,60}$", r"tell (?:your|everyone|the world|others|a friend|somebody|someone)\b.{0,50}\b(?:this|page|story|entry|post|article)\b.{0,10}$",
-            r"(?:like|liked|enjoy|enjoyed) (?:what you|this|the|our)\b.{0,110}(?:word|others|friend|someone|tip|share|support)", r"\d[\d., ]* (?:shares?|comments?|likes?|replies|responses|views|reactions|visitors?|readers?)\b.{0,40}$", r"(?:no|leave a|add a|post a|write a) (?:comments?|reply)\b.{0,30}$",
-            r"partage[rz] (?:cet|cette|ce|sur)\b", r"diese[nrs]? (?:beitrag|artikel|seite) (?:teilen|drucken|empfehlen)", r"comparte (?:esta|este|en)\b", r"condividi\b", r"compartilh",
-            # sign-up and support
-            r"(?:sign up|subscribe|register)\b (?:for|to|now|here|today)\b.{0,100}$", r"join (?:the )?\d+\b", r"join our\b.{0,80}$", r"get .{1,60} by (?:post|mail|e-?mail)\b", r"help (?:keep|us keep|support|fund)\b.{0,140}(?:free|alive|going|advert|supporter|month)", r"(?:den |unseren )?(?:rundbrief|newsletter)\b.{0,60}(?:bestellen|abonnieren)", r"(?:recevez|abonnez)\b.{0,80}$", r"(?:recibe|suscríbete)\b.{0,80}$", r"our (?:monthly|weekly|daily) (?:letter|newsletter)\b.{0,80}$", r"become (?:a|our) (?:supporter|member|patron)\b.{0,80}$",
-            # links to other pages, tags
-            r"(?:see|read|watch|hear) (?:also|next|more|on)\b ?[-:»›–—]", r"(?:related|more|further reading|recommended|up next|next|previously|earlier|most read|popular|you (?:may|might) (?:also )?(?:like|enjoy))\b ?[:»›–—-] ?", r"(?:siehe auch|lies auch|lire aussi|à lire|lee también|ver también)\b", r"(?:filed under|filed in|tags?|tagged|tagged with|categories|category|topics?|keywords|posted in|labels?|in) ?: ?\S",
-            # legal lines
-            r"(?:©|\(c\)|copyright\b)", r"all rights reserved", r"(?:text|texts|content|pictures|photos|articles|words) (?:on|of|from|by) .{1,60}\bmay (?:not )?be\b", r"nothing (?:on|in|at|here) .{0,60}\bis\b.{0,30}\badvice", r"the (?:views|opinions)\b.{0,40}\b(?:are|belong)\b.{0,40}\b(?:those|only|solely|alone)", r"(?:reprints?|reproduction|reuse)\b.{0,60}\b(?:permission|licen[cs]e|allowed)", r"(?:tous droits|alle rechte|todos los derechos|tutti i diritti|todos os direitos)",
-            # footers
-            r"powered by\b", r"(?:page|site) (?:served|generated|rendered|built) in\b", r"(?:built|made|hosted|coded|crafted) (?:with|by|on|in)\b.{0,80}\b(?:hosted|machine|server|files|care|script|love|engine|hand)\b", r"(?:back to (?:the )?top|to the top|top of page)\b", r"you have reached the end\b", r"(?:visitors?|hits|views)\b.{0,20}\bsince\b", r"site ?map\b ?[|/·-]", r"proudly\b.{0,60}$",
-            # consent
-            r"(?:reject|decline|refuse|accept|allow|manage|deny)\b.{0,40}(?:cookies?|all|choices)\b.{0,20}(?:[|/·]|$).{0,60}$", r"by (?:scrolling|continuing|staying|using|browsing|clicking|visiting)\b.{0,80}\b(?:agree|accept|consent)", r"your privacy\b.{0,40}\b(?:matters|is important)",
-        )
-    )
-)
-# Marks of boilerplate further inside a line, each behind a plain word that must be there.
-_STAFF = re.compile(r"[\w'’.-]+ [\w'’.-]+,? [\w'’.-]+ staff$")
-_CONSENT = re.compile(
-    r".{0,40}\b(?:uses?|sets?|stores?|saves?|keeps?|places?|verwende[nt]|nutz(?:t|en)|setzt|utilis(?:e|ons)|dépose|utiliza|usa|usamos|utilizamos|gebruikt|används?|używa)\b.{0,30}\b(?:cookies|small files|crumbs of data|data on your)\b"
-)
-_REPRINT = re.compile(r".{1,60}\bis published (?:from|by|in)\b.{1,60}\b(?:reprints?|permission|rights)\b")
-
 _BULLET = re.compile(r"^(?:[•»*▪‣◦·–—>-]+\s+|#+\s+|\(?\d{1,3}[.)]\s+)+")
 _TAIL = " .!…>»"
 _END = re.compile(r"[.!?…。][\"'”’»)\]]*(?:\s*(?:lol|:\)|!!+))?$")
 _LOG = re.compile(r"^\[?\(?(?:\d{4}[-/.]\d\d[-/.]\d\d|\d\d[-/.]\d\d(?:[-/.]\d{2,4})?)[ T,]+\d\d:\d\d|\brc=-?\d|\b0x[0-9a-f]{4,}\b|^(?:DEBUG|INFO|WARN|ERROR|FATAL|TRACE)\b|\b(?:GET|POST|HEAD) /\S* HTTP|^\s*at [\w.$]+\([\w.]+:\d+\)")
 _CODE = re.compile(
-    r"[{};]\s*$|^\s*(?:var|let|const|def|class|import|from|return|function|public|private|static|#include|package|using|elif|else:|try:|except|while|for|if)\b.*[({:;=]|^\s*[\w.\[\]]+ ?(?:[-+*/]|:)?= ?[^=\s].*[\])'\";0-9]\s*$|^\s*[\w.]+\([^)]*\);?\s*$|=>|::|&&|</?\w+[^>]*>|^\s*(?://|/\*|\*/|#!)|\bfunction\s*\("
+    r"[{};]\s*$|^\s*(?:var|let|const|def|class|import|from|return|function|public|private|static|#include|package|using|elif|else:|try:|except|while|for|if)\b.*[({:;=]|^\s*[\w.\[\]]+ ?(?:[-+*/]|:)?= ?[^=\s].*[\])'\";0-9]\s*$|^\s*[\w.]+\([^)]*\);?\s*$|=>|::|&&|</?\w+[^<>]*>|^\s*(?://|/\*|\*/|#!)|\bfunction\s*\("
 )
 _CELL = re.compile(r"^[-+(]?[$€£]?\d[\d.,:/]*\)?[%°a-zA-Z€$]{0,3}$|^(?:n/?a|-|–|—|\?|null|nan|yes|no|x|✓)$", re.I)
 _SPLIT = re.compile(r"\s*[|;\t]+\s*|\s{2,}")
@@ -100,62 +55,22 @@ def bare(line: str) -> str:
     return _bare(" ".join(line.split()))
 
 
-def _begins(s: str) -> bool:
-    """Whether a case-folded bare line reads like boilerplate."""
-    if _BEGINS.match(s) or ("›" in s and len(s) <= 160):
-        return True
-    if s.endswith(" staff"):
-        return _STAFF.match(s) is not None
-    if "cookies" in s or "small files" in s or "crumbs of data" in s:
-        return _CONSENT.match(s) is not None
-    return " is published " in s and _REPRINT.match(s) is not None
-
-
-def boilerplate(line: str) -> bool:
-    """Whether a line says by itself that it isn't main text: a menu, a notice, a byline, a footer and so on."""
-    s = bare(line).lower()
-    if not s or len(s) > 260:
-        return False
-    return _begins(s) or (len(s) <= 160 and _MENU.fullmatch(s) is not None)
-
-
-#: Lines beyond this many characters are judged by their counts alone, so that pieces of them can be merged.
-LONG_LINE = 2000
-
-
-def long_kind(n: int, k: int, stops: int, letters: int) -> int:
-    """Kind of a line beyond ``LONG_LINE`` characters, from its characters, words, function words and letters."""
-    if k and stops >= 0.15 * k:
-        return PROSE
-    if letters * 2 < n or k * 60 < n:
-        return JUNK
-    return ITEM
-
-
 def kind(line: str) -> tuple[int, int, int]:
     """Kind of a line, its number of words, and how many of them are function words.
 
     ``SHORT`` is undecided: a few words without the end of a sentence, as a headline, a link or an item has.
+    Blanks around a line make no difference.
     """
     s = line.strip()
     if not s:
         return BLANK, 0, 0
-    n = len(s)
-    low = s.lower()
-    ws = low.split()
+    ws = s.lower().split()
     k = len(ws)
     stops = sum(map(STOP.__contains__, ws))
-    if n > LONG_LINE:
-        return long_kind(n, k, stops, sum(map(str.isalpha, s))), k, stops
-    share = stops / k
-    if n <= 270:
-        b = _bare(" ".join(ws))
-        if b and (_begins(b) or ((share < 0.25 or n < 60) and len(b) <= 160 and _MENU.fullmatch(b))):
-            return BOILER, k, stops
-    return _judge(line, s, n, k, share), k, stops
+    return _judge(s, len(s), k, stops / k), k, stops
 
 
-def _judge(line: str, s: str, n: int, k: int, share: float) -> int:
+def _judge(s: str, n: int, k: int, share: float) -> int:
     if share < 0.3:
         letters = sum(map(str.isalpha, s))
         bad = len(_MOJI.findall(s))
@@ -165,7 +80,7 @@ def _judge(line: str, s: str, n: int, k: int, share: float) -> int:
             return JUNK
         if _LOG.search(s):
             return LOG
-        if share < 0.25 and _CODE.search(line):
+        if share < 0.25 and _CODE.search(s):
             return CODE
         long = sum(map(len, _LONG.findall(s)))
         if long * 2 > n and not s.startswith(("http://", "https://", "www.", "#")):
@@ -177,9 +92,9 @@ def _judge(line: str, s: str, n: int, k: int, share: float) -> int:
         if letters * 3 < n and k >= 8:
             return JUNK
         cells = _SPLIT.split(s)
-        if len(cells) >= 3 and all(len(c) < 40 for c in cells) and not _END.search(s):
+        if len(cells) >= 3 and all(len(c) < 40 for c in cells) and not _END.search(s[-40:]):
             return TABLE
-    ended = _END.search(s) is not None
+    ended = _END.search(s[-40:]) is not None
     if share >= 0.2 and (k >= 12 or ended):
         return PROSE
     if ended and k >= 25 and share >= 0.1:

@@ -1,11 +1,9 @@
 """Menus, notices and footers among the lines of an article (problem 5).
 
-Two passes of block rules. The first sees a line alone: cue words, length, density of function
-words, and, from the page's frames, density of links decide most blocks. In the second, short
-blocks left undecided inherit the label of the nearest decided neighbours.
-
-The first pass runs where the text is read and keeps two small arrays a page; the frames' counts
-are joined to those by page, and the text itself is never shuffled.
+Two passes of block rules. The first decides most blocks: by the density of function words and the
+length (sentences are body), by the density of links (from the page's frames), and by how far the
+block's template is spread over pages and sites (``support``), which holds for sentence-like notices
+too. In the second, short blocks left undecided inherit the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -14,32 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .keywords import frame_links, line_links
-from .pages import read
-from .passes import map_rows
+from .keywords import line_links
 
 #: Link bytes per byte from which on short lines are links, and below which they are not.
 LINKED, UNLINKED = 0.65, 0.35
 #: Undecided lines in a row at the end of a page that are links.
 LINK_RUN = 3
-_FIRST = "page_id bigint, numbers array<int>, sizes array<int>, kinds array<int>"
-
-
-def first_pass(content: str, title: str | None, lines: list | None = None) -> tuple[list[int], list[int], list[int]]:
-    """(number, UTF-8 bytes, kind) of the non-blank lines; a headline that is the page's title, or a short line that starts small, is prose."""
-    numbers, sizes, kinds = [], [], []
-    heading = B.bare(title).casefold() if title else ""
-    for no, (line, kind, _, _) in enumerate(read(content) if lines is None else lines, 1):
-        if kind == B.BLANK:
-            continue
-        if kind in (B.SHORT, B.ITEM) and heading and (b := B.bare(line).casefold()) and len(b) > 8 and b in heading:
-            kind = B.PROSE
-        elif kind == B.SHORT and (line.lstrip(" >\t")[:1]).islower():  # a sentence in passing, no heading
-            kind = B.PROSE
-        numbers.append(no)
-        sizes.append(len(line) if line.isascii() else len(line.encode()))
-        kinds.append(kind)
-    return numbers, sizes, kinds
 
 
 def second_pass(sizes: list[int], kinds: list[int], frames: list | None) -> list[bool]:
@@ -98,28 +76,8 @@ def second_pass(sizes: list[int], kinds: list[int], frames: list | None) -> list
     return out
 
 
-def boilerplate_lines(pages: DataFrame, frames: DataFrame) -> DataFrame:
-    """``page_id, line_no`` of the lines that aren't main body; distinct. Lines are numbered from 1, blank ones count.
-
-    Null content has no lines. Frames that don't fit a page's text, or miss, leave lines to the other rules.
-    """
-    rows = pages.select(F.col("page_id").cast("bigint"), "content", "title").filter("page_id IS NOT NULL AND content IS NOT NULL")
-    first = map_rows(rows, lambda i, x, t: ((i, *first_pass(x, t)),), _FIRST, scan=True).filter(F.size("kinds") > 0)
-    return second_lines(first.join(frame_links(frames), "page_id", "left"))
-
-
-def second_lines(met: DataFrame) -> DataFrame:
-    """The second pass over pages' ``numbers, sizes, kinds`` joined with their ``frames``: ``page_id, line_no``, distinct."""
-    met = met.select("page_id", "numbers", "sizes", "kinds", "frames")
-
-    def second(i, numbers, sizes, kinds, frames):
-        return ((i, no) for no, bad in zip(numbers, second_pass(sizes, kinds, frames), strict=True) if bad)
-
-    return map_rows(met, second, "page_id bigint, line_no bigint").distinct()
-
-
 def main_body(pages: DataFrame, lines: DataFrame) -> DataFrame:
-    """``page_id, body``: each page's text without the given lines (``page_id, line_no``)."""
+    """``page_id, body``: each page's text without the given lines (``page_id, line_no``); rows of ``pages`` without text are left out."""
     drop = lines.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
     met = pages.filter("content IS NOT NULL").select("page_id", "content").join(drop, "page_id", "left")
     kept = F.filter(F.split("content", "\n"), lambda x, i: ~F.coalesce(F.array_contains("drop", i + 1), F.lit(False)))

@@ -1,9 +1,9 @@
 """Pages of repeated keywords, product tags or links (problem 2).
 
-The pass over a page builds the suffix automaton of its words and measures how much of it maximal
-repeats cover and whether its words form clauses. Links come from the page's frames: they hold the
-non-blank lines in order and count their bytes, so line sizes align frames with lines without
-moving any text; only sizes, kinds and facts meet in the join.
+The pass over a page builds the suffix automaton of its words and measures, line by line, how many
+characters maximal repeats cover. A page's rule sums them over the lines that aren't boilerplate and
+asks whether the page has clauses. Links come from the page's frames: they hold the non-blank lines in
+order and count their bytes, so line sizes align frames with lines without moving any text.
 """
 
 from __future__ import annotations
@@ -13,15 +13,6 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import pages as P
-from .passes import map_rows
-
-_FACTS = "page_id bigint, cover double, long_cover double, often double, stop double, multi double, tags double, words int, sizes array<int>, kinds array<int>"
-
-
-def page_facts(pages: DataFrame) -> DataFrame:
-    """Facts on each page's words and lines; null content gives none."""
-    rows = pages.select(F.col("page_id").cast("bigint"), "content").filter("page_id IS NOT NULL AND content IS NOT NULL")
-    return map_rows(rows, lambda i, t: ((i, *P.keyword_facts(t)),), _FACTS, scan=True)
 
 
 def frame_links(frames: DataFrame) -> DataFrame:
@@ -32,12 +23,12 @@ def frame_links(frames: DataFrame) -> DataFrame:
 
 
 def line_links(sizes: list[int], frames: list | None) -> list[tuple[int, int, int | None]]:
-    """(first line, line after the last, link bytes or None) of each frame, by the bytes it counts; none if they don't fit."""
+    """(first line, line after the last, link bytes or None) of each frame, by the bytes it counts; none if they don't fit, those before it if one has no count."""
     out, at = [], 0
     for f in frames or ():
         n, links = f["n"], f["links"]
-        if n is None:
-            return []
+        if n is None:  # from here on nothing is known
+            return out
         to, got = at, 0
         while to < len(sizes) and got < n:
             got += sizes[to]
@@ -69,33 +60,35 @@ def link_share(sizes: list[int], kinds: list[int], frames: list | None) -> float
     return link / total if total else None
 
 
-#: Link bytes in a page's text from which on it is a list of links, unless sentences make up half of it.
+#: Share of links from which on a page is a list of them, unless sentences make up half of it.
 LINK_LIST = 0.55
+#: Words below which a page's repeats tell nothing.
+LEAST_WORDS = 15
 
 
-def judge(met: DataFrame) -> DataFrame:
-    """``page_id, stuffed, link_list`` of each page, from its facts joined with its ``frames``."""
-
-    def rule(i, cover, long_cover, often, stop, multi, tags, words, sizes, kinds, frames):
-        core = prose = machine = 0
-        for n, k in zip(sizes, kinds, strict=True):
-            if k != B.BOILER:
-                core += n
-                prose += n * (k == B.PROSE)
-                machine += n * (k in (B.CODE, B.LOG, B.JUNK))
-        hit = P.stuffed(cover, long_cover, often, stop, multi, tags, words, machine / core if core else 0.0)
-        share = link_share(sizes, kinds, frames) if words >= P.LEAST_WORDS else None
-        yield i, hit, share is not None and share >= LINK_LIST and prose * 2 < core
+def keyword_page(lines: list[tuple], links: float | None) -> bool:
+    """Whether a page is repeated keywords, product names, tags or links, by its lines that aren't boilerplate.
 
-    return map_rows(met.select("page_id", "cover", "long_cover", "often", "stop", "multi", "tags", "words", "sizes", "kinds", "frames"), rule, "page_id bigint, stuffed boolean, link_list boolean")
-
-
-def keyword_pages(pages: DataFrame, frames: DataFrame) -> DataFrame:
-    """``page_id`` of the pages that are, boilerplate aside, repeated keywords, tags or links.
-
-    Articles that cite much have sentences, those that keep to one word have clauses; plain lists
-    and tables have neither repeats across items nor links. Null or blank content is no case,
-    missing frames or link counts leave the words to decide. Distinct ids.
+    ``lines``: (kind, characters, words, function words, marks, tag and address characters, word
+    characters, those in repeats of two words or more, those in repeats that occur three times, odd characters) each;
+    ``links``: share of link bytes, if known. Repeats must cover the page and clauses be missing;
+    code, logs and unreadable text repeat too and don't count, nor do tables, whose cells repeat
+    without repeating in turn.
     """
-    return judge(page_facts(pages).join(frame_links(frames), "page_id", "left")).filter("stuffed OR link_list").select("page_id").distinct()
-
+    chars = sum(x[1] for x in lines)
+    if not chars:
+        return False
+    of = lambda kinds: sum(x[1] for x in lines if x[0] in kinds) / chars
+    prose = of((B.PROSE,))
+    tags = sum(x[5] for x in lines) / chars
+    if max(links or 0.0, tags) >= LINK_LIST and prose < 0.5:
+        return True
+    words, stops, solid = sum(x[2] for x in lines), sum(x[3] for x in lines), sum(x[6] for x in lines)
+    if words < LEAST_WORDS or not solid or of((B.CODE, B.LOG, B.JUNK)) > 0.4:
+        return False
+    stop, long, often = stops / words, sum(x[7] for x in lines) / solid, sum(x[8] for x in lines) / solid
+    if (long >= 0.66 and stop < 0.25) or (long >= 0.85 and stop < 0.36):
+        return True
+    items = sum(x[1] for x in lines if x[4] & P.ITEMS) / chars
+    figures = sum(x[9] for x in lines) / chars
+    return often >= (0.3 if figures < 0.2 else 0.45) and stop < 0.1 and items > 0.6

@@ -1,161 +1,45 @@
-"""What a page is, from its lines: counts that merge, keyword pages, residue of templates.
+"""What a page is, from its lines: facts that merge, keys of its lines, residue of templates.
 
-Plain functions; the operators in this subpackage run them inside Arrow-batched passes.
+Plain functions; the operators in this subpackage run them inside Arrow-batched passes. A text is read
+through one path: it is cut into chunks, each chunk gives a partial state (the facts of its closed
+lines and its open first and last piece), states merge associatively, and a finished state is a
+``Page``. A text within one chunk is a tree with one leaf.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from hashlib import blake2b
 
 from . import blocks as B
-from .automaton import repeat_cover
+from .automaton import repeat_marks
 
-#: Positions in a vector of counts. Kinds of lines follow at ``CHARS`` (characters) and ``LINES`` (lines).
-N_LINES, N_BLANK, N_CHARS, N_WORDS, WORD_CHARS, SYMBOLS, ENDED, STOPS, CORE_WORDS, CORE_STOPS, CORE_LONG = range(11)
-CHARS, LINES = 11, 20
-WIDTH = 29
-
-_SYMBOL = re.compile(r"[^\w\s]")
-
-
-def add_line(v: list[int], line: str) -> int:
-    """Count one whole line; returns its kind."""
-    kind, k, stops = B.kind(line)
-    n = len(line.strip())
-    count_line(v, kind, n, k, stops, bool(n and B._END.search(line.rstrip()[-40:])))
-    return kind
-
-
-def count_line(v: list[int], kind: int, n: int, k: int, stops: int, ended: bool) -> None:
-    if kind == B.BLANK:
-        v[N_BLANK] += 1
-        return
-    v[N_LINES] += 1
-    v[N_CHARS] += n
-    v[N_WORDS] += k
-    v[STOPS] += stops
-    v[ENDED] += ended
-    v[CHARS + kind] += n
-    v[LINES + kind] += 1
-    if kind != B.BOILER:
-        v[CORE_WORDS] += k
-        v[CORE_STOPS] += stops
-        if n > 100:
-            v[CORE_LONG] += n
-
-
-def read(text: str) -> list[tuple[str, int, int, int]]:
-    """(line, kind, words, function words) of each line of a text."""
-    return [(line, *B.kind(line)) for line in text.split("\n")]
-
-
-def counts(text: str, lines: list | None = None) -> list[int]:
-    """Counts of a whole text; ``lines`` are its lines as read, if they are."""
-    v = [0] * WIDTH
-    for line, kind, k, stops in read(text) if lines is None else lines:
-        n = len(line.strip())
-        count_line(v, kind, n, k, stops, bool(n and B._END.search(line.rstrip()[-40:])))
-    v[WORD_CHARS] = len(text) - sum(map(str.isspace, text)) if len(text) < 64 else len("".join(text.split()))
-    v[SYMBOLS] = len(_SYMBOL.findall(text))
-    return v
-
-
-def listlike(v: list[int]) -> bool:
-    """Whether a page's text, boilerplate aside, is mostly lists, tables, unreadable characters, code or log output.
-
-    Characters of item, table, code, log and unreadable lines make up over half; short undecided
-    lines count as items where there are six or more of them and they outweigh the sentences.
-    """
-    core = v[N_CHARS] - v[CHARS + B.BOILER]
-    if core <= 0:
-        return False
-    junk = sum(v[CHARS + k] for k in (B.ITEM, B.TABLE, B.CODE, B.LOG, B.JUNK))
-    if junk * 2 > core:
-        return True
-    return v[LINES + B.SHORT] >= 6 and (junk + v[CHARS + B.SHORT]) * 2 > core
-
-
-# ------------------------------------------------------------------ keyword pages (problem 2)
-
-_WORD = re.compile(r"\w+")
-_SEP = re.compile(r"\s*[,;|/·•]\s+|\s+[-–—]\s+")
-_HASH = re.compile(r"(?:^|\s)#\w{3,}")
-_HOST = re.compile(r"^(?:[•*·-]\s+|\d+[.)]\s+)?(?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?$")
-
-
-#: Words of one automaton. Pages beyond it, some hundred kilobytes of text, are measured stretch by stretch.
-SAM_WORDS = 50_000
-
-
-def keyword_facts(content: str, lines: list | None = None) -> tuple[float, float, float, float, float, float, int, list[int], list[int]]:
-    """Facts on keyword stuffing in a page's text, boilerplate aside.
-
-    (share of characters in repeats, in repeats of two words or more, in repeats that occur three
-    times, function words per word, characters in lines of many short items, hash tags per word or
-    lines that are addresses, words, UTF-8 bytes of each non-blank line, its kind)
-    """
-    core, sizes_of, kinds = [], [], []
-    words_n = stops_n = 0
-    for line, kind, k, stops in read(content) if lines is None else lines:
-        if kind == B.BLANK:
-            continue
-        sizes_of.append(len(line) if line.isascii() else len(line.encode()))
-        kinds.append(kind)
-        if kind != B.BOILER:
-            core.append(line)
-            words_n += k
-            stops_n += stops
-    total = cover = long_cover = often = 0
-    words: list[str | int] = []
-    for at, line in enumerate(core):
-        words += _WORD.findall(line.lower())
-        words.append(at)  # the end of a line, like no other: no repeat crosses it
-        if len(words) >= SAM_WORDS or at == len(core) - 1:
-            for a in range(0, len(words), 2 * SAM_WORDS):  # a line of its own may be longer still
-                part = words[a : a + 2 * SAM_WORDS]
-                sizes = [len(w) if isinstance(w, str) else 0 for w in part]
-                total += sum(sizes)
-                got = repeat_cover(part, sizes)
-                cover, long_cover, often = cover + got[0], long_cover + got[1], often + got[2]
-            words = []
-    stop = stops_n / max(words_n, 1)
-    if not total:
-        return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, sizes_of, kinds
-    chars = sum(map(len, core)) or 1
-    multi = sum(len(x) for x in core if len(_SEP.findall(x)) >= 3) / chars if stop < 0.25 else 0.0
-    tags = max(sum(len(_HASH.findall(x)) for x in core) / max(words_n, 1), sum(len(x) for x in core if _HOST.match(x.strip())) / chars) if stop < 0.25 else 0.0
-    return cover / total, long_cover / total, often / total, stop, multi, tags, words_n, sizes_of, kinds
-
-
-#: Least words of a page that can be a keyword page.
-LEAST_WORDS = 15
-
-
-def stuffed(cover: float, long_cover: float, often: float, stop: float, multi: float, tags: float, words: int, machine: float) -> bool:
-    """Whether a page is repeated keywords or tags: repeats cover it and it has no clauses.
-
-    ``machine`` is the share of characters in code, log and unreadable lines, which repeat too.
-    """
-    if words < LEAST_WORDS or machine > 0.4:
-        return False
-    if (long_cover >= 0.66 and stop < 0.25) or (long_cover >= 0.85 and stop < 0.36):
-        return True
-    if tags > 0.4 and stop < 0.2:
-        return True
-    return often >= 0.25 and stop < 0.1 and multi > 0.6
-
-
-# ------------------------------------------------------------------ template residue (problem 6)
+#: Marks of a line.
+ENDED, OPEN, BLANKS, ITEMS, NOTICE, FILLER = 1, 2, 4, 8, 16, 32
+#: Marks of a key's place: a slot of the unit is filled, or left blank.
+FILLED_AT, BLANK_AT = 1 << 30, 1 << 29
 
 # The syntaxes of template variables.
 VARIABLE = re.compile(
     r"\{\{\{?\s*[\w.|\- ]{1,60}\s*\}?\}\}|\{%-?\s*[\w. ]{1,60}\s*-?%\}|<%[=-]?\s*[\w.@]{1,60}\s*%>|[$#]\{\s*[\w.]{1,60}\s*\}|%\([\w.]{1,60}\)[sd]|"
     r"\[\[\s*[\w. -]{1,60}\s*\]\]|%%[\w.]{2,60}%%|@@[\w.]{2,60}@@|\b__[A-Z][A-Z_.]{1,60}__\b|(?i:\[(?:insert|your|enter|add)[ _][\w. -]{1,60}\])|"
-    r"<[A-Z][A-Z]*(?:_[A-Z]+)*>|(?<![\w$#{])\{[a-zA-Z_][\w.]{1,60}\}(?!\})"
+    r"<[A-Z][A-Z]*(?:_[A-Z]+)*>|(?<![\w$#{])\{[a-zA-Z_][\w.]{1,60}\}(?!\})|"
+    r"\*\|[A-Z][A-Z0-9_:]{1,60}\|\*|(?<![\w%])%[A-Z][A-Z_]{2,60}%(?![\w%])|(?<![\w$])\$[a-z][a-z_]{1,60}\$(?![\w$])|\[[A-Z]{2,}(?:[ _][A-Z]{2,}){1,5}\]|<<\s*[A-Za-z_]{2,60}\s*>>"
 )
-_MARKS = frozenset("{}[]<>%@$_")
+_MARKS = frozenset("{}[]<>%@$_*")
+# Names of fields left in capitals, and what programs print for a value that is missing.
+_FIELD = re.compile(r"\b(?:(?:FIRST|LAST|FULL|USER|CUSTOMER|CLIENT|COMPANY|PRODUCT|SITE|EVENT|CITY|ORDER|INVOICE|COURSE|AUTHOR)(?:[ _-]?(?:NAME|NUMBER|DATE|TITLE|ID))|COMPANY|FIRSTNAME|LASTNAME|USERNAME)\b")
+_MISSING = re.compile(r"\b(?:undefined|NaN|null)\b|\[object Object\]")
+_MISSING_MARKS = ("undefined", "NaN", "null", "[object")
+# Words behind which a value belongs.
+_BLANK = re.compile(r"\b(?i:dear|hello|hi|on|at|to|by|for|from|in|of|is|hallo|am|um|von|bonjour|le|à|de|hola|el|en|por)(?: [,.!?;](?!\w)|(?P<gap>  +)[a-zß-ÿ.,])|\w [,.](?= |$)")
+_GAP = re.compile(" {2,}")
 # Words of a sentence that explains a variable or a filler instead of leaving it unfilled.
-_EXPLAINS = re.compile(r"\b(?:such as|stands? for|for example|in the example|an? example|example of|called|named|means?|known as|turns? an?|replaces|written as|the mark|the tag|the variable|placeholders?|templates?|syntax)\b", re.I)
+_EXPLAINS = re.compile(
+    r"\b(?:such as|stands? for|for example|in the example|an? example|example of|called|named|means?|known as|turns? an?|replaces|written as|the mark|the tag|the variable|placeholders?|templates?|syntax|"
+    r"steht für|bedeutet|zum beispiel|genannt|platzhalter|par exemple|signifie|remplace|appelée?|por ejemplo|significa|llamad[oa])\b", re.I
+)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 # Filler of fresh sites and editors.
@@ -170,10 +54,14 @@ _FILLER_TITLE = re.compile(
     r"(?:your (?:title|headline|page title|text|name) here|(?:insert|add|enter) (?:a |your )?(?:title|headline|name)(?: here)?|(?:untitled|unnamed)(?: (?:document|page|post|\d+))?|(?:new|sample|example|test|blank|default) (?:page|post|document|site|title)(?: \d+)?|(?:page )?title(?: here)?|lorem ipsum.*|hello world!?|placeholder(?: title)?|no title|null|undefined|nan)",
     re.I,
 )
-# The Latin-like words that filler is made of.
+# Words of the standard filler text.
 LOREM = frozenset(
-    "lorem ipsum dolor dolora dolore sit amet consectetur consec adipiscing elit eiusmod tempor tempora incididunt labore magna magnor aliqua aliquam aliquem enim minim minima veniam quis nostrud nostrum exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat fugit nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum curae vestibulum vestis porta quam ultris ultrices ferra plinos inviso nequor tetur libera amentum sed vel faucibus mauris viverra sapien pellentesque habitant morbi tristique senectus netus malesuada fames".split()
+    "lorem ipsum dolor dolore dolora sit amet consectetur adipiscing adipisci elit sed do eiusmod tempor tempora incididunt incidunt ut et labore magna magnam aliqua aliquam enim ad minim minima veniam quis nostrud nostrum exercitation "
+    "ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat fugit nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt "
+    "mollit anim id est laborum quam vel porta viverra faucibus mauris vestibulum pellentesque curae".split()
 )
+#: Words of it that no other language's text is full of.
+_LOREM_OWN = LOREM - B.STOP - frozenset("quam vel porta et est in ad ex ea eu do id non sit ut elit tempora minima dolor sint culpa magna nulla mauris".split())
 # What error pages and script notices say.
 _ERROR = re.compile(
     r"\b(?:4\d\d|5\d\d)\b.{0,30}\b(?:error|not found|forbidden|unavailable|no such|gone|bad|timeout|request|unauthori[sz]ed)|\b(?:error|status|code|ray|reference|fehler|erreur|error n|incident|request id)\s?(?:code|no\.?|n°|#|:)?\s?[#:]?\s?[0-9a-f]*\d{2,}|"
@@ -215,24 +103,171 @@ _MESSAGE = re.compile(
 # Error titles that are everyday titles of articles as well; they count over short texts only.
 _EVERYDAY_TITLE = re.compile(r"warning|forbidden|coming soon|members only|loading.{0,4}|just a moment.{0,4}|oops.{0,30}|something went wrong|security check|are you a robot\??|not found|access (?:denied|refused)|under construction|[45]\d\d\b ?[-:–]? ?.{0,3}", re.I)
 
-#: Most words, boilerplate aside, of a page that is nothing but an error message or a notice in whatever words.
+
+#: Most words of a page, supported lines aside, that word lists may call an error message: they only settle what templates leave open.
 SHORT_PAGE = 90
-VAR, FILLER, NOTICE, TITLE = 1, 2, 4, 8
+VAR, LATIN, MESSAGE, TITLE, TITLE_WORDS, TITLE_DAILY = 1, 2, 4, 8, 16, 32
+
+
+def hashed(text: str) -> int:
+    """64 bits of a text, the same on every worker."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+# ------------------------------------------------------------------ keys: what makes two lines the same template
+
+_W = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_SEP = re.compile(r"\s*[:›»>|/·•–—]\s+|\s-\s")
+#: Lowest bits of a key: of a shape with its first word open, of a frame with fewer than two fixed words, of a lead.
+SHAPE, WEAK, LEAD = 1, 2, 4
+#: Words beyond which a line is keyed as a whole, by its letters, without leads and sentences.
+KEY_WORDS = 40
+SLOT = "\u25a1"
+# The full English names of the months.
+_DEFAULTS = frozenset("null undefined nan".split())
+_MONTHS = frozenset("january february march april may june july august september october november december".split())
+
+
+def frame(text: str, host: str = "") -> tuple[list[str], bool]:
+    """The words of a text with a slot for each figure, inner capitalised word and word of the site's name; and whether it has case to tell.
+
+    Records of one template come out equal whatever fills their slots.
+    """
+    ws = _W.findall(text)
+    upper, lower = text.upper() == text, text.lower() == text
+    out: list[str] = []
+    for w in ws:
+        low = w.lower()
+        slot = not w.isalpha() and any(map(str.isdigit, w)) or (len(w) > 4 and low in host) or (out and not upper and w[0].isupper()) or (low in _MONTHS and low != "may") or low in _DEFAULTS
+        if not slot:
+            out.append(low)
+        elif not out or out[-1] != SLOT:
+            out.append(SLOT)
+    return out, upper or lower
+
+
+def _key(mark: str, toks: list[str], text: str) -> int:
+    """Key of a frame: its fixed words; where they are fewer than two with the slots, or of slots only the words themselves, and marked as weak. 0 without letters."""
+    fixed = [t for t in toks if t != SLOT]
+    if len(fixed) >= 2:
+        return hashed(mark + " ".join(fixed)) & ~7
+    if fixed:
+        return hashed(mark + " ".join(toks)) & ~7 | WEAK
+    words = " ".join(w.lower() for w in _W.findall(text) if w.isalpha())
+    return hashed(mark + "=" + words) & ~7 | WEAK if words else 0
+
+
+@lru_cache(maxsize=50_000)
+def _units(s: str, host: str, kind: int) -> tuple[tuple[tuple[int, bool], ...], int]:
+    """(key, whether it has filled slots) of the units of a squeezed line (its sentences, or the whole), and the key of its lead or shape (0: none)."""
+    words = _W.findall(s)
+    if not words:
+        return (), 0
+    if len(words) > KEY_WORDS:
+        letters = "".join(filter(str.isalpha, s)).lower()
+        return (((hashed("l" + letters) & ~7, False),) if letters else ()), 0
+    seen = {}
+    for x in _SENTENCE.split(s) if kind in (B.PROSE, B.SHORT, B.ITEM) else (s,):
+        toks = frame(x, host)[0]
+        if k := _key("s", toks, x):
+            seen[k] = SLOT in toks
+    units = tuple(seen.items())
+    lead = 0
+    if kind != B.PROSE or not B._END.search(s[-40:]):
+        bulleted = not s[0].isalpha() and B._BULLET.match(s)
+        bare = B._BULLET.sub("", s) if bulleted else s
+        m = _SEP.search(bare)
+        if m and m.start() <= 40 and 1 <= len(_W.findall(bare[: m.start()])) <= 4:
+            lead = hashed("L" + " ".join(_W.findall(bare[: m.start()].lower())) + m.group().strip()) & ~7 | LEAD
+        elif kind != B.PROSE and bare[:1].isupper() and len(words) <= 20:
+            toks, caseless = frame(bare, host)
+            rest = toks[1:] if toks[:1] != [SLOT] else toks
+            rest = rest if rest[:1] == [SLOT] else [SLOT, *rest]
+            if not caseless and any(t != SLOT for t in rest) and not (bulleted and s[0] in "-*•0123456789("):
+                lead = hashed("F" + " ".join(rest)) & ~7 | SHAPE
+    return units, lead
+
+
+def title_key(title: str | None, host: str = "") -> int:
+    """Key of a title: its longest part besides the site's name. 0 without letters."""
+    if not title or title.isspace():
+        return 0
+    parts = [" ".join(p.split()) for p in _TITLE_CUT.split(title.strip())]
+    keyed = [(len(p), p) for p in parts if (f := frame(p, host)[0]) and f != [SLOT]] or [(len(p), p) for p in parts]
+    best = max(keyed)[1]
+    return _key("t", frame(best, host)[0], best)
+
+
+# ------------------------------------------------------------------ facts of a line
+
+_HASH = re.compile(r"(?:^|\s)#\w{3,}")
+_HOST = re.compile(r"^(?:[•*·-]\s+|\d+[.)]\s+)?(?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?$")
+_ITEMS = re.compile(r"\s*[,;|/·•]\s+|\s+[-–—]\s+")
 
 
 def _variables(line: str) -> int:
     """Unfilled variables of a line: those in sentences that don't explain them."""
-    if not _MARKS.intersection(line):
+    if not _MARKS.intersection(line) or not VARIABLE.search(line):
         return 0
     n = 0
-    if VARIABLE.search(line):
-        for sentence in _SENTENCE.split(line):
-            found = VARIABLE.findall(sentence)
-            if found and not _EXPLAINS.search(VARIABLE.sub(" ", sentence)):
-                n += len(found)
+    for sentence in _SENTENCE.split(line):
+        found = VARIABLE.findall(sentence)
+        if found and not _EXPLAINS.search(VARIABLE.sub(" ", sentence)):
+            n += len(found)
     return n
 
 
+def _open(line: str, kind: int) -> bool:
+    """Whether a line left a variable's name in a slot."""
+    if kind in (B.LOG, B.JUNK) or (kind == B.CODE and len(line) >= 200):
+        return False
+    if _MARKS.intersection(line) and _variables(line):
+        rest = VARIABLE.sub("", line)
+        return kind != B.CODE or rest.strip(" .,:;") == "" or not re.search(r"[=;`]|\bfunction\b", rest)
+    return False
+
+
+def _blanks(line: str, s: str) -> int:
+    """Signs that slots of a line were left blank, or at a default that programs print or forms show."""
+    n = 0
+    if any(m in s for m in _MISSING_MARKS):
+        n += len(_MISSING.findall(s))
+    if not s.isupper():
+        n += len(_FIELD.findall(s))
+    raw = line.strip()
+    if " ," in raw or " ." in raw or " !" in raw or "  " in raw:
+        found = list(_BLANK.finditer(raw))
+        if sum(x["gap"] is not None for x in found) == len(_GAP.findall(raw)):  # else the line doubles its spaces anyway
+            n += len(found)
+    return n if n and not _EXPLAINS.search(s) else 0
+
+
+def line_facts(line: str, host: str) -> tuple:
+    """(kind, characters, bytes, words, function words, marks, tag and address characters, odd characters, unit keys, lead key) of a line that isn't blank."""
+    kind, k, stops = B.kind(line)
+    s = " ".join(line.split())
+    n = len(s)
+    marks = ENDED if B._END.search(s[-40:]) else 0
+    odd = n - sum(map(str.isalpha, s)) - s.count(" ")
+    if len(_ITEMS.findall(s)) >= 3:
+        marks |= ITEMS
+    tags = 0
+    if stops * 4 < k or not stops:
+        if "#" in s:
+            tags = sum(len(x.strip()) for x in _HASH.findall(s))
+        if "." in s and _HOST.match(s):
+            tags = n
+    if _open(line, kind):
+        marks |= OPEN
+    if k <= KEY_WORDS and kind in (B.PROSE, B.SHORT, B.ITEM):
+        if b := _blanks(line, s):
+            marks |= OPEN if b >= 2 else BLANKS
+        if k <= 25 and _FILLER_HINT.search(s) and _FILLER_LINE.fullmatch(B._bare(s)):
+            marks |= FILLER
+    units, lead = _units(s, host, kind)
+    return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead
+
+
 def _message(line: str, before: str) -> bool:
     """Whether a line holds an error message or a script notice by its form, unless it or the line ``before`` explains it."""
     low = line.lower()
@@ -246,55 +281,190 @@ def _message(line: str, before: str) -> bool:
     return any(_MESSAGE.match(x) and not _EXPLAINS.search(x) for x in _SENTENCE.split(bare))
 
 
-def residue(title: str | None, content: str | None, lines: list | None = None) -> tuple[int, str | None, list[str]]:
-    """What of a page is template residue, its whole text as a template if it is short, its slots.
+# ------------------------------------------------------------------ states of chunks
+
+
+def partial(text: str, host: str = "") -> list:
+    """[facts of the closed lines (None: blank), first piece, last piece or None where the chunk holds no line break, lines as read]"""
+    lines = text.split("\n")
+    inner = lines[1:-1]
+    return [[line_facts(x, host) if x.strip() else None for x in inner], lines[0], lines[-1] if len(lines) > 1 else None, inner]
+
+
+def merge(a: list, b: list, host: str = "") -> list:
+    """The state of two adjacent chunks: the open pieces that meet make a line, read as a whole. Associative; ``partial("")`` is neutral."""
+    if a[2] is None:
+        return [b[0], a[1] + b[1], b[2], b[3]]
+    met = a[2] + b[1]
+    if b[2] is None:
+        return [a[0], a[1], met, a[3]]
+    return [a[0] + [line_facts(met, host) if met.strip() else None] + b[0], a[1], b[2], a[3] + [met] + b[3]]
+
+
+def finish(state: list, host: str = "") -> tuple[list, list[str]]:
+    """(facts of all lines in order, the lines)"""
+    closed, first, last, texts = state
+    one = lambda x: line_facts(x, host) if x.strip() else None
+    if last is None:
+        return [one(first)], [first]
+    return [one(first), *closed, one(last)], [first, *texts, last]
+
+
+def read(text: str, host: str = "") -> tuple[list, list[str]]:
+    """Facts of all lines of a text, and the lines."""
+    return finish(partial(text, host), host)
+
+
+# ------------------------------------------------------------------ counts (problem 1)
+
+#: Positions in a vector of counts.
+N_LINES, N_BLANK, N_CHARS, N_WORDS, STOPS, ENDED_LINES, ODD, DENSE_CHARS, ENDED_CHARS, SPACES = range(10)
+WIDTH = 10
 
-    Returns bits (``VAR`` unfilled variable, ``FILLER``, ``NOTICE`` error or script notice, ``TITLE``
-    one of these as the title), the skeleton of a short page (figures and names left out, or null),
-    and the skeletons of the lines with unfilled variables.
+
+def counts(facts: list) -> list[int]:
+    """Counts over lines, each a sum over them: they merge by addition."""
+    v = [0] * WIDTH
+    for f in facts:
+        if f is None:
+            v[N_BLANK] += 1
+            continue
+        kind, n, _, k, stops, marks, _, odd, _, _ = f
+        v[N_LINES] += 1
+        v[N_CHARS] += n
+        v[N_WORDS] += k
+        v[STOPS] += stops
+        v[ODD] += odd
+        v[SPACES] += k - 1
+        if marks & ENDED:
+            v[ENDED_LINES] += 1
+            v[ENDED_CHARS] += n
+        if dense(k, stops):
+            v[DENSE_CHARS] += n
+    return v
+
+
+def dense(k: int, stops: int) -> bool:
+    """Whether a line's words are common ones as a sentence's are."""
+    return stops * 5 >= k
+
+
+def prose(v: list[int]) -> bool:
+    """Whether counted text is natural prose, by its ratios.
+
+    Common words make up a fifth of its words and most of its characters stand in lines dense with
+    them. Prose in a language whose common words are not known shows in long lines that end in
+    punctuation, words of ordinary length and few symbols and figures.
     """
-    bits = 0
-    slots: list[str] = []
-    core: list[str] = []
-    words = lorem = filler = 0
+    n, words = v[N_CHARS], v[N_WORDS]
+    if not n:
+        return False
+    if v[STOPS] * 5 >= words and v[DENSE_CHARS] * 5 >= n * 3:
+        return True
+    solid = n - v[SPACES]
+    return v[STOPS] * 8 < words and words >= 12 * v[N_LINES] and v[ENDED_CHARS] * 2 >= n and 3 * words <= solid <= 8 * words and v[ODD] * 20 <= solid
+
+
+# ------------------------------------------------------------------ repeats (problem 2)
+
+
+def cover(facts: list, lines: list[str]) -> tuple[list[int], list[int], list[int]]:
+    """For each line that isn't blank: characters of its words, those in repeats of two words or more, and those in repeats that occur three times, in the whole page."""
+    words: list[str | int] = []
+    at: list[int] = []
+    line_no = 0
+    for f, line in zip(facts, lines, strict=True):
+        if f is None:
+            continue
+        mine = _W.findall(line.lower())
+        words += mine
+        words.append(line_no)  # the end of a line, like no other: no repeat crosses it
+        at += [line_no] * (len(mine) + 1)
+        line_no += 1
+    solid, long, often = [0] * line_no, [0] * line_no, [0] * line_no
+    _, two, three = repeat_marks(words)
+    for w, i, a, b in zip(words, at, two, three, strict=True):
+        if isinstance(w, str):
+            solid[i] += len(w)
+            if a:
+                long[i] += len(w)
+            if b:
+                often[i] += len(w)
+    return solid, long, often
+
+
+# ------------------------------------------------------------------ the page
+
+
+#: Columns that ``page`` gives: key of the title, bits of what shows by form, arrays over the lines that aren't blank, and the page's keys with their lines.
+PAGE = (
+    "title bigint, bits int, numbers array<int>, sizes array<int>, kinds array<int>, chars array<int>, words array<int>, stops array<int>, marks array<int>, tags array<int>, odd array<int>, "
+    "solid array<int>, long array<int>, often array<int>, n_units array<int>, keys array<bigint>, key_at array<int>"
+)
+
+
+def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
+    """What the operators need of a page, a value for each column of ``PAGE``."""
+    shown = [(no, f, x) for no, (f, x) in enumerate(zip(facts, lines, strict=True), 1) if f is not None]
+    kinds = [f[0] for _, f, _ in shown]
+    marks = [f[5] for _, f, _ in shown]
+    solid, long, often = cover(facts, lines)
+    heading = B.bare(title).casefold() if title else ""
+    heads = [B.bare(x).casefold() for x in _TITLE_CUT.split(title.strip())] if heading else []
+    total = sum(f[3] for _, f, _ in shown if f[0] in (B.PROSE, B.SHORT, B.ITEM))
+    bits = lorem = words = telling = 0
     before = ""
-    if content is not None and not content.isspace():
-        for line, kind, k, stops in read(content) if lines is None else lines:
-            if kind == B.BLANK:
-                continue
-            if _MARKS.intersection(line) and kind not in (B.LOG, B.JUNK) and (kind != B.CODE or len(line) < 200) and (v := _variables(line)):
-                if kind != B.CODE or VARIABLE.sub("", line).strip(" .,:;") == "" or v > 0 and not re.search(r"[=;`]|\bfunction\b", VARIABLE.sub("", line)):
-                    bits |= VAR
-                    slots.append(skeleton(line))
-            if not bits & NOTICE and _message(line, before):
-                bits |= NOTICE
-            before = line
-            if kind == B.BOILER:
-                continue
-            words += k
-            core.append(line)
-            if k <= 25 and _FILLER_HINT.search(line) and _FILLER_LINE.fullmatch(B.bare(line)):
-                filler += 1
-            if (stops * 4 < k or kind == B.ITEM) and k >= 3:
-                hit = sum(w.strip(".,;:") in LOREM for w in line.lower().split())
-                if hit * 4 >= k:
-                    lorem += hit
-    if filler or (lorem >= 4 and lorem * 3 >= max(words, 1) * 0.5):
-        bits |= FILLER
-    skel = None
-    if core and words <= SHORT_PAGE:
-        text = " ".join(core)
-        skel = skeleton(text)
-        if not (bits & FILLER) and _ERROR.search(text):
-            bits |= NOTICE
+    for i, (_, f, line) in enumerate(shown):
+        if heading and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and f[3] <= KEY_WORDS:
+            b = B.bare(line).casefold()
+            if kinds[i] in (B.SHORT, B.ITEM) and len(b) > 8 and b in heading:
+                kinds[i] = B.PROSE  # a headline that is the page's title
+            elif _SEP.search(b) and any(len(b) > len(h) > 8 and b.endswith(h) for h in heads):
+                kinds[i] = B.BOILER  # a trail that ends in it
+        if f[0] == B.SHORT and kinds[i] == B.SHORT and f[4] and line.lstrip(" >\t")[:1].islower():
+            kinds[i] = B.PROSE  # a sentence in passing, no heading
+        if f[5] & OPEN:
+            bits |= VAR
+        if not bits & MESSAGE and _message(line, before):
+            bits |= MESSAGE
+        before = line
+        words += f[3]
+        if f[4] * 4 < f[3] and f[3] >= 3:
+            ws = [w.strip(".,;:") for w in line.lower().split()]
+            hit = sum(w in LOREM for w in ws)
+            if hit * 3 >= f[3]:
+                lorem += f[3]
+                telling += sum(w in _LOREM_OWN for w in ws)
+        if total <= 3 * SHORT_PAGE and f[0] in (B.PROSE, B.SHORT, B.ITEM) and _ERROR.search(line):
+            marks[i] |= NOTICE
+    if telling >= 2 and lorem * 3 >= words:
+        bits |= LATIN
     if title and not title.isspace():
         whole = title.strip()
         parts = [whole, *(p.strip() for p in _TITLE_CUT.split(whole))]
-        if any(VARIABLE.fullmatch(p) for p in parts) or any(_FILLER_TITLE.fullmatch(p) for p in parts):
-            bits |= TITLE
-        elif any(_ERROR_TITLE.fullmatch(p) and (words <= 2 * SHORT_PAGE or not _EVERYDAY_TITLE.fullmatch(p)) for p in parts):
+        if any(VARIABLE.fullmatch(p) for p in parts):
             bits |= TITLE
-    return bits, skel, slots
+        elif any(_FILLER_TITLE.fullmatch(p) or (_ERROR_TITLE.fullmatch(p) and not _EVERYDAY_TITLE.fullmatch(p)) for p in parts):
+            bits |= TITLE_WORDS
+        elif any(_EVERYDAY_TITLE.fullmatch(p) for p in parts):
+            bits |= TITLE_DAILY
+    keys, key_at = [], []
+    for i, (_, f, _) in enumerate(shown):
+        for k, filled in f[8]:
+            keys.append(k)
+            key_at.append(i + FILLED_AT * (filled and not marks[i] & (BLANKS | OPEN)) + BLANK_AT * bool(marks[i] & BLANKS))
+        if f[9]:
+            keys.append(f[9])
+            key_at.append(i)
+    name = title_key(title, host)
+    if name:
+        keys.append(name)
+        key_at.append(len(shown))  # the title stands behind the last line
+    own = lambda i: [f[i] for _, f, _ in shown]
+    return (
+        name, bits, [no for no, _, _ in shown], own(2), kinds, own(1), own(3), own(4), marks, own(6), own(7), solid, long, often,
+        [len(f[8]) for _, f, _ in shown], keys, key_at,
+    )
 
 
 _NAME = re.compile(r"(?<=[a-z,;:] )[A-ZÀ-Þ]\w+|\d+")

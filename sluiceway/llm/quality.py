@@ -1,173 +1,104 @@
-"""Per-document text statistics, and the pages that are lists, tables or junk (problem 1).
+"""Per-document text statistics, and the reading of texts of any size (problems 1, 2, 5 and 6).
 
-A text is counted line by line. Huge texts are cut into chunks at any character; each chunk gives a
-partial state: the counts of its closed lines, and its open first and last line as mergeable pieces
-(a line or word cut in two is put right when the pieces meet). States merge associatively in a tree
-of bounded fan-in, and ratios and rules are taken from the merged counts.
+Huge texts are cut into chunks; each chunk gives a partial state (facts of its closed lines, its open
+first and last piece), states merge associatively in a tree of bounded fan-in, where pieces that meet
+are read as the one line they are, and ratios and rules are taken from what is merged. A text within
+one chunk goes the same way without the tree.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks as B
 from . import pages as P
 from .passes import map_rows
 
 #: Characters of a chunk.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: States merged by one task at each level; FAN_IN ** LEVELS chunks are more than a Spark string can hold.
 FAN_IN, LEVELS = 32, 3
 
-_STATS = "id bigint, v array<bigint>"
 
+def site_of(url: str | None) -> str | None:
+    """Host of a url without port and leading ``www.``, in lower case; None without host."""
+    if url is None:
+        return None
+    s = url.strip()
+    s = s.split("://", 1)[-1]
+    for c in "/?#":
+        s = s.split(c, 1)[0]
+    s = s.rsplit("@", 1)[-1].lower()
+    s = s.split(":", 1)[0]
+    return (s[4:] if s.startswith("www.") else s) or None
 
-# ---------------------------------------------------------------- a piece of one line
 
-def piece(text: str) -> list:
-    """A piece of a line: its text while short, else counts that join.
+def read_pages(pages: DataFrame, result: Callable, schema: str, chunk: int | None = None) -> DataFrame:
+    """One row for each row of ``pages`` (``page_id, url, title, content``): ``page_id`` and ``result(url, title, facts, lines)``.
 
-    [text or None, characters, leading and trailing spaces, letters, words, function words, first and last word, end]
+    Null content reads as empty. Rows without ``page_id`` are left out. Exact copies of a long text's
+    row are read once.
     """
-    if len(text) <= B.LONG_LINE:
-        return [text]
-    return _counted(text)
-
-
-def _counted(text: str) -> list:
-    ws = text.lower().split()
-    n = len(text)
-    body = text.rstrip()
-    return [
-        None, n, n - len(text.lstrip()), n - len(body), sum(map(str.isalpha, text)), len(ws), sum(w in B.STOP for w in ws),
-        ws[0][:32] if ws else "", ws[-1][-32:] if ws else "", body[-64:],
-    ]
-
-
-def join(a: list, b: list) -> list:
-    """The piece made of two adjacent pieces of one line."""
-    if a[0] is not None and b[0] is not None:
-        if len(a[0]) + len(b[0]) <= B.LONG_LINE:
-            return [a[0] + b[0]]
-    a = _counted(a[0]) if a[0] is not None else a
-    b = _counted(b[0]) if b[0] is not None else b
-    _, n1, lead1, trail1, let1, k1, s1, first1, last1, end1 = a
-    _, n2, lead2, trail2, let2, k2, s2, first2, last2, end2 = b
-    if not k1:
-        return [None, n1 + n2, n1 + lead2 if k2 else n1 + n2, trail2 if k2 else n1 + n2, let1 + let2, k2, s2, first2, last2, end2]
-    if not k2:
-        return [None, n1 + n2, lead1, trail1 + n2, let1 + let2, k1, s1, first1, last1, end1]
-    k, s, first, last = k1 + k2, s1 + s2, first1, last2
-    if not trail1 and not lead2:  # one word was cut in two
-        whole = (last1 + first2)[:64]
-        k -= 1
-        s += (whole in B.STOP) - (last1 in B.STOP) - (first2 in B.STOP)
-        if k1 == 1:
-            first = whole[:32]
-        if k2 == 1:
-            last = whole[-32:]
-    end = end2 if n2 - trail2 >= 64 else (end1 + " " * min(trail1, 64) + end2)[-64:]
-    return [None, n1 + n2, lead1, trail2, let1 + let2, k, s, first, last, end]
-
-
-def _close(v: list[int], p: list) -> None:
-    """Count a finished line."""
-    if p[0] is not None:
-        P.add_line(v, p[0])
-        return
-    _, n, lead, trail, letters, k, stops, _, _, end = p
-    n -= lead + trail
-    if not k:
-        P.count_line(v, B.BLANK, 0, 0, 0, False)
-    elif n <= B.LONG_LINE:  # mostly spaces: judged by its counts all the same
-        P.count_line(v, B.long_kind(n, k, stops, letters), n, k, stops, bool(B._END.search(end[-40:])))
-    else:
-        P.count_line(v, B.long_kind(n, k, stops, letters), n, k, stops, bool(B._END.search(end[-40:])))
-
-
-# ---------------------------------------------------------------- the state of a chunk
-
-def partial(text: str) -> list:
-    """[counts of closed lines, first piece, last piece or None where the chunk holds no line break]"""
-    v = [0] * P.WIDTH
-    v[P.WORD_CHARS] = len("".join(text.split()))
-    v[P.SYMBOLS] = len(P._SYMBOL.findall(text))
-    lines = text.split("\n")
-    for line in lines[1:-1]:
-        P.add_line(v, line)
-    return [v, piece(lines[0]), piece(lines[-1]) if len(lines) > 1 else None]
-
-
-def merge(a: list, b: list) -> list:
-    """The state of two adjacent chunks. Associative; ``partial("")`` is neutral."""
-    v = [x + y for x, y in zip(a[0], b[0], strict=True)]
-    if a[2] is None:
-        return [v, join(a[1], b[1]), b[2]]
-    met = join(a[2], b[1])
-    if b[2] is None:
-        return [v, a[1], met]
-    _close(v, met)
-    return [v, a[1], b[2]]
-
-
-def finish(state: list) -> list[int]:
-    v = list(state[0])
-    _close(v, state[1])
-    if state[2] is not None:
-        _close(v, state[2])
-    return v
-
-
-def counts(df: DataFrame, id_col: str, text: Column, chunk: int = CHUNK) -> DataFrame:
-    """``id, v``: the vector of counts of each text (see ``pages``); null text counts as empty.
-
-    Texts within one chunk are counted where they are read. Longer ones are cut up, counted in
-    parallel and merged in a tree of fan-in ``FAN_IN``. One row per row of ``df``'s distinct ids:
-    repeated rows of an id count once where they are exact copies.
-    """
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
-    short = map_rows(rows.filter(F.length("t") <= chunk), lambda i, t: ((i, P.counts(t)),), _STATS, scan=True)
-    long = rows.filter(F.length("t") > chunk).dropDuplicates(["id"])
-    pieces = long.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int")), lambda i: F.substring(F.col("t"), i * chunk + 1, F.lit(chunk)))).alias("at", "t"))
-    state = map_rows(pieces.repartition("id", "at"), lambda i, at, t: ((i, at, json.dumps(partial(t))),), "id bigint, at int, s string")
+    chunk = chunk or CHUNK
+    schema = f"page_id bigint, {schema}"
+    rows = pages.select(F.col("page_id").cast("bigint"), "url", "title", F.coalesce("content", F.lit("")).alias("content")).filter("page_id IS NOT NULL")
+
+    def whole(i, url, title, content):
+        return ((i, *result(url, title, *P.read(content, site_of(url) or ""))),)
+
+    short = map_rows(rows.filter(F.length("content") <= chunk), whole, schema, scan=True)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / chunk).cast("int")), lambda i: F.substring(F.col("content"), i * chunk + 1, F.lit(chunk)))
+    pieces = rows.filter(F.length("content") > chunk).select("page_id", "url", "title", F.posexplode(cuts).alias("at", "t"))
+    state_schema = "page_id bigint, url string, title string, at int, s binary"
+    state = map_rows(pieces, lambda i, url, title, at, t: ((i, url, title, at, pickle.dumps(P.partial(t, site_of(url) or ""), 5)),), state_schema)
 
     def merged(key, frame):
-        frame = frame.sort_values("at")
-        s = reduce(merge, map(json.loads, frame["s"]))
-        return frame.iloc[:1].assign(at=int(key[1]), s=json.dumps(s))
+        frame = frame.drop_duplicates("at").sort_values("at")
+        host = site_of(frame["url"].iloc[0]) or ""
+        s = reduce(lambda a, b: P.merge(a, b, host), map(pickle.loads, frame["s"]))
+        return frame.iloc[:1].assign(at=int(key[1]), s=pickle.dumps(s, 5))
 
     for _ in range(LEVELS):
-        state = state.groupBy("id", F.floor(F.col("at") / FAN_IN).cast("int").alias("g")).applyInPandas(merged, "id bigint, at int, s string")
-    return short.unionByName(map_rows(state, lambda i, at, s: ((i, finish(json.loads(s))),), _STATS))
+        state = state.groupBy("page_id", F.floor(F.col("at") / FAN_IN).cast("int").alias("g")).applyInPandas(merged, state_schema)
+
+    def last(i, url, title, _, s):
+        return ((i, *result(url, title, *P.finish(pickle.loads(s), site_of(url) or ""))),)
+
+    return short.unionByName(map_rows(state, last, schema))
+
+
+def counts(df: DataFrame, id_col: str, text: Column, chunk: int | None = None) -> DataFrame:
+    """``page_id, v``: the vector of counts of each text (see ``pages``); null text counts as empty. Repeated rows give repeated rows."""
+    rows = df.select(F.col(f"`{id_col}`").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"), text.alias("content"))
+    return read_pages(rows, lambda url, title, facts, lines: (P.counts(facts),), "v array<bigint>", chunk)
 
 
 def ratios(counted: DataFrame) -> DataFrame:
-    """Statistics of each document by name, from ``counts``, and ``listlike``: mostly lists, tables or junk."""
+    """Statistics of each document by name, from ``counts``, and ``is_prose``: natural prose by these ratios."""
     v = lambda i: F.col("v")[i]
     per = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
-    core = v(P.N_CHARS) - v(P.CHARS + B.BOILER)
-    junk = sum((v(P.CHARS + k) for k in (B.TABLE, B.CODE, B.LOG, B.JUNK)), v(P.CHARS + B.ITEM))
+    solid = v(P.N_CHARS) - v(P.SPACES)
     return counted.select(
-        "id",
+        "page_id",
         v(P.N_LINES).alias("n_lines"),
         v(P.N_CHARS).alias("n_chars"),
         v(P.N_WORDS).alias("n_words"),
-        per(v(P.WORD_CHARS), v(P.N_WORDS)).alias("mean_word_length"),
-        per(v(P.SYMBOLS), v(P.WORD_CHARS)).alias("symbol_ratio"),
-        per(v(P.ENDED), v(P.N_LINES)).alias("ended_share"),
+        per(solid, v(P.N_WORDS)).alias("mean_word_length"),
+        per(v(P.ODD), solid).alias("symbol_ratio"),
+        per(v(P.ENDED_LINES), v(P.N_LINES)).alias("ended_share"),
         per(v(P.STOPS), v(P.N_WORDS)).alias("common_word_share"),
-        per(v(P.CHARS + B.BOILER), v(P.N_CHARS)).alias("boilerplate_share"),
-        per(junk, core).alias("junk_share"),
-        listlike(F.col("v")).alias("listlike"),
+        per(v(P.DENSE_CHARS), v(P.N_CHARS)).alias("dense_share"),
+        prose(F.col("v")).alias("is_prose"),
     )
 
 
-def listlike(v: Column) -> Column:
-    """``pages.listlike`` as a column."""
-    core = v[P.N_CHARS] - v[P.CHARS + B.BOILER]
-    junk = sum((v[P.CHARS + k] for k in (B.TABLE, B.CODE, B.LOG, B.JUNK)), v[P.CHARS + B.ITEM])
-    return (core > 0) & ((junk * 2 > core) | ((v[P.LINES + B.SHORT] >= 6) & ((junk + v[P.CHARS + B.SHORT]) * 2 > core)))
+def prose(v: Column) -> Column:
+    """``pages.prose`` as a column."""
+    n, words, solid = v[P.N_CHARS], v[P.N_WORDS], v[P.N_CHARS] - v[P.SPACES]
+    common = (v[P.STOPS] * 5 >= words) & (v[P.DENSE_CHARS] * 5 >= n * 3)
+    other = (v[P.STOPS] * 8 < words) & (words >= 12 * v[P.N_LINES]) & (v[P.ENDED_CHARS] * 2 >= n) & (solid >= 3 * words) & (solid <= 8 * words) & (v[P.ODD] * 20 <= solid)
+    return (n > 0) & (common | other)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import boilerplate, keywords, languages, leaks, mixing, quality, repeats, review, templates
+from . import languages, leaks, mixing, quality, repeats, review
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,50 +17,51 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "element_frame")
 
 
-# ------------------------------------------------------------------ 1: text statistics
+def _review(spark: SparkSession, sf_dir: str) -> review.Review:
+    return review.Review(_pages(spark, sf_dir), _frames(spark, sf_dir))
 
 
-def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.counts(_pages(spark, sf_dir), "page_id", F.col("content"))
+# ------------------------------------------------------------------ 1: text statistics
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.Review(_pages(spark, sf_dir), _frames(spark, sf_dir)).list_pages()
+    return _review(spark, sf_dir).list_pages()
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ratios(_counted(spark, sf_dir)).withColumnRenamed("id", "page_id").distinct()
+    """Ratios of every page, boilerplate included."""
+    return quality.ratios(quality.counts(_pages(spark, sf_dir), "page_id", F.col("content"))).distinct()
 
 
 # ------------------------------------------------------------------ 2: keyword pages
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.keyword_pages(_pages(spark, sf_dir), _frames(spark, sf_dir))
+    return _review(spark, sf_dir).keyword_pages()
 
 
 # ------------------------------------------------------------------ 5: boilerplate
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.Review(_pages(spark, sf_dir), _frames(spark, sf_dir)).boilerplate_lines()
+    return _review(spark, sf_dir).boilerplate_lines()
 
 
 def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines of all pages, junk pages included."""
-    return boilerplate.boilerplate_lines(_pages(spark, sf_dir), _frames(spark, sf_dir))
+    return _review(spark, sf_dir).lines()
 
 
 # ------------------------------------------------------------------ 6: template residue
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.residue_pages(_pages(spark, sf_dir))
+    return review.Review(_pages(spark, sf_dir)).residue()
 
 
-def p6_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line templates that keep variable names in their slots, with the pages that left and that filled them."""
-    return templates.slot_lines(_pages(spark, sf_dir))
+def p6_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue pages by what gave them away (bits: slot, template, filler, form, words)."""
+    return review.Review(_pages(spark, sf_dir)).residue_origins().groupBy("origin").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 # ------------------------------------------------------------------ 7: repeated lines
@@ -150,7 +151,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_statistics, p2_found, p5_found, p5_lines, p6_found, p6_slots, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_temperature, p10_found, p10_segments, p10_documents,
+    p1_found, p1_statistics, p2_found, p5_found, p5_lines, p6_found, p6_origins, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_temperature, p10_found, p10_segments, p10_documents,
 )}
 
 _P7 = r"""

@@ -1,8 +1,10 @@
 """All page operators over one reading of the texts (problems 1, 2, 5 and 6 together).
 
-Problems 1 and 5 need what 2 and 6 find. Reading every text once for all four, the pass keeps a few
-hundred bytes a page (facts, line sizes and kinds); they are written to the checkpoint folder, and
-every later step, joins with the frames included, works on them.
+Reading every text once, the pass keeps about a kilobyte a page (facts and keys of its lines), written
+to the checkpoint folder. The keys tell how far each line's template is spread (``support``), the
+frames tell of links; both meet the facts by page, and one judgement over these numbers settles which
+lines are boilerplate, and from the others whether the page is prose, keywords or bare of a body. Texts
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,59 +13,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import boilerplate, keywords, quality, templates
+from . import blocks as B
 from . import pages as P
+from . import templates
+from .boilerplate import second_pass
+from .keywords import frame_links, keyword_page, link_share
 from .passes import map_rows
+from .quality import read_pages, site_of
+from .support import COMMON, SUPPORTED, key_classes
 
-_FACTS = (
-    "page_id bigint, listlike boolean, cover double, long_cover double, often double, stop double, multi double, tags double, words int, sizes array<int>, kinds array<int>, "
-    "numbers array<int>, heading array<int>, site string, bits int, skeleton string"
-)
+#: Bytes of lines besides templates from which on a page has a body.
+LEAST_BODY = 120
 
+_JUDGED = "page_id bigint, listlike boolean, keywords boolean, bare boolean, origin int, lines array<bigint>, templates array<bigint>"
 
-def _facts(i, url, title, content):
-    lines = P.read(content) if content is not None else []
-    text = content or ""
-    listlike = P.listlike(P.counts(text, lines)) if len(text) <= quality.CHUNK else None
-    facts = P.keyword_facts(text, lines)
-    numbers, _, headed = boilerplate.first_pass(text, title, lines)
-    own = facts[8]
-    heading = [at for at, (a, b) in enumerate(zip(own, headed, strict=True)) if a != b]  # lines that read as prose in this place
-    bits, skeleton, _ = P.residue(title, content, lines)
-    yield i, listlike, *facts, numbers, heading, templates.site_of(url), bits, skeleton
+
+def _facts(url, title, facts, lines):
+    host = site_of(url) or ""
+    site = P.hashed(host) if host else None
+    return site, P.hashed(url or ""), *P.page(host, title, facts, lines)
+
+
+def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd, solid, long, often, n_units, hits, frames):
+    """One row of the judgement (see ``_JUDGED``) on one page's facts, the classes of its keys and its frames."""
+    n = len(numbers)
+    classes: list[dict[int, int]] = [{} for _ in range(n + 1)]
+    for h in hits or ():
+        at = classes[min(h["line"], n)]
+        at[h["key"]] = at.get(h["key"], 0) | h["class"]
+    label, body = list(kinds), 0
+    for k in range(n):
+        units = {key: c for key, c in classes[k].items() if not key & (P.SHAPE | P.LEAD)}
+        supported = n_units[k] > 0 and sum(c & SUPPORTED for c in units.values()) >= n_units[k]
+        common = n_units[k] > 0 and sum((c & COMMON) > 0 and not key & P.WEAK for key, c in units.items()) >= n_units[k]
+        supported = supported or any(c & SUPPORTED for key, c in classes[k].items() if key & (P.SHAPE | P.LEAD))
+        if supported:
+            label[k] = B.BOILER
+        elif not (kinds[k] in (B.PROSE, B.SHORT) and common or not n_units[k] or kinds[k] == B.BOILER):
+            body += sizes[k]
+    core = [k for k in range(n) if label[k] != B.BOILER]
+    v = [0] * P.WIDTH
+    for k in core:
+        v[P.N_LINES] += 1
+        v[P.N_CHARS] += chars[k]
+        v[P.N_WORDS] += words[k]
+        v[P.STOPS] += stops[k]
+        v[P.ODD] += odd[k]
+        v[P.SPACES] += words[k] - 1
+        if marks[k] & P.ENDED:
+            v[P.ENDED_LINES] += 1
+            v[P.ENDED_CHARS] += chars[k]
+        if P.dense(words[k], stops[k]):
+            v[P.DENSE_CHARS] += chars[k]
+    stuffed = keyword_page([(kinds[k], chars[k], words[k], stops[k], marks[k], tags[k], solid[k], long[k], often[k], odd[k]) for k in core], link_share(sizes, label, frames))
+    origin = templates.origins(bits, marks, core, words, classes)
+    bad = [no for no, out in zip(numbers, second_pass(sizes, label, frames), strict=True) if out]
+    bare = body < LEAST_BODY
+    yield i, bool(core) and not P.prose(v), stuffed, bare, origin, bad, templates.candidates(classes, kinds)
 
 
 class Review:
-    """The facts of a table of pages, and what follows from them."""
+    """The facts of a table of pages, and what follows from them.
+
+    Null or blank content makes no lines and no case by itself; rows without ``page_id`` are left
+    out, repeated rows count once. Frames that don't fit a page's text, or miss, leave its lines to the
+    other rules; pages without a url have no site, and only their own lines speak for them.
+    """
 
-    def __init__(self, pages: DataFrame, frames: DataFrame):
-        self.pages, self.frames = pages, frames
-        rows = pages.select(F.col("page_id").cast("bigint"), "url", "title", "content").filter("page_id IS NOT NULL AND (title IS NOT NULL OR content IS NOT NULL)")
-        facts = map_rows(rows, _facts, _FACTS, scan=True)
-        self.facts = cut(facts.withColumns({"h": F.xxhash64("skeleton"), "m": F.md5("skeleton")}).drop("skeleton"))
-        self.met = self.facts.join(keywords.frame_links(frames), "page_id", "left")
+    def __init__(self, pages: DataFrame, frames: DataFrame | None = None):
+        facts = cut(read_pages(pages, _facts, f"site bigint, u bigint, {P.PAGE}"))
+        met = facts.drop("keys", "key_at", "site", "u", "title").join(key_classes(facts), "page_id", "left")
+        met = met.withColumn("frames", F.lit(None)) if frames is None else met.join(frame_links(frames), "page_id", "left")
+        arrays = ["numbers", "sizes", "kinds", "chars", "words", "stops", "marks", "tags", "odd", "solid", "long", "often", "n_units"]
+        self.judged = cut(map_rows(met.select("page_id", "bits", *arrays, "hits", "frames"), judge, _JUDGED))
+
+    def residue_origins(self) -> DataFrame:
+        """``page_id, origin`` of problem 6, with the bits of what gave it away."""
+        return templates.residue(self.judged)
 
     def residue(self) -> DataFrame:
         """``page_id`` of problem 6."""
-        return templates.from_facts(self.facts)
+        return self.residue_origins().select("page_id")
 
     def keyword_pages(self) -> DataFrame:
         """``page_id`` of problem 2."""
-        return keywords.judge(self.met).filter("stuffed OR link_list").select("page_id").distinct()
-
-    def junk(self) -> DataFrame:
-        """``page_id`` of pages that are lists, tables or junk, or keyword pages; template residue is not left out yet."""
-        long = self.pages.filter(F.length("content") > quality.CHUNK)
-        listed = quality.counts(long, "page_id", F.col("content")).filter(quality.listlike(F.col("v"))).select(F.col("id").alias("page_id"))
-        return self.facts.filter("listlike").select("page_id").unionByName(listed).unionByName(self.keyword_pages()).distinct()
+        return self.judged.filter("keywords").select("page_id").distinct()
 
     def list_pages(self) -> DataFrame:
-        """``page_id`` of problem 1."""
-        return self.junk().join(self.residue(), "page_id", "left_anti")
+        """``page_id`` of problem 1: neither prose nor template residue."""
+        return self.judged.filter("listlike OR keywords").select("page_id").distinct().join(self.residue(), "page_id", "left_anti")
+
+    def lines(self) -> DataFrame:
+        """``page_id, line_no`` of the lines that aren't main body, on all pages; lines are numbered from 1, blank ones count."""
+        return self.judged.select("page_id", F.explode("lines").alias("line_no")).distinct()
 
     def boilerplate_lines(self) -> DataFrame:
         """``page_id, line_no`` of problem 5, on the pages that neither problem 1 nor 6 holds."""
-        out = self.junk().unionByName(self.residue()).distinct()
-        prose = F.transform("kinds", lambda k, at: F.when(F.array_contains("heading", at), F.lit(boilerplate.B.PROSE)).otherwise(k))
-        met = self.met.filter(F.size("kinds") > 0).withColumn("kinds", prose).join(out, "page_id", "left_anti")
-        return boilerplate.second_lines(met)
+        kept = self.judged.filter("NOT (listlike OR keywords) AND size(lines) > 0").join(self.residue(), "page_id", "left_anti")
+        return kept.select("page_id", F.explode("lines").alias("line_no")).distinct()

@@ -1,89 +1,61 @@
 """Unfilled templates, filler, error messages and script notices (problem 6).
 
-Each page is read once. Records of one template share a skeleton (variables, figures and names are
-slots); skeletons of lines with variable names left in a slot, and of short whole pages, are grouped
-over all sites. A short page whose whole text repeats over several sites is a template of an error
-page even where its words are unknown.
+Records are aligned by the frames of their sentences (see ``support``): the fixed words stay, names and
+figures are slots. A page is residue by
+
+* a slot that keeps a variable's name, or stays blank or at a default where other records of the frame
+  fill it;
+* a template: a sentence or a title that stands on several sites under differing titles, and for the
+  most part on pages that hold nothing but such sentences. Footers stand on pages with a body,
+  error messages, script notices and filler do not, whatever their words and their length;
+* words of the standard filler text;
+* messages known by their form, and titles and short pages that word lists know: these only settle
+  what is too rare for an alignment.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from . import blocks as B
 from . import pages as P
-from .passes import map_rows
-
-#: Sites on which the whole text of a short page must repeat to count as a template by itself.
-TEMPLATE_SITES = 4
-_FACTS = "page_id bigint, site string, bits int, skeleton string, slots array<string>"
-
-
-def site_of(url: str | None) -> str | None:
-    """Host of a url without port and leading ``www.``, in lower case; None without host."""
-    if url is None:
-        return None
-    s = url.strip()
-    s = s.split("://", 1)[-1]
-    for c in "/?#":
-        s = s.split(c, 1)[0]
-    s = s.rsplit("@", 1)[-1].lower()
-    s = s.split(":", 1)[0]
-    return (s[4:] if s.startswith("www.") else s) or None
-
-
-def page_facts(pages: DataFrame) -> DataFrame:
-    rows = pages.select(F.col("page_id").cast("bigint"), "url", "title", "content").filter("page_id IS NOT NULL AND (title IS NOT NULL OR content IS NOT NULL)")
-    return map_rows(rows, lambda i, u, t, x: ((i, site_of(u), *P.residue(t, x)),), _FACTS, scan=True)
-
-
-def slot_lines(pages: DataFrame) -> DataFrame:
-    """``template, n_pages, n_filled``: line templates that keep variable names in their slots.
-
-    Records are aligned by their line skeletons, in which variables, figures and names are slots:
-    ``n_pages`` counts the pages that left a variable in one, ``n_filled`` the pages that hold a
-    line of the same template with every slot filled (0 where only variables are ever seen). Only
-    hashes of the filled lines are shuffled.
-    """
-    rows = pages.select(F.col("page_id").cast("bigint"), "content").filter("page_id IS NOT NULL AND content IS NOT NULL")
-
-    def each(i, content):
-        for line in content.split("\n"):
-            left = P._variables(line) > 0
-            skeleton = P.skeleton(line)
-            if "\u25a1" in skeleton:
-                yield i, hashed(skeleton), left, skeleton if left else None
-
-    lines = map_rows(rows, each, "page_id bigint, h bigint, open boolean, template string", scan=True)
-    per = lines.groupBy("h", "page_id").agg(F.max("open").alias("open"), F.max("template").alias("template"))
-    out = per.groupBy("h").agg(F.max("template").alias("template"), F.count_if("open").alias("n_pages"), F.count_if(~F.col("open")).alias("n_filled"))
-    return out.filter("n_pages > 0").select("template", "n_pages", "n_filled")
-
-
-def hashed(text: str) -> int:
-    """64 bits of a text, the same on every worker."""
-    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def residue_pages(pages: DataFrame) -> DataFrame:
-    """``page_id`` of pages with a placeholder, filler, an error or a script notice as text or title.
-
-    Null or blank titles and contents are no case by themselves. Articles that explain such things
-    stay: their variables stand in sentences that say what they are, their errors in long texts.
-    Distinct ids.
-    """
-    # the pass over the texts runs once; its facts, a few bytes a page, are kept for both branches
-    facts = cut(page_facts(pages).select("page_id", "site", "bits", F.xxhash64("skeleton").alias("h"), F.md5("skeleton").alias("m")))
-    return from_facts(facts)
-
-
-def from_facts(facts: DataFrame) -> DataFrame:
-    """``page_id`` of the residue pages among ``page_id, site, bits, h, m`` (bits, and two hashes of a short page's skeleton)."""
-    short = facts.filter("m IS NOT NULL AND bits = 0")
-    seen = facts.filter("m IS NOT NULL").select("h", "m", "site").distinct()
-    repeated = seen.groupBy("h", "m").agg(F.count("site").alias("sites")).filter(F.col("sites") >= TEMPLATE_SITES)
-    by_words = facts.filter("bits > 0").select("page_id")
-    return by_words.unionByName(short.join(repeated, ["h", "m"], "left_semi").select("page_id")).distinct()
+from .support import ALIGNED, COMMON, VARIED
+
+#: What gave a page away.
+BY_SLOT, BY_TEMPLATE, BY_FILLER, BY_FORM, BY_WORDS = 1, 2, 4, 8, 16
+
+
+def origins(bits: int, marks: list[int], core: list[int], words: list[int], classes: list[dict[int, int]]) -> int:
+    """What a page gives away by itself and by its alignment. ``core`` are the lines that aren't boilerplate, ``classes`` those of each line's keys."""
+    out = 0
+    if bits & (P.VAR | P.TITLE) or any(m & P.BLANKS and any(c & ALIGNED for c in known.values()) for m, known in zip(marks, classes, strict=False)):
+        out |= BY_SLOT
+    if bits & P.LATIN:
+        out |= BY_FILLER
+    if bits & P.MESSAGE:
+        out |= BY_FORM
+    short = sum(words[k] for k in core) <= P.SHORT_PAGE
+    if bits & P.TITLE_WORDS or any(marks[k] & P.FILLER for k in core) or (short and (bits & P.TITLE_DAILY or any(marks[k] & P.NOTICE for k in core))):
+        out |= BY_WORDS
+    return out
+
+
+def candidates(classes: list[dict[int, int]], kinds: list[int]) -> list[int]:
+    """Keys of a page that may be templates of residue: of its sentences and its title, common to sites under differing titles."""
+    out = set()
+    for k, known in enumerate(classes):
+        titled = k == len(kinds)
+        if titled or kinds[k] in (B.PROSE, B.SHORT):
+            not_these = P.SHAPE | P.LEAD | (0 if titled else P.WEAK)
+            out |= {key for key, c in known.items() if c & COMMON and c & VARIED and not key & not_these}
+    return sorted(out)
+
+
+def residue(judged: DataFrame) -> DataFrame:
+    """``page_id, origin`` of the residue pages among judged ones; one row a page."""
+    stands = judged.select("page_id", "bare", F.explode("templates").alias("key"))
+    of_residue = stands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("bare").alias("n_bare")).filter("n_bare * 2 >= n").select("key")
+    by_template = stands.join(of_residue, "key", "left_semi").select("page_id", F.lit(BY_TEMPLATE).alias("origin"))
+    own = judged.filter("origin > 0").select("page_id", "origin")
+    return own.unionByName(by_template).groupBy("page_id").agg(F.bit_or("origin").alias("origin"))

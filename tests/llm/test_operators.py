@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.llm import blocks, boilerplate, keywords, languages, leaks, mixing, quality, repeats, review, templates
+from sluiceway.llm import blocks, boilerplate, languages, leaks, mixing, quality, repeats, review, templates
 from sluiceway.llm import pages as P
 
 PAGE = "page_id bigint, url string, title string, content string"
@@ -34,14 +34,12 @@ def test_page_operators(spark):
     pages = spark.createDataFrame(rows, PAGE).withColumn("site", F.lit("clash")).withColumn("kinds", F.lit(1))
     frames_ = spark.createDataFrame(frames, FRAME)
     ids = lambda df: sorted(r[0] for r in df.collect())
-    assert ids(keywords.keyword_pages(pages, frames_)) == [1, 3]
-    assert ids(templates.residue_pages(pages)) == [5, 9]
     r = review.Review(pages, frames_)
     assert ids(r.list_pages()) == [1, 2, 3] and ids(r.residue()) == [5, 9] and ids(r.keyword_pages()) == [1, 3]
+    assert ids(review.Review(pages).residue()) == [5, 9]
     got = {tuple(x) for x in r.boilerplate_lines().collect()}
     assert got == {(4, 1), (4, 8), (4, 9), (4, 10)}
-    alone = {tuple(x) for x in boilerplate.boilerplate_lines(pages, frames_).collect() if x[0] == 4}
-    assert alone == got
+    assert {tuple(x) for x in r.lines().collect() if x[0] == 4} == got
     body = {x["page_id"]: x["body"] for x in boilerplate.main_body(pages.filter("page_id = 4").select("page_id", "content"), r.boilerplate_lines()).collect()}
     assert body[4].split("\n") == ["The headline of it", PROSE, "and so it was", PROSE, "A subhead", PROSE]
 
@@ -49,27 +47,98 @@ def test_page_operators(spark):
 def test_page_operators_on_no_rows(spark):
     pages, frames = spark.createDataFrame([], PAGE), spark.createDataFrame([], FRAME)
     r = review.Review(pages, frames)
-    for df in (r.list_pages(), r.residue(), r.keyword_pages(), r.boilerplate_lines(), keywords.keyword_pages(pages, frames), templates.residue_pages(pages), repeats.repeated_lines(pages), quality.counts(pages, "page_id", F.col("content"))):
+    for df in (r.list_pages(), r.residue(), r.keyword_pages(), r.boilerplate_lines(), repeats.repeated_lines(pages), quality.counts(pages, "page_id", F.col("content"))):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("chunk", [7, 64, 1 << 18])
+def corpus(seed, n_sites=8, per_site=12):
+    """Articles in words of their own between a site's furniture, error pages and filled and unfilled letters; and the furniture's places."""
+    rng = random.Random(seed)
+    nouns = [f"{a}{b}" for a in "brick canal flint grove hazel ivory jetty kiln ledge marsh".split() for b in ("", "way", "field", "man", "stone", "house")]
+    sentence = lambda: f"The {rng.choice(nouns)} of the {rng.choice(nouns)} was {rng.choice(['lost', 'sold', 'seen', 'kept'])} by {rng.randint(2, 99)} of them, and so it is that the {rng.choice(nouns)} has a {rng.choice(nouns)}."
+    names = ["Ada Brook", "Ben Cole", "Cy Dunn", "Eve Frost", "Gus Hale"]
+    rows, frames, furniture, i = [], [], set(), 0
+    for s in range(n_sites):
+        host = f"site{'abcdefghijklmnop'[s]}x.test"
+        top = ["Start · Wares · Crew", "We and our helpers keep notes on your device to make ads fit you.", "Skip to the text"]
+        end = ["Our writers may earn a fee when you buy through links here.", "Do not sell my data", f"Reprint only with leave of {host.split('.')[0].title()}."]
+        for p in range(per_site):
+            by = f"Put down by {rng.choice(names)} in {rng.randint(1990, 2020)}"
+            body = [" ".join(sentence() for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(3, 6))]
+            tail = [f"The {rng.choice(nouns)} in {rng.choice(nouns)}" for _ in range(3)]
+            lines = [*top, by, *body, *tail, *end]
+            rows.append((i, f"http://{host}/{p}", f"On the {rng.choice(nouns)} {i}", "\n".join(lines)))
+            furniture |= {(i, n) for n in (1, 2, 3, 4)} | {(i, n) for n in range(5 + len(body), len(lines) + 1)}
+            frames += [(i, k, len(x.encode()), len(x) if x in tail or k in (0, 2) else 0) for k, x in enumerate(lines)]
+            i += 1
+    return rows, frames, furniture
+
+
+def test_boilerplate_is_found_without_any_list_of_phrases(spark):
+    rows, frames, furniture = corpus(1)
+    r = review.Review(spark.createDataFrame(rows + rows[:9], PAGE), spark.createDataFrame(frames, FRAME))
+    got = {tuple(x) for x in r.boilerplate_lines().collect()}
+    assert len(got & furniture) >= 0.95 * len(got) and len(got & furniture) >= 0.95 * len(furniture)
+    assert r.list_pages().count() == 0 and r.residue().count() == 0
+
+
+def test_body_lines_that_crawls_and_sites_repeat_stay(spark):
+    """Crawls of one url count once, and a sentence of several sites that no site repeats is body."""
+    rows, frames, _ = corpus(2, 4)
+    again = [(1000 + k, *rows[0][1:]) for k in range(8)]
+    quote = "It was the best of bridges, and it was the worst of bridges for all of the town."
+    rows = [(i, u, t, f"{x}\n{quote}\n{PROSE}" if i % 12 == 5 else x) for i, u, t, x in rows]
+    got = {tuple(x) for x in review.Review(spark.createDataFrame(rows + again, PAGE)).boilerplate_lines().collect()}
+    by = {i: x.split("\n") for i, _, _, x in rows + again}
+    assert not any(by[i][n - 1] == quote or by[i][n - 1].startswith("The ") and by[i][n - 1].endswith(".") for i, n in got)
+
+
+def test_whole_error_templates_of_any_length_and_wording(spark):
+    rows, frames, _ = corpus(3, 6)
+    short = "Wir ruhen uns aus bis Montag"
+    long = "\n".join(f"Nothing stands at this door, which was shut for good on day {k}. Knock at the other one, as those before you have." + f" Reason {chr(97 + k)}{chr(98 + k)} of the keeper." for k in range(14))
+    errors = [(2000 + k, f"http://{'abcdef'[k % 6]}-e.test/{k}", f"The lost {'brick canal flint grove hazel ivory'.split()[k % 6]}", [short, long][k // 6]) for k in range(12)]
+    copies = [(3000 + k, f"http://{'abcdef'[k]}-c.test/", "On the old bridge", PROSE + " It was a long and cold year for all of them.") for k in range(6)]  # one article on many sites
+    got = {r[0] for r in review.Review(spark.createDataFrame(rows + errors + copies, PAGE)).residue().collect()}
+    assert got == {r[0] for r in errors}
+
+
+def test_slots_that_others_fill(spark):
+    rows, _, _ = corpus(4, 3)
+    filled = [(2000 + k, f"http://a.test/{k}", f"Letter {k}", f"{PROSE}\nDear {n}, we wrote to you.\n{PROSE}") for k, n in enumerate(["Anna", "Bob", "Carl"])]
+    open_ = [(2100, "http://a.test/9", "Letter", f"{PROSE}\nDear , we wrote to you.\n{PROSE}"), (2101, "http://b.test/9", "Letter", f"{PROSE}\nDear null, we wrote to you.\n{PROSE}")]
+    alone = [(2102, "http://b.test/8", "Note", f"{PROSE}\nHe put null , we heard.\n{PROSE}")]
+    got = {r["page_id"]: r["origin"] for r in review.Review(spark.createDataFrame(rows + filled + open_, PAGE)).residue_origins().collect()}
+    assert got == {2100: templates.BY_SLOT, 2101: templates.BY_SLOT}
+    assert review.Review(spark.createDataFrame(rows + open_[:1], PAGE)).residue().count() == 0  # no record fills it
+    assert review.Review(spark.createDataFrame(rows + alone, PAGE)).residue().count() <= 1
+
+
+@pytest.mark.parametrize("chunk", [7, 700, 1 << 17])
 def test_statistics_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(1)
-    texts = ["\n".join(rng.choice([PROSE, "- item", "", "a  1  2", "x" * 70, "Home | About", "word " * 500]) for _ in range(rng.randrange(30))) for _ in range(12)] + [None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
-    got = {r["id"]: list(r["v"]) for r in quality.counts(df, "id", F.col("t"), chunk).collect()}
-    assert got == {i: P.counts(t or "") for i, t in enumerate(texts)}
-    stats = {r["id"]: r for r in quality.ratios(quality.counts(df, "id", F.col("t"), chunk)).collect()}
-    assert all(stats[i]["listlike"] == P.listlike(got[i]) for i in got) and stats[13]["n_words"] == 0
+    texts = ["\n".join(rng.choice([PROSE, "- item", "", "a  1  2", "x" * 70, "Home | About", "word " * 500, " " * 900 + "1 | 2 | 3" + " " * 900]) for _ in range(rng.randrange(30))) for _ in range(12)] + [None, ""]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "id bigint, t string")
+    got = {r["page_id"]: list(r["v"]) for r in quality.counts(df, "id", F.col("t"), chunk).collect()}
+    assert got == {i: P.counts(P.read(t or "")[0]) for i, t in enumerate(texts)}
+    stats = {r["page_id"]: r for r in quality.ratios(quality.counts(df, "id", F.col("t"), chunk)).collect()}
+    assert all(stats[i]["is_prose"] == P.prose(got[i]) for i in got) and stats[13]["n_words"] == 0
+
+
+def test_page_operators_do_not_depend_on_chunks(spark, monkeypatch):
+    rows, frames, _ = corpus(5, 4, 6)
+    pages, frames = spark.createDataFrame(rows + [(r[0] + 500 if r[0] else r[0], *r[1:]) for r in page_rows()[0]] + [(2, *rows[3][1:])], PAGE), spark.createDataFrame(frames, FRAME)
+    both = []
+    for chunk in (1 << 17, 300):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        r = review.Review(pages, frames)
+        both.append([sorted(map(tuple, df.collect())) for df in (r.list_pages(), r.keyword_pages(), r.boilerplate_lines(), r.residue_origins())])
+    assert both[0] == both[1]
 
 
-def test_repeated_whole_pages_are_templates_even_in_unknown_words(spark):
-    rows = [(i, f"http://s{i}.test/", None, f"Wir ruhen uns aus bis Montag {i}") for i in range(5)] + [(9, "http://z.test/", None, "Etwas anderes steht hier")]
-    assert sorted(r[0] for r in templates.residue_pages(spark.createDataFrame(rows, PAGE)).collect()) == [0, 1, 2, 3, 4]
-    slots = spark.createDataFrame([(i, "u", None, "Dear {{a}}, we wrote to Anna." if i else "Dear ${b}, we wrote to Bob.") for i in range(3)], PAGE)
-    slots = slots.unionByName(spark.createDataFrame([(7, "u", None, "Dear Anna, we wrote to Bob.\nDear Carl, we wrote to Dora."), (8, "u", None, None), (0, "u", None, "Dear ${b}, we wrote to Bob.")], PAGE))
-    assert [(r["n_pages"], r["n_filled"]) for r in templates.slot_lines(slots).collect()] == [(3, 1)]
+def test_prose_of_unknown_languages_is_prose():
+    text = "\n".join("Koj tswv yuav tuaj pom peb lub tsev nyob ntawm ntug dej, thiab peb yuav noj mov ua ke. Hnub no ntuj qhuav heev ces peb mus ua teb." for _ in range(5))
+    assert P.prose(P.counts(P.read(text)[0])) and not P.prose(P.counts(P.read("a1 | 22 | 33\n" * 9)[0])) and not P.prose(P.counts(P.read("")[0]))
 
 
 # ---------------------------------------------------------------- 7
@@ -82,8 +151,8 @@ def brute_repeats(rows):
         if url and content:
             for x in content.split("\n"):
                 if key(x):
-                    where[templates.site_of(url), key(x)].add(url)
-    return {(i, n) for i, url, _, content in rows if url and content for n, x in enumerate(content.split("\n"), 1) if key(x) and len(where[templates.site_of(url), key(x)]) >= 5}
+                    where[quality.site_of(url), key(x)].add(url)
+    return {(i, n) for i, url, _, content in rows if url and content for n, x in enumerate(content.split("\n"), 1) if key(x) and len(where[quality.site_of(url), key(x)]) >= 5}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -117,7 +186,7 @@ def test_sequences_of_any_length_equal_brute_force(spark):
         x = content.split("\n")
         for n in range(1, len(x) + 1):
             for a in range(len(x) - n + 1):
-                where[templates.site_of(url), tuple(x[a : a + n])].add(url)
+                where[quality.site_of(url), tuple(x[a : a + n])].add(url)
     want = Counter((len(k), len(us)) for (_, k), us in where.items() if len(us) >= 5)
     assert max(n for n, _ in want) > 6
     got = repeats.frequent_sequences(spark.createDataFrame(rows, PAGE)).collect()
