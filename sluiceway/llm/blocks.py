@@ -55,6 +55,9 @@ def bare(line: str) -> str:
     return _bare(" ".join(line.split()))
 
 
+WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+
 def kind(line: str) -> tuple[int, int, int]:
     """Kind of a line, its number of words, and how many of them are function words.
 

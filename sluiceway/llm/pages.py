@@ -12,6 +12,8 @@ import re
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
+
 from . import blocks as B
 from .automaton import repeat_marks
 
@@ -49,7 +51,7 @@ _FILLER_LINE = re.compile(
     r"welcome to your new (?:site|blog|page)\b.{0,140}|(?:hello world|sample page|just another .{1,40} site|content goes here|coming soon: content).{0,60}|.{0,40}\bgoes here\b.{0,60}|replace (?:it|this|me) with\b.{0,60}|.{0,60}\bclick to edit\b.{0,20}|edit or delete (?:it|this)\b.{0,80})\.?",
     re.I,
 )
-_FILLER_HINT = re.compile("text|title|headline|heading|content|description|tagline|caption|story|name|lorem|placeholder|todo|tbd|fixme|tk|sample|example|dummy|test|welcome to|hello world|goes here|replace|click to|edit or|another", re.I)
+_FILLER_HINTS = ("text", "title", "headline", "heading", "content", "description", "tagline", "caption", "story", "name", "lorem", "placeholder", "todo", "tbd", "fixme", "tk", "sample", "example", "dummy", "test", "welcome to", "hello world", "goes here", "replace", "click to", "edit or", "another")
 _FILLER_TITLE = re.compile(
     r"(?:your (?:title|headline|page title|text|name) here|(?:insert|add|enter) (?:a |your )?(?:title|headline|name)(?: here)?|(?:untitled|unnamed)(?: (?:document|page|post|\d+))?|(?:new|sample|example|test|blank|default) (?:page|post|document|site|title)(?: \d+)?|(?:page )?title(?: here)?|lorem ipsum.*|hello world!?|placeholder(?: title)?|no title|null|undefined|nan)",
     re.I,
@@ -116,7 +118,7 @@ def hashed(text: str) -> int:
 
 # ------------------------------------------------------------------ keys: what makes two lines the same template
 
-_W = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_W = B.WORD
 _SEP = re.compile(r"\s*[:›»>|/·•–—]\s+|\s-\s")
 #: Lowest bits of a key: of a shape with its first word open, of a frame with fewer than two fixed words, of a lead.
 SHAPE, WEAK, LEAD = 1, 2, 4
@@ -124,8 +126,8 @@ SHAPE, WEAK, LEAD = 1, 2, 4
 KEY_WORDS = 40
 SLOT = "\u25a1"
 # The full English names of the months.
-_DEFAULTS = frozenset("null undefined nan".split())
 _MONTHS = frozenset("january february march april may june july august september october november december".split())
+_OPEN_WORDS = _MONTHS - {"may"} | {"null", "undefined", "nan"}
 
 
 def frame(text: str, host: str = "") -> tuple[list[str], bool]:
@@ -133,17 +135,16 @@ def frame(text: str, host: str = "") -> tuple[list[str], bool]:
 
     Records of one template come out equal whatever fills their slots.
     """
-    ws = _W.findall(text)
-    upper, lower = text.upper() == text, text.lower() == text
+    upper = text.isupper()
     out: list[str] = []
-    for w in ws:
+    for w in _W.findall(text):
         low = w.lower()
-        slot = not w.isalpha() and any(map(str.isdigit, w)) or (len(w) > 4 and low in host) or (out and not upper and w[0].isupper()) or (low in _MONTHS and low != "may") or low in _DEFAULTS
-        if not slot:
+        if (out and not upper and low != w and w[0] != low[0]) or low in _OPEN_WORDS or (len(w) > 4 and low in host) or (not w.isalpha() and any(map(str.isdigit, w))):
+            if not out or out[-1] != SLOT:
+                out.append(SLOT)
+        else:
             out.append(low)
-        elif not out or out[-1] != SLOT:
-            out.append(SLOT)
-    return out, upper or lower
+    return out, upper or text.islower()
 
 
 def _key(mark: str, toks: list[str], text: str) -> int:
@@ -157,14 +158,13 @@ def _key(mark: str, toks: list[str], text: str) -> int:
     return hashed(mark + "=" + words) & ~7 | WEAK if words else 0
 
 
-@lru_cache(maxsize=50_000)
 def _units(s: str, host: str, kind: int) -> tuple[tuple[tuple[int, bool], ...], int]:
     """(key, whether it has filled slots) of the units of a squeezed line (its sentences, or the whole), and the key of its lead or shape (0: none)."""
     words = _W.findall(s)
     if not words:
         return (), 0
     if len(words) > KEY_WORDS:
-        letters = "".join(filter(str.isalpha, s)).lower()
+        letters = "".join(filter(str.isalpha, words)).lower()
         return (((hashed("l" + letters) & ~7, False),) if letters else ()), 0
     seen = {}
     for x in _SENTENCE.split(s) if kind in (B.PROSE, B.SHORT, B.ITEM) else (s,):
@@ -205,6 +205,10 @@ _HOST = re.compile(r"^(?:[•*·-]\s+|\d+[.)]\s+)?(?:https?://|www\.)?[\w-]+(?:\
 _ITEMS = re.compile(r"\s*[,;|/·•]\s+|\s+[-–—]\s+")
 
 
+_NO_LETTER = re.compile(r"[^\w ]|[\d_]")
+_PLAIN = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
+
+
 def _variables(line: str) -> int:
     """Unfilled variables of a line: those in sentences that don't explain them."""
     if not _MARKS.intersection(line) or not VARIABLE.search(line):
@@ -243,13 +247,24 @@ def _blanks(line: str, s: str) -> int:
 
 
 def line_facts(line: str, host: str) -> tuple:
-    """(kind, characters, bytes, words, function words, marks, tag and address characters, odd characters, unit keys, lead key) of a line that isn't blank."""
+    """``_line_facts``, kept for short lines, which a site's pages repeat."""
+    return _kept_facts(line, host) if len(line) <= 250 else _line_facts(line, host)
+
+
+@lru_cache(maxsize=100_000)
+def _kept_facts(line: str, host: str) -> tuple:
+    return _line_facts(line, host)
+
+
+def _line_facts(line: str, host: str) -> tuple:
+    """(kind, characters, bytes, words, function words, marks, tag and address characters, odd characters, unit keys, lead key, the words) of a line that isn't blank."""
+    ws = _W.findall(line.lower())
     kind, k, stops = B.kind(line)
     s = " ".join(line.split())
     n = len(s)
     marks = ENDED if B._END.search(s[-40:]) else 0
-    odd = n - sum(map(str.isalpha, s)) - s.count(" ")
-    if len(_ITEMS.findall(s)) >= 3:
+    odd = len(s.encode().translate(None, _PLAIN)) if s.isascii() else len(_NO_LETTER.findall(s))
+    if stops * 4 < k and len(_ITEMS.findall(s)) >= 3:
         marks |= ITEMS
     tags = 0
     if stops * 4 < k or not stops:
@@ -262,10 +277,10 @@ def line_facts(line: str, host: str) -> tuple:
     if k <= KEY_WORDS and kind in (B.PROSE, B.SHORT, B.ITEM):
         if b := _blanks(line, s):
             marks |= OPEN if b >= 2 else BLANKS
-        if k <= 25 and _FILLER_HINT.search(s) and _FILLER_LINE.fullmatch(B._bare(s)):
+        if k <= 25 and (k < 4 or stops * 2 < k) and any(map(s.lower().__contains__, _FILLER_HINTS)) and _FILLER_LINE.fullmatch(B._bare(s)):
             marks |= FILLER
     units, lead = _units(s, host, kind)
-    return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead
+    return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead, ws
 
 
 def _message(line: str, before: str) -> bool:
@@ -329,7 +344,7 @@ def counts(facts: list) -> list[int]:
         if f is None:
             v[N_BLANK] += 1
             continue
-        kind, n, _, k, stops, marks, _, odd, _, _ = f
+        kind, n, _, k, stops, marks, _, odd, _, _, _ = f
         v[N_LINES] += 1
         v[N_CHARS] += n
         v[N_WORDS] += k
@@ -368,34 +383,30 @@ def prose(v: list[int]) -> bool:
 # ------------------------------------------------------------------ repeats (problem 2)
 
 
-def cover(facts: list, lines: list[str]) -> tuple[list[int], list[int], list[int]]:
+def cover(facts: list) -> tuple[list[int], list[int], list[int]]:
     """For each line that isn't blank: characters of its words, those in repeats of two words or more, and those in repeats that occur three times, in the whole page."""
     words: list[str | int] = []
-    at: list[int] = []
-    line_no = 0
-    for f, line in zip(facts, lines, strict=True):
-        if f is None:
-            continue
-        mine = _W.findall(line.lower())
-        words += mine
-        words.append(line_no)  # the end of a line, like no other: no repeat crosses it
-        at += [line_no] * (len(mine) + 1)
-        line_no += 1
-    solid, long, often = [0] * line_no, [0] * line_no, [0] * line_no
+    starts = []
+    for f in facts:
+        if f is not None:
+            starts.append(len(words))
+            words += f[10]
+            words.append(len(starts))  # the end of a line, like no other: no repeat crosses it
+    if not words:
+        return [], [], []
+    sizes = np.fromiter((0 if w.__class__ is int else len(w) for w in words), dtype=np.int64, count=len(words))
     _, two, three = repeat_marks(words)
-    for w, i, a, b in zip(words, at, two, three, strict=True):
-        if isinstance(w, str):
-            solid[i] += len(w)
-            if a:
-                long[i] += len(w)
-            if b:
-                often[i] += len(w)
-    return solid, long, often
+    return tuple(np.add.reduceat(x, starts).tolist() for x in (sizes, sizes * two, sizes * three))
 
 
 # ------------------------------------------------------------------ the page
 
 
+@lru_cache(maxsize=50_000)
+def _reads_as_error(line: str) -> bool:
+    return _ERROR.search(line) is not None
+
+
 #: Columns that ``page`` gives: key of the title, bits of what shows by form, arrays over the lines that aren't blank, and the page's keys with their lines.
 PAGE = (
     "title bigint, bits int, numbers array<int>, sizes array<int>, kinds array<int>, chars array<int>, words array<int>, stops array<int>, marks array<int>, tags array<int>, odd array<int>, "
@@ -408,7 +419,7 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
     shown = [(no, f, x) for no, (f, x) in enumerate(zip(facts, lines, strict=True), 1) if f is not None]
     kinds = [f[0] for _, f, _ in shown]
     marks = [f[5] for _, f, _ in shown]
-    solid, long, often = cover(facts, lines)
+    solid, long, often = cover(facts)
     heading = B.bare(title).casefold() if title else ""
     heads = [B.bare(x).casefold() for x in _TITLE_CUT.split(title.strip())] if heading else []
     total = sum(f[3] for _, f, _ in shown if f[0] in (B.PROSE, B.SHORT, B.ITEM))
@@ -430,12 +441,11 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
         before = line
         words += f[3]
         if f[4] * 4 < f[3] and f[3] >= 3:
-            ws = [w.strip(".,;:") for w in line.lower().split()]
-            hit = sum(w in LOREM for w in ws)
+            hit = sum(map(LOREM.__contains__, f[10]))
             if hit * 3 >= f[3]:
                 lorem += f[3]
-                telling += sum(w in _LOREM_OWN for w in ws)
-        if total <= 3 * SHORT_PAGE and f[0] in (B.PROSE, B.SHORT, B.ITEM) and _ERROR.search(line):
+                telling += sum(map(_LOREM_OWN.__contains__, f[10]))
+        if total <= 2 * SHORT_PAGE and f[0] in (B.PROSE, B.SHORT, B.ITEM) and _reads_as_error(line):
             marks[i] |= NOTICE
     if telling >= 2 and lorem * 3 >= words:
         bits |= LATIN

@@ -34,15 +34,19 @@ def _facts(url, title, facts, lines):
     return site, P.hashed(url or ""), *P.page(host, title, facts, lines)
 
 
-def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd, solid, long, often, n_units, hits, frames):
+def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd, solid, long, often, n_units, hit_lines, hit_keys, hit_classes, frames):
     """One row of the judgement (see ``_JUDGED``) on one page's facts, the classes of its keys and its frames."""
     n = len(numbers)
     classes: list[dict[int, int]] = [{} for _ in range(n + 1)]
-    for h in hits or ():
-        at = classes[min(h["line"], n)]
-        at[h["key"]] = at.get(h["key"], 0) | h["class"]
+    for line, key, c in zip(hit_lines or (), hit_keys or (), hit_classes or (), strict=True):
+        at = classes[min(line, n)]
+        at[key] = at.get(key, 0) | c
     label, body = list(kinds), 0
     for k in range(n):
+        if not classes[k]:
+            if n_units[k] and kinds[k] != B.BOILER:
+                body += sizes[k]
+            continue
         units = {key: c for key, c in classes[k].items() if not key & (P.SHAPE | P.LEAD)}
         supported = n_units[k] > 0 and sum(c & SUPPORTED for c in units.values()) >= n_units[k]
         common = n_units[k] > 0 and sum((c & COMMON) > 0 and not key & P.WEAK for key, c in units.items()) >= n_units[k]
@@ -85,7 +89,8 @@ class Review:
         met = facts.drop("keys", "key_at", "site", "u", "title").join(key_classes(facts), "page_id", "left")
         met = met.withColumn("frames", F.lit(None)) if frames is None else met.join(frame_links(frames), "page_id", "left")
         arrays = ["numbers", "sizes", "kinds", "chars", "words", "stops", "marks", "tags", "odd", "solid", "long", "often", "n_units"]
-        self.judged = cut(map_rows(met.select("page_id", "bits", *arrays, "hits", "frames"), judge, _JUDGED))
+        hits = [F.col(f"hits.{c}").alias(f"hit_{c}") for c in ("line", "key", "class")]
+        self.judged = cut(map_rows(met.select("page_id", "bits", *arrays, *hits, "frames"), judge, _JUDGED))
 
     def residue_origins(self) -> DataFrame:
         """``page_id, origin`` of problem 6, with the bits of what gave it away."""
