@@ -16,17 +16,17 @@ from . import pages as P
 
 
 def frame_links(frames: DataFrame) -> DataFrame:
-    """``page_id, frames``: frame number, bytes and link bytes of a page's frames in order; repeated rows once."""
+    """``page_id, frame_bytes, frame_links``: bytes and link bytes (-1: unknown) of a page's frames in order; repeated rows once."""
     per = frames.filter("page_id IS NOT NULL AND frame_no IS NOT NULL").groupBy(F.col("page_id").cast("bigint").alias("page_id"), "frame_no")
     per = per.agg(F.max("char_count").cast("int").alias("n"), F.max("link_char_count").cast("int").alias("links"))
-    return per.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "n", "links"))).alias("frames"))
+    per = per.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("links", F.lit(-1)).alias("links")))).alias("f"))
+    return per.select("page_id", F.col("f.n").alias("frame_bytes"), F.col("f.links").alias("frame_links"))
 
 
 def line_links(sizes: list[int], frames: list | None) -> list[tuple[int, int, int | None]]:
     """(first line, line after the last, link bytes or None) of each frame, by the bytes it counts; none if they don't fit, those before it if one has no count."""
     out, at = [], 0
-    for f in frames or ():
-        n, links = f["n"], f["links"]
+    for n, links in frames or ():
         if n is None:  # from here on nothing is known
             return out
         to, got = at, 0
@@ -48,7 +48,7 @@ def link_share(sizes: list[int], kinds: list[int], frames: list | None) -> float
     """
     fits = line_links(sizes, frames)
     if not fits:
-        known = [(f["n"], f["links"]) for f in frames or () if f["n"] and f["links"] is not None]
+        known = [(n, x) for n, x in frames or () if n and x is not None]
         total = sum(n for n, _ in known)
         return min(1.0, sum(x for _, x in known) / total) if total else None
     link = total = 0.0

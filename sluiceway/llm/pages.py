@@ -29,7 +29,7 @@ VARIABLE = re.compile(
     r"<[A-Z][A-Z]*(?:_[A-Z]+)*>|(?<![\w$#{])\{[a-zA-Z_][\w.]{1,60}\}(?!\})|"
     r"\*\|[A-Z][A-Z0-9_:]{1,60}\|\*|(?<![\w%])%[A-Z][A-Z_]{2,60}%(?![\w%])|(?<![\w$])\$[a-z][a-z_]{1,60}\$(?![\w$])|\[[A-Z]{2,}(?:[ _][A-Z]{2,}){1,5}\]|<<\s*[A-Za-z_]{2,60}\s*>>"
 )
-_MARKS = frozenset("{}[]<>%@$_*")
+_MARKS = re.compile(r"[{}\[\]<>%@$_*]")
 # Names of fields left in capitals, and what programs print for a value that is missing.
 _FIELD = re.compile(r"\b(?:(?:FIRST|LAST|FULL|USER|CUSTOMER|CLIENT|COMPANY|PRODUCT|SITE|EVENT|CITY|ORDER|INVOICE|COURSE|AUTHOR)(?:[ _-]?(?:NAME|NUMBER|DATE|TITLE|ID))|COMPANY|FIRSTNAME|LASTNAME|USERNAME)\b")
 _MISSING = re.compile(r"\b(?:undefined|NaN|null)\b|\[object Object\]")
@@ -211,7 +211,7 @@ _PLAIN = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
 
 def _variables(line: str) -> int:
     """Unfilled variables of a line: those in sentences that don't explain them."""
-    if not _MARKS.intersection(line) or not VARIABLE.search(line):
+    if not _MARKS.search(line) or not VARIABLE.search(line):
         return 0
     n = 0
     for sentence in _SENTENCE.split(line):
@@ -225,7 +225,7 @@ def _open(line: str, kind: int) -> bool:
     """Whether a line left a variable's name in a slot."""
     if kind in (B.LOG, B.JUNK) or (kind == B.CODE and len(line) >= 200):
         return False
-    if _MARKS.intersection(line) and _variables(line):
+    if _variables(line):
         rest = VARIABLE.sub("", line)
         return kind != B.CODE or rest.strip(" .,:;") == "" or not re.search(r"[=;`]|\bfunction\b", rest)
     return False
@@ -286,7 +286,7 @@ def _line_facts(line: str, host: str) -> tuple:
 def _message(line: str, before: str) -> bool:
     """Whether a line holds an error message or a script notice by its form, unless it or the line ``before`` explains it."""
     low = line.lower()
-    if not any(h in low for h in _MESSAGE_HINTS) or before.rstrip().endswith(":") or (before and _EXPLAINS.search(_SENTENCE.split(before.rstrip())[-1])):
+    if not any(map(low.__contains__, _MESSAGE_HINTS)) or before.rstrip().endswith(":") or (before and _EXPLAINS.search(_SENTENCE.split(before.rstrip())[-1])):
         return False
     bare = B.bare(line)
     if _ENGINE.search(line):
@@ -385,16 +385,17 @@ def prose(v: list[int]) -> bool:
 
 def cover(facts: list) -> tuple[list[int], list[int], list[int]]:
     """For each line that isn't blank: characters of its words, those in repeats of two words or more, and those in repeats that occur three times, in the whole page."""
-    words: list[str | int] = []
+    words: list = []
     starts = []
     for f in facts:
         if f is not None:
             starts.append(len(words))
             words += f[10]
-            words.append(len(starts))  # the end of a line, like no other: no repeat crosses it
+            words.append((len(starts),))  # the end of a line, like no other: no repeat crosses it
     if not words:
         return [], [], []
-    sizes = np.fromiter((0 if w.__class__ is int else len(w) for w in words), dtype=np.int64, count=len(words))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    sizes[[*(s - 1 for s in starts[1:]), len(words) - 1]] = 0
     _, two, three = repeat_marks(words)
     return tuple(np.add.reduceat(x, starts).tolist() for x in (sizes, sizes * two, sizes * three))
 
@@ -425,6 +426,8 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
     total = sum(f[3] for _, f, _ in shown if f[0] in (B.PROSE, B.SHORT, B.ITEM))
     bits = lorem = words = telling = 0
     before = ""
+    low = "\n".join(lines).lower()
+    hinted = any(map(low.__contains__, _MESSAGE_HINTS))
     for i, (_, f, line) in enumerate(shown):
         if heading and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and f[3] <= KEY_WORDS:
             b = B.bare(line).casefold()
@@ -436,7 +439,7 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
             kinds[i] = B.PROSE  # a sentence in passing, no heading
         if f[5] & OPEN:
             bits |= VAR
-        if not bits & MESSAGE and _message(line, before):
+        if hinted and not bits & MESSAGE and _message(line, before):
             bits |= MESSAGE
         before = line
         words += f[3]

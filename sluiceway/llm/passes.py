@@ -58,9 +58,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, scan:
 
 
 def _values(column):
-    """Values of a column, in pieces, so that one batch of long texts is not held twice."""
+    """Values of a column, in pieces, so that one batch of long texts is not held twice; lists of numbers as lists, by their offsets."""
     for at in range(0, len(column), 500):
-        yield from column.slice(at, 500).to_pylist()
+        part = column.slice(at, 500)
+        if pa.types.is_list(part.type) and pa.types.is_integer(part.type.value_type) and not part.values.null_count:
+            flat, ends = part.flatten().to_numpy(zero_copy_only=False).tolist(), part.value_lengths().to_pylist()
+            to = 0
+            for n in ends:
+                if n is None:
+                    yield None
+                else:
+                    to += n
+                    yield flat[to - n : to]
+        else:
+            yield from part.to_pylist()
 
 
 def _slices(batch: pa.RecordBatch):

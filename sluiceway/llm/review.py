@@ -34,9 +34,10 @@ def _facts(url, title, facts, lines):
     return site, P.hashed(url or ""), *P.page(host, title, facts, lines)
 
 
-def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd, solid, long, often, n_units, hit_lines, hit_keys, hit_classes, frames):
+def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd, solid, long, often, n_units, hit_lines, hit_keys, hit_classes, frame_bytes, frame_link_bytes):
     """One row of the judgement (see ``_JUDGED``) on one page's facts, the classes of its keys and its frames."""
     n = len(numbers)
+    frames = [(a if a >= 0 else None, b if b >= 0 else None) for a, b in zip(frame_bytes or (), frame_link_bytes or (), strict=True)]
     classes: list[dict[int, int]] = [{} for _ in range(n + 1)]
     for line, key, c in zip(hit_lines or (), hit_keys or (), hit_classes or (), strict=True):
         at = classes[min(line, n)]
@@ -87,10 +88,10 @@ class Review:
     def __init__(self, pages: DataFrame, frames: DataFrame | None = None):
         facts = cut(read_pages(pages, _facts, f"site bigint, u bigint, {P.PAGE}"))
         met = facts.drop("keys", "key_at", "site", "u", "title").join(key_classes(facts), "page_id", "left")
-        met = met.withColumn("frames", F.lit(None)) if frames is None else met.join(frame_links(frames), "page_id", "left")
+        met = met.withColumns({c: F.lit(None).cast("array<int>") for c in ("frame_bytes", "frame_links")}) if frames is None else met.join(frame_links(frames), "page_id", "left")
         arrays = ["numbers", "sizes", "kinds", "chars", "words", "stops", "marks", "tags", "odd", "solid", "long", "often", "n_units"]
         hits = [F.col(f"hits.{c}").alias(f"hit_{c}") for c in ("line", "key", "class")]
-        self.judged = cut(map_rows(met.select("page_id", "bits", *arrays, *hits, "frames"), judge, _JUDGED))
+        self.judged = cut(map_rows(met.select("page_id", "bits", *arrays, *hits, "frame_bytes", "frame_links"), judge, _JUDGED))
 
     def residue_origins(self) -> DataFrame:
         """``page_id, origin`` of problem 6, with the bits of what gave it away."""
