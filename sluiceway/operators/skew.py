@@ -11,8 +11,8 @@ from ..session import cut as cut_lineage
 
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows, so that at most HOT_PARTS keys are hot.
 HOT_PARTS = 1000
-#: No key below this many rows is hot: one task sorts that many with ease.
-HOT_LEAST = 200_000
+#: No key below this many rows is hot: one task sorts that many rows of a few numbers, some 200 MB, with ease.
+HOT_LEAST = 4_000_000
 
 
 def hot_limit(total_rows: int) -> int:
