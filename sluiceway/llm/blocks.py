@@ -58,16 +58,20 @@ def bare(line: str) -> str:
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
-def kind(line: str) -> tuple[int, int, int]:
+_DIGIT = re.compile(r"\d")
+_CODE_MARK = re.compile(r"[{};(:=<>&/#*]")
+
+
+def kind(line: str, parts: list[str] | None = None) -> tuple[int, int, int]:
     """Kind of a line, its number of words, and how many of them are function words.
 
     ``SHORT`` is undecided: a few words without the end of a sentence, as a headline, a link or an item has.
-    Blanks around a line make no difference.
+    Blanks around a line make no difference. ``parts`` is the line in lower case, split at blanks, if known.
     """
     s = line.strip()
     if not s:
         return BLANK, 0, 0
-    ws = s.lower().split()
+    ws = s.lower().split() if parts is None else parts
     k = len(ws)
     stops = sum(map(STOP.__contains__, ws))
     return _judge(s, len(s), k, stops / k), k, stops
@@ -76,16 +80,17 @@ def kind(line: str) -> tuple[int, int, int]:
 def _judge(s: str, n: int, k: int, share: float) -> int:
     if share < 0.3:
         letters = sum(map(str.isalpha, s))
-        bad = len(_MOJI.findall(s))
+        bad = 0 if s.isascii() else len(_MOJI.findall(s))
         if bad * 25 > n and bad > 1:
             return JUNK
         if letters * 2 < n and len(_SOUP.findall(s)) * 3 > n:
             return JUNK
-        if _LOG.search(s):
+        figures = _DIGIT.search(s) is not None
+        if (figures or s[:4].isupper()) and _LOG.search(s):
             return LOG
-        if share < 0.25 and _CODE.search(s):
+        if share < 0.25 and _CODE_MARK.search(s) and _CODE.search(s):
             return CODE
-        long = sum(map(len, _LONG.findall(s)))
+        long = sum(map(len, _LONG.findall(s))) if n >= 40 else 0
         if long * 2 > n and not s.startswith(("http://", "https://", "www.", "#")):
             return JUNK if " " not in s or long * 4 > n * 3 else ITEM
         tokens = s.replace("|", " ").replace(";", " ").split()
@@ -94,7 +99,7 @@ def _judge(s: str, n: int, k: int, share: float) -> int:
             return TABLE
         if letters * 3 < n and k >= 8:
             return JUNK
-        cells = _SPLIT.split(s)
+        cells = _SPLIT.split(s) if "|" in s or ";" in s or "\t" in s or "  " in s else ()
         if len(cells) >= 3 and all(len(c) < 40 for c in cells) and not _END.search(s[-40:]):
             return TABLE
     ended = _END.search(s[-40:]) is not None

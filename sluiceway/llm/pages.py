@@ -18,7 +18,7 @@ from . import blocks as B
 from .automaton import repeat_marks
 
 #: Marks of a line.
-ENDED, OPEN, BLANKS, ITEMS, NOTICE, FILLER = 1, 2, 4, 8, 16, 32
+ENDED, OPEN, BLANKS, ITEMS, NOTICE, FILLER, HINTED = 1, 2, 4, 8, 16, 32, 64
 #: Marks of a key's place: a slot of the unit is filled, or left blank.
 FILLED_AT, BLANK_AT = 1 << 30, 1 << 29
 
@@ -33,9 +33,9 @@ _MARKS = re.compile(r"[{}\[\]<>%@$_*]")
 # Names of fields left in capitals, and what programs print for a value that is missing.
 _FIELD = re.compile(r"\b(?:(?:FIRST|LAST|FULL|USER|CUSTOMER|CLIENT|COMPANY|PRODUCT|SITE|EVENT|CITY|ORDER|INVOICE|COURSE|AUTHOR)(?:[ _-]?(?:NAME|NUMBER|DATE|TITLE|ID))|COMPANY|FIRSTNAME|LASTNAME|USERNAME)\b")
 _MISSING = re.compile(r"\b(?:undefined|NaN|null)\b|\[object Object\]")
-_MISSING_MARKS = ("undefined", "NaN", "null", "[object")
 # Words behind which a value belongs.
 _BLANK = re.compile(r"\b(?i:dear|hello|hi|on|at|to|by|for|from|in|of|is|hallo|am|um|von|bonjour|le|à|de|hola|el|en|por)(?: [,.!?;](?!\w)|(?P<gap>  +)[a-zß-ÿ.,])|\w [,.](?= |$)")
+_CAPITALS = re.compile("[A-Z]{4}")
 _GAP = re.compile(" {2,}")
 # Words of a sentence that explains a variable or a filler instead of leaving it unfilled.
 _EXPLAINS = re.compile(
@@ -51,7 +51,7 @@ _FILLER_LINE = re.compile(
     r"welcome to your new (?:site|blog|page)\b.{0,140}|(?:hello world|sample page|just another .{1,40} site|content goes here|coming soon: content).{0,60}|.{0,40}\bgoes here\b.{0,60}|replace (?:it|this|me) with\b.{0,60}|.{0,60}\bclick to edit\b.{0,20}|edit or delete (?:it|this)\b.{0,80})\.?",
     re.I,
 )
-_FILLER_HINTS = ("text", "title", "headline", "heading", "content", "description", "tagline", "caption", "story", "name", "lorem", "placeholder", "todo", "tbd", "fixme", "tk", "sample", "example", "dummy", "test", "welcome to", "hello world", "goes here", "replace", "click to", "edit or", "another")
+_FILLER_HINTS = frozenset("text title headline heading content description tagline caption story name lorem placeholder todo tbd fixme tk sample example dummy test welcome hello goes replace click edit another".split())
 _FILLER_TITLE = re.compile(
     r"(?:your (?:title|headline|page title|text|name) here|(?:insert|add|enter) (?:a |your )?(?:title|headline|name)(?: here)?|(?:untitled|unnamed)(?: (?:document|page|post|\d+))?|(?:new|sample|example|test|blank|default) (?:page|post|document|site|title)(?: \d+)?|(?:page )?title(?: here)?|lorem ipsum.*|hello world!?|placeholder(?: title)?|no title|null|undefined|nan)",
     re.I,
@@ -86,7 +86,7 @@ _ERROR_TITLE = re.compile(
 _TITLE_CUT = re.compile(r"\s+[|–—•·]\s+|\s+-\s+")
 
 # Error messages and script notices that are known by their form, between other text too.
-_MESSAGE_HINTS = ("javascript", "java script", "script", "error", "not found", "not be found", "on line ", "traceback", "denied for user", "sqlstate", "exception", "unavailable", "bad gateway", "forbidden")
+_MESSAGE_HINTS = frozenset("javascript java script scripts scripting error errors found line traceback denied sqlstate exception unavailable gateway forbidden warning notice".split())
 _ENGINE = re.compile(r"\b(?:warning|(?:catchable |php )?fatal error|parse error|notice|deprecated|strict standards)\s*:\s.+\bin\s+\S+.*\bon line \d+", re.I)
 _MESSAGE_LINE = re.compile(
     r"(?:http )?(?:error )?[45]\d\d\s*[:–-]?\s*(?:error\s*[:–-]?\s*)?(?:(?:page |file )?not found|forbidden|bad gateway|bad request|unauthori[sz]ed|(?:service|temporarily|service temporarily) unavailable|internal server error|gateway time-?out|gone)|(?:page|file|document) not found",
@@ -158,17 +158,17 @@ def _key(mark: str, toks: list[str], text: str) -> int:
     return hashed(mark + "=" + words) & ~7 | WEAK if words else 0
 
 
-def _units(s: str, host: str, kind: int) -> tuple[tuple[tuple[int, bool], ...], int]:
+def _units(s: str, host: str, kind: int, words: list[str]) -> tuple[tuple[tuple[int, bool], ...], int]:
     """(key, whether it has filled slots) of the units of a squeezed line (its sentences, or the whole), and the key of its lead or shape (0: none)."""
-    words = _W.findall(s)
     if not words:
         return (), 0
     if len(words) > KEY_WORDS:
-        letters = "".join(filter(str.isalpha, words)).lower()
+        letters = "".join(filter(str.isalpha, words))
         return (((hashed("l" + letters) & ~7, False),) if letters else ()), 0
     seen = {}
-    for x in _SENTENCE.split(s) if kind in (B.PROSE, B.SHORT, B.ITEM) else (s,):
-        toks = frame(x, host)[0]
+    several = kind in (B.PROSE, B.SHORT, B.ITEM) and (". " in s or "! " in s or "? " in s)
+    for x in _SENTENCE.split(s) if several else (s,):
+        toks, caseless = frame(x, host)
         if k := _key("s", toks, x):
             seen[k] = SLOT in toks
     units = tuple(seen.items())
@@ -180,7 +180,8 @@ def _units(s: str, host: str, kind: int) -> tuple[tuple[tuple[int, bool], ...],
         if m and m.start() <= 40 and 1 <= len(_W.findall(bare[: m.start()])) <= 4:
             lead = hashed("L" + " ".join(_W.findall(bare[: m.start()].lower())) + m.group().strip()) & ~7 | LEAD
         elif kind != B.PROSE and bare[:1].isupper() and len(words) <= 20:
-            toks, caseless = frame(bare, host)
+            if several or bulleted:
+                toks, caseless = frame(bare, host)
             rest = toks[1:] if toks[:1] != [SLOT] else toks
             rest = rest if rest[:1] == [SLOT] else [SLOT, *rest]
             if not caseless and any(t != SLOT for t in rest) and not (bulleted and s[0] in "-*•0123456789("):
@@ -234,9 +235,9 @@ def _open(line: str, kind: int) -> bool:
 def _blanks(line: str, s: str) -> int:
     """Signs that slots of a line were left blank, or at a default that programs print or forms show."""
     n = 0
-    if any(m in s for m in _MISSING_MARKS):
+    if "undefined" in s or "NaN" in s or "null" in s or "[object" in s:
         n += len(_MISSING.findall(s))
-    if not s.isupper():
+    if _CAPITALS.search(s) and not s.isupper():
         n += len(_FIELD.findall(s))
     raw = line.strip()
     if " ," in raw or " ." in raw or " !" in raw or "  " in raw:
@@ -258,13 +259,14 @@ def _kept_facts(line: str, host: str) -> tuple:
 
 def _line_facts(line: str, host: str) -> tuple:
     """(kind, characters, bytes, words, function words, marks, tag and address characters, odd characters, unit keys, lead key, the words) of a line that isn't blank."""
-    ws = _W.findall(line.lower())
-    kind, k, stops = B.kind(line)
+    low = line.lower()
+    ws = _W.findall(low)
+    kind, k, stops = B.kind(line, low.split())
     s = " ".join(line.split())
     n = len(s)
     marks = ENDED if B._END.search(s[-40:]) else 0
     odd = len(s.encode().translate(None, _PLAIN)) if s.isascii() else len(_NO_LETTER.findall(s))
-    if stops * 4 < k and len(_ITEMS.findall(s)) >= 3:
+    if stops * 4 < k and n > 12 and len(_ITEMS.findall(s)) >= 3:
         marks |= ITEMS
     tags = 0
     if stops * 4 < k or not stops:
@@ -277,16 +279,17 @@ def _line_facts(line: str, host: str) -> tuple:
     if k <= KEY_WORDS and kind in (B.PROSE, B.SHORT, B.ITEM):
         if b := _blanks(line, s):
             marks |= OPEN if b >= 2 else BLANKS
-        if k <= 25 and (k < 4 or stops * 2 < k) and any(map(s.lower().__contains__, _FILLER_HINTS)) and _FILLER_LINE.fullmatch(B._bare(s)):
+        if k <= 25 and (k < 4 or stops * 2 < k) and not _FILLER_HINTS.isdisjoint(ws) and _FILLER_LINE.fullmatch(B._bare(s)):
             marks |= FILLER
-    units, lead = _units(s, host, kind)
+    if not _MESSAGE_HINTS.isdisjoint(ws) or any("error" in w or "exception" in w for w in ws if len(w) > 12):
+        marks |= HINTED
+    units, lead = _units(s, host, kind, ws)
     return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead, ws
 
 
 def _message(line: str, before: str) -> bool:
     """Whether a line holds an error message or a script notice by its form, unless it or the line ``before`` explains it."""
-    low = line.lower()
-    if not any(map(low.__contains__, _MESSAGE_HINTS)) or before.rstrip().endswith(":") or (before and _EXPLAINS.search(_SENTENCE.split(before.rstrip())[-1])):
+    if before.rstrip().endswith(":") or (before and _EXPLAINS.search(_SENTENCE.split(before.rstrip())[-1])):
         return False
     bare = B.bare(line)
     if _ENGINE.search(line):
@@ -418,18 +421,16 @@ PAGE = (
 def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
     """What the operators need of a page, a value for each column of ``PAGE``."""
     shown = [(no, f, x) for no, (f, x) in enumerate(zip(facts, lines, strict=True), 1) if f is not None]
-    kinds = [f[0] for _, f, _ in shown]
-    marks = [f[5] for _, f, _ in shown]
+    columns = list(zip(*(f for _, f, _ in shown), strict=True)) or [()] * 11
+    kinds, marks = list(columns[0]), list(columns[5])
     solid, long, often = cover(facts)
     heading = B.bare(title).casefold() if title else ""
     heads = [B.bare(x).casefold() for x in _TITLE_CUT.split(title.strip())] if heading else []
     total = sum(f[3] for _, f, _ in shown if f[0] in (B.PROSE, B.SHORT, B.ITEM))
     bits = lorem = words = telling = 0
     before = ""
-    low = "\n".join(lines).lower()
-    hinted = any(map(low.__contains__, _MESSAGE_HINTS))
     for i, (_, f, line) in enumerate(shown):
-        if heading and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and f[3] <= KEY_WORDS:
+        if heading and f[3] <= KEY_WORDS and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and (len(line) <= len(heading) + 12 or any(h[-9:] in line.casefold() for h in heads)):
             b = B.bare(line).casefold()
             if kinds[i] in (B.SHORT, B.ITEM) and len(b) > 8 and b in heading:
                 kinds[i] = B.PROSE  # a headline that is the page's title
@@ -439,7 +440,7 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
             kinds[i] = B.PROSE  # a sentence in passing, no heading
         if f[5] & OPEN:
             bits |= VAR
-        if hinted and not bits & MESSAGE and _message(line, before):
+        if f[5] & HINTED and not bits & MESSAGE and _message(line, before):
             bits |= MESSAGE
         before = line
         words += f[3]
@@ -473,10 +474,9 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
     if name:
         keys.append(name)
         key_at.append(len(shown))  # the title stands behind the last line
-    own = lambda i: [f[i] for _, f, _ in shown]
     return (
-        name, bits, [no for no, _, _ in shown], own(2), kinds, own(1), own(3), own(4), marks, own(6), own(7), solid, long, often,
-        [len(f[8]) for _, f, _ in shown], keys, key_at,
+        name, bits, [no for no, _, _ in shown], columns[2], kinds, columns[1], columns[3], columns[4], marks, columns[6], columns[7], solid, long, often,
+        list(map(len, columns[8])), keys, key_at,
     )
 
 
