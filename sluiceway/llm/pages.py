@@ -386,21 +386,35 @@ def prose(v: list[int]) -> bool:
 # ------------------------------------------------------------------ repeats (problem 2)
 
 
+def clausal(k: int, stops: int) -> bool:
+    """Whether a line's words make clauses: as many common ones as whole sentences have."""
+    return k >= 8 and stops * 100 >= 36 * k
+
+
 def cover(facts: list) -> tuple[list[int], list[int], list[int]]:
-    """For each line that isn't blank: characters of its words, those in repeats of two words or more, and those in repeats that occur three times, in the whole page."""
+    """For each line that isn't blank: characters of its words, those in repeats of two words or more, and those in repeats that occur three times, in the whole page.
+
+    Lines of clauses hold no keywords: nothing of them counts as covered, nor as a repeat of another line.
+    """
     words: list = []
-    starts = []
+    starts, place, solid = [], [], []
     for f in facts:
-        if f is not None:
+        if f is None:
+            continue
+        if f[10] and not clausal(f[3], f[4]):
+            place.append(len(solid))
             starts.append(len(words))
             words += f[10]
             words.append((len(starts),))  # the end of a line, like no other: no repeat crosses it
-    if not words:
-        return [], [], []
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    sizes[[*(s - 1 for s in starts[1:]), len(words) - 1]] = 0
-    _, two, three = repeat_marks(words)
-    return tuple(np.add.reduceat(x, starts).tolist() for x in (sizes, sizes * two, sizes * three))
+        solid.append(sum(map(len, f[10])))
+    long, often = [0] * len(solid), [0] * len(solid)
+    if words:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        sizes[[*(s - 1 for s in starts[1:]), len(words) - 1]] = 0
+        _, two, three = repeat_marks(words)
+        for i, a, b in zip(place, np.add.reduceat(sizes * two, starts).tolist(), np.add.reduceat(sizes * three, starts).tolist(), strict=True):
+            long[i], often[i] = a, b
+    return solid, long, often
 
 
 # ------------------------------------------------------------------ the page
@@ -456,7 +470,7 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
     if title and not title.isspace():
         whole = title.strip()
         parts = [whole, *(p.strip() for p in _TITLE_CUT.split(whole))]
-        if any(VARIABLE.fullmatch(p) for p in parts):
+        if _MARKS.search(whole) and any(VARIABLE.fullmatch(p) for p in parts):
             bits |= TITLE
         elif any(_FILLER_TITLE.fullmatch(p) or (_ERROR_TITLE.fullmatch(p) and not _EVERYDAY_TITLE.fullmatch(p)) for p in parts):
             bits |= TITLE_WORDS
