@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import languages, leaks, mixing, quality, repeats, review
+from . import dedup, languages, leaks, mixing, quality, ranking, repeats, review
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,34 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review(spark, sf_dir).keyword_pages()
 
 
+# ------------------------------------------------------------------ 3: copies under other formatting
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.copies(table(spark, sf_dir, "search_result"), "result_id", dedup.url_fields(F.col("url")))
+
+
+def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct page with its number of results."""
+    return dedup.copy_counts(table(spark, sf_dir, "search_result"), "result_id", dedup.url_fields(F.col("url")))
+
+
+# ------------------------------------------------------------------ 4: one ranking
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.fuse_rankings(table(spark, sf_dir, "source_score"), table(spark, sf_dir, "search_source"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.agreed_best(_ranking(spark, sf_dir)).select("query_id", "result_id").distinct()
+
+
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ranking of every query."""
+    return _ranking(spark, sf_dir).select("query_id", "result_id", (F.round("projection", 5) + 0.0).alias("projection"), "position", "n_sources", "n_best")
+
+
 # ------------------------------------------------------------------ 5: boilerplate
 
 
@@ -151,7 +179,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_statistics, p2_found, p5_found, p5_lines, p6_found, p6_origins, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_temperature, p10_found, p10_segments, p10_documents,
+    p1_found, p1_statistics, p2_found, p3_found, p3_copies, p4_found, p4_ranking, p5_found, p5_lines, p6_found, p6_origins, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_temperature, p10_found, p10_segments, p10_documents,
 )}
 
 _P7 = r"""
@@ -165,7 +193,71 @@ k AS (SELECT page_id, url, site, line_no, regexp_replace(regexp_replace(regexp_r
 f AS (SELECT site, key FROM k WHERE key <> '' GROUP BY 1, 2 HAVING count(DISTINCT url) >= 5)
 """
 
+_P3 = r"""
+WITH u AS (SELECT result_id, regexp_replace(url, '\s+', '', 'g') AS u FROM search_result WHERE url IS NOT NULL),
+parts AS (
+  SELECT result_id,
+    regexp_extract(u, '#(.*)$', 1, 's') AS frag,
+    regexp_replace(u, '#.*$', '', 's') AS body
+  FROM u),
+split AS (
+  SELECT result_id, frag, regexp_extract(body, '\?(.*)$', 1, 's') AS query,
+    regexp_replace(regexp_replace(trim(url_decode(regexp_replace(body, '\?.*$', '', 's'))), '^([a-z][a-z0-9+.-]*:)?//+', '', 'i'), '^www\.', '', 'i') AS base
+  FROM parts),
+canon AS (
+  SELECT result_id,
+    lower(regexp_replace(base, '[^\p{L}\p{N}\p{M}]+', '', 'g')) AS base,
+    lower(regexp_replace(url_decode(frag), '[^\p{L}\p{N}\p{M}]+', '', 'g')) AS frag,
+    list_sort(list_filter(list_transform(string_split(query, '&'), lambda p:
+      lower(regexp_replace(url_decode(split_part(p, '=', 1)), '[^\p{L}\p{N}\p{M}]+', '', 'g')) || '=' ||
+      lower(regexp_replace(url_decode(CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END), '[^\p{L}\p{N}\p{M}]+', '', 'g'))),
+      lambda p: p <> '=')) AS pairs
+  FROM split),
+g AS (SELECT result_id, min(result_id) OVER (PARTITION BY base, frag, pairs) AS first_id FROM canon)
+"""
+
+_P4 = """
+WITH last AS (
+  SELECT query_id, result_id, source, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, result_id, source ORDER BY scored_at DESC NULLS LAST, score DESC NULLS LAST) AS rn FROM source_score
+    WHERE result_id IS NOT NULL AND source IS NOT NULL)
+  WHERE rn = 1 AND score IS NOT NULL),
+s AS (SELECT l.*, CASE WHEN lower(x.better) = 'low' THEN -score ELSE score END AS good FROM last l LEFT JOIN search_source x USING (source)),
+b AS (SELECT query_id, source, max(good) AS top FROM s GROUP BY 1, 2),
+t AS (SELECT query_id, source, any_value(result_id) AS result_id FROM s JOIN b USING (query_id, source) WHERE good = top GROUP BY 1, 2 HAVING count(*) = 1),
+n AS (SELECT query_id, count(DISTINCT source) AS n FROM s GROUP BY 1)
+SELECT query_id, result_id FROM t JOIN n USING (query_id) WHERE n >= 3 GROUP BY query_id, result_id, n HAVING count(*) >= n - 1
+"""
+
+_P4_RANKING = """
+WITH RECURSIVE last AS (
+  SELECT query_id, result_id, source, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, result_id, source ORDER BY scored_at DESC NULLS LAST, score DESC NULLS LAST) AS rn FROM source_score
+    WHERE result_id IS NOT NULL AND source IS NOT NULL)
+  WHERE rn = 1 AND score IS NOT NULL),
+s AS (SELECT l.*, CASE WHEN lower(x.better) = 'low' THEN -score ELSE score END AS good FROM last l LEFT JOIN search_source x USING (source)),
+g AS (SELECT *, rank() OVER w AS less, count(*) OVER (PARTITION BY query_id, source, good) AS same, count(*) OVER (PARTITION BY query_id, source) AS n_all FROM s WINDOW w AS (PARTITION BY query_id, source ORDER BY good)),
+r AS (SELECT query_id, result_id, source, (less - 1 + (same + 1) / 2.0) / (n_all + 1) AS r, less = n_all AND same = 1 AS best FROM g),
+names AS (SELECT source, row_number() OVER (ORDER BY source) AS i FROM (SELECT DISTINCT source FROM r)),
+x AS (SELECT r.*, i FROM r JOIN names USING (source)),
+one AS (SELECT i, avg(r) AS mean, stddev_pop(r) AS sd FROM x GROUP BY i),
+pair AS (SELECT a.i, b.i AS j, count(*) AS n, corr(a.r, b.r) AS c FROM x a JOIN x b ON a.query_id = b.query_id AND a.result_id = b.result_id GROUP BY 1, 2),
+cell AS (SELECT p.i, q.i AS j, CASE WHEN p.i = q.i THEN 1 WHEN pair.n > 2 AND NOT isnan(c) THEN c ELSE 0 END AS c FROM names p CROSS JOIN names q LEFT JOIN pair ON pair.i = p.i AND pair.j = q.i),
+m AS (SELECT list(c ORDER BY i) AS m FROM (SELECT i, list(c + CASE WHEN i = j THEN 10 ELSE 0 END ORDER BY j) AS c FROM cell GROUP BY i)),
+power AS (
+  SELECT 0 AS step, list_transform(m, lambda z: 1.0::DOUBLE) AS v FROM m
+  UNION ALL
+  SELECT step + 1, list_transform(list_transform(m, lambda z: list_dot_product(z, v)), lambda z: z / sqrt(list_sum(list_transform(m, lambda y: list_dot_product(y, v) ** 2)))) FROM power, m WHERE step < 400),
+w AS (SELECT names.i, abs(v[names.i]) / sd AS w, mean FROM names JOIN one USING (i), power WHERE step = 400),
+p AS (SELECT query_id, result_id, round(sum(w * (r - mean)), 9) AS projection, count(*) AS n_sources, sum(best::INT)::BIGINT AS n_best FROM x JOIN w USING (i) GROUP BY 1, 2)
+SELECT query_id, result_id, round(projection, 5) + 0.0 AS projection, row_number() OVER (PARTITION BY query_id ORDER BY projection DESC, result_id) AS position, n_sources, n_best FROM p
+"""
+
 ORACLE = {
+    "p3_found": _P3 + "SELECT first_id, result_id AS copy_id FROM g WHERE result_id <> first_id",
+    "p3_copies": _P3 + "SELECT first_id, count(*) AS n_copies FROM g GROUP BY 1 UNION ALL SELECT result_id, 1 FROM search_result WHERE url IS NULL",
+    "p4_found": _P4,
+    "p4_ranking": _P4_RANKING,
     "p7_found": _P7 + "SELECT DISTINCT page_id, line_no FROM k JOIN f USING (site, key)",
     "p8_found": r"""
 WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT item_id, text FROM eval_item)),
