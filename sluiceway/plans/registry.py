@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import markup, records, web
+from . import markup, web
 
-_MODULES = [web, markup, records]
+_MODULES = [web, markup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
