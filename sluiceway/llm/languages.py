@@ -23,8 +23,10 @@ from .passes import map_batches
 
 #: Sampled documents for each language, the longest document in the sample (characters), and words kept a language.
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_WORDS = 400, 20_000, 20_000
-#: Documents that must bear a language's label for it to be learnt, and languages at most.
-LEAST_DOCS, MOST_LANGS = 3, 60
+#: Documents that must bear a language's label for it to be learnt. Languages are at most those of ``CODES``.
+LEAST_DOCS = 3
+#: What a stretch is called whose words are strange to every language learnt, and the share of known word parts below which they are.
+UNKNOWN, LEAST_KNOWN = "und", 0.45
 #: Longest n-gram of the backoff.
 NGRAM = 4
 #: Least words of a whole sentence, and least lead of its language over the next (log units) to stand by itself.
@@ -94,15 +96,15 @@ class Model:
     grams: list[dict[str, int]]
     gram_tables: list[np.ndarray]
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of an unknown word: the mean over its known n-grams of the greatest length that has any."""
+    def unseen(self, word: str) -> tuple[np.ndarray, float]:
+        """Scores of an unknown word, the mean over its known n-grams of the greatest length that has any; and that length times the share of the n-grams known, over ``NGRAM``."""
         padded = f"^{word}$"
         for n in range(NGRAM, 0, -1):
             known = self.grams[n - 1]
             rows = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
             if rows:
-                return self.gram_tables[n - 1][rows].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+                return self.gram_tables[n - 1][rows].mean(axis=0), n / NGRAM * len(rows) / max(1, len(padded) - n + 1)
+        return np.zeros(len(self.langs), dtype=np.float32), 0.0
 
 
 def _scores(counts: list[Counter], keys: list[str], add: float) -> np.ndarray:
@@ -171,6 +173,7 @@ class Scorer:
     def _reset(self) -> None:
         self.row = dict(self.model.words)
         self.table = self.model.table
+        self.known = np.ones(len(self.table), dtype=np.float32)
         if not len(self.table):
             self.table = np.zeros((0, len(self.model.langs)), dtype=np.float32)
 
@@ -179,6 +182,7 @@ class Scorer:
 
         A list whose first two and last two words clearly agree on another language than the sum
         quotes a phrase: it gets the scores of its frame, the four words, in place of the sum.
+        ``shares`` then holds how well each list's words are known, from 0 to 1.
         """
         flat = [w for ws in sents for w in ws]
         if len(self.row) > 300_000:
@@ -187,13 +191,17 @@ class Scorer:
         if new:
             n = len(self.table)
             self.row.update((w, n + i) for i, w in enumerate(new))
-            self.table = np.concatenate([self.table, np.array([self.model.unseen(w) for w in new], dtype=np.float32)])
+            got = [self.model.unseen(w) for w in new]
+            self.table = np.concatenate([self.table, np.array([s for s, _ in got], dtype=np.float32)])
+            self.known = np.concatenate([self.known, np.array([k for _, k in got], dtype=np.float32)])
         ids = np.fromiter(map(self.row.__getitem__, flat), dtype=np.int64, count=len(flat))
         sizes = np.array([len(ws) for ws in sents], dtype=np.int64)
         out = np.zeros((len(sents), len(self.model.langs)), dtype=np.float32)
+        self.shares = np.ones(len(sents), dtype=np.float32)
         full = np.flatnonzero(sizes)
         if len(full):
             starts = (np.cumsum(sizes) - sizes)[full]
+            self.shares[full] = np.add.reduceat(self.known[ids], starts) / sizes[full]
             rows = self.table[ids]
             total = np.add.reduceat(rows, starts, axis=0)
             if out.shape[1] > 1:
@@ -212,7 +220,6 @@ def fit_on(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample_d
     """Fit on about ``sample_docs`` documents of each labelled language (of at most ``SAMPLE_CHARS`` characters), picked by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), label_code_column(F.col(label_col)).alias("l")).filter(f"l IS NOT NULL AND length(t) BETWEEN 1 AND {SAMPLE_CHARS}")
     counted = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] >= LEAST_DOCS}
-    counted = dict(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:MOST_LANGS])
     if not counted:
         return fit([])
     chance = F.create_map(*[F.lit(x) for la, n in counted.items() for x in (la, min(1.0, sample_docs / n))])
@@ -221,8 +228,8 @@ def fit_on(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample_d
     return fit(got)
 
 
-def _read(scores: np.ndarray, wholes: list[bool]) -> list[tuple[int, float, bool]]:
-    """(language, lead, whole) of the sentences of one document; unclear ones take the nearest clear one's language."""
+def _read(scores: np.ndarray, wholes: list[bool], known: np.ndarray) -> list[tuple[int, float, bool]]:
+    """(language, lead, whole) of the sentences of one document; unclear ones take the nearest clear one's language, strange ones have -1."""
     best = scores.argmax(axis=1).tolist()
     lead = _lead(scores).tolist()
     clear = [i for i, x in enumerate(lead) if x >= LEAST_LEAD]
@@ -234,6 +241,8 @@ def _read(scores: np.ndarray, wholes: list[bool]) -> list[tuple[int, float, bool
             while k + 1 < len(clear) and abs(clear[k + 1] - i) <= abs(clear[k] - i):
                 k += 1
             best[i] = best[clear[k]]
+    for i in np.flatnonzero(known < LEAST_KNOWN).tolist():
+        best[i] = -1
     return list(zip(best, lead, wholes, strict=True))
 
 
@@ -245,7 +254,8 @@ def segments(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
 
     ``doc_id, segment, start, end, lang, confidence, n_sentences``: ``start`` and ``end`` are
     character offsets, ``n_sentences`` counts whole sentences. ``confidence`` is the probability of
-    the language given the words' scores, tempered by the segment's length. Null and wordless texts
+    the language given the words' scores, tempered by the segment's length. A stretch whose words are
+    strange to all languages learnt is ``und``, with the share of what is strange. Null and wordless texts
     give no rows; with no labelled document to learn from there are none at all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS a language
@@ -261,6 +271,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
             per = [sentences(t) if t else [] for t in texts]
             flat = [s for ss in per for s in ss]
             sums = scorer.sums([s[2] for s in flat])
+            known = scorer.shares
             lo = 0
             for i, ss in zip(ids, per, strict=True):
                 hi = lo + len(ss)
@@ -268,7 +279,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
                     lo = hi
                     continue
                 own = sums[lo:hi]
-                read = _read(own, [s[3] and len(s[2]) >= LEAST_WORDS for s in ss])
+                read = _read(own, [s[3] and len(s[2]) >= LEAST_WORDS for s in ss], known[lo:hi])
                 seg = 0
                 a = 0
                 while a < len(ss):
@@ -279,8 +290,9 @@ def segments(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
                     words = sum(len(s[2]) for s in ss[a : b + 1])
                     z = total / math.sqrt(max(words, 1))
                     p = np.exp(z - z.max())
-                    conf = float(p[read[a][0]] / p.sum())
-                    for o, v in zip(out, (i, seg, ss[a][0], ss[b][1], langs[read[a][0]], round(conf, 6), sum(r[2] for r in read[a : b + 1])), strict=True):
+                    at = read[a][0]
+                    conf = float(p[at] / p.sum()) if at >= 0 else float(1 - known[lo + a : lo + b + 1].mean())
+                    for o, v in zip(out, (i, seg, ss[a][0], ss[b][1], langs[at] if at >= 0 else UNKNOWN, round(conf, 6), sum(r[2] for r in read[a : b + 1])), strict=True):
                         o.append(v)
                     seg += 1
                     a = b + 1
@@ -303,7 +315,7 @@ def document_languages(segs: DataFrame) -> DataFrame:
 
 
 def unnamed_languages(docs: DataFrame, id_col: str, text_col: str, label_col: str, model: Model) -> DataFrame:
-    """``doc_id, lang``: languages with at least ``LEAST_SENTENCES`` whole sentences that the document's label doesn't name; distinct."""
-    per = segments(docs, id_col, text_col, model).groupBy("doc_id", "lang").agg(F.sum("n_sentences").alias("n")).filter(F.col("n") >= LEAST_SENTENCES)
+    """``doc_id, lang``: languages with at least ``LEAST_SENTENCES`` whole sentences that the document's label doesn't name; distinct. Unknown languages have no code and are left out."""
+    per = segments(docs, id_col, text_col, model).groupBy("doc_id", "lang").agg(F.sum("n_sentences").alias("n")).filter((F.col("n") >= LEAST_SENTENCES) & (F.col("lang") != UNKNOWN))
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), label_code_column(F.col(label_col)).alias("lang")).filter("lang IS NOT NULL").distinct()
     return per.select("doc_id", "lang").join(named, ["doc_id", "lang"], "left_anti").distinct()

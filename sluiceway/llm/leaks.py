@@ -19,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .passes import map_batches
 
@@ -107,9 +108,13 @@ class Index:
                 start.append(s)
         # runs of `run` words that stand in one item only
         seen: dict[tuple, int] = {}
+        self.holders: dict[tuple, set[int]] = {}  # the texts of each run that several hold
         for i, w in enumerate(self.words):
             for g in {tuple(w[s : s + run]) for s in range(len(w) - run + 1)}:
-                seen[g] = i if g not in seen else -1
+                first = seen.setdefault(g, i)
+                if first != i:
+                    self.holders.setdefault(g, {first} if first >= 0 else set()).add(i)
+                    seen[g] = -1
         self.unique = [[seen[tuple(w[s : s + run])] >= 0 for s in range(len(w) - run + 1)] for w in self.words]
         self.joined = [f" {' '.join(w)} " for w in self.words]
         flags = [u + [False] * (len(w) - len(u)) for u, w in zip(self.unique, self.words, strict=True)]
@@ -136,7 +141,9 @@ class Index:
         at = np.arange(len(missed)) * wide
         kinds = [missed] if own_only else [missed[k::3] for k in range(3)]  # replaced, inserted, deleted: each must reach the recall
         most = MOST_REPEATS if own_only else MOST_REPEATS_SHIFTED
-        while not self.walks or (any(m.sum() > (1 - recall) * len(m) for m in kinds) and len(self.walks) < most):
+        while not self.walks or any(m.sum() > (1 - recall) * len(m) for m in kinds):
+            if len(self.walks) >= most:
+                raise ValueError(f"{most} walks miss the recall of {recall}: sample fewer positions")
             walk = Walk(seed * 1000 + len(self.walks), self.window, SAMPLED)
             keys = walk.keys(self.flat, self.places)
             order = np.argsort(keys, kind="stable")
@@ -287,8 +294,10 @@ class Index:
         return False
 
     def _alone(self, item: int, start: int, n: int) -> bool:
-        run = f" {' '.join(self.words[item][start : start + n])} "
-        return not any(run in t for i, t in enumerate(self.joined) if self.ids[i] != self.ids[item])
+        words = self.words[item]
+        run = f" {' '.join(words[start : start + n])} "
+        others = self.holders.get(tuple(words[start : start + self.run]), ())
+        return not any(run in self.joined[i] for i in others if self.ids[i] != self.ids[item])
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, bound: int) -> int:
@@ -315,7 +324,10 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, run: in
     ``own_only`` leaves out what can't be ``own``: all pairs with ``own`` come out, few of the others.
     Null ids and texts and items shorter than a window match nothing; repeated items count once.
     """
-    got = [(r[0], r[1]) for r in items.select("item_id", "text").distinct().collect()]  # bounded: the index checks it
+    items = items.select("item_id", "text").distinct()
+    if (items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) > MOST_WORDS:
+        raise ValueError(f"items of more than {MOST_WORDS} words")
+    got = [(r[0], r[1]) for r in items.collect()]
     index = docs.sparkSession.sparkContext.broadcast(Index(got, run=run, edits=edits, own_only=own_only))
 
     def make():

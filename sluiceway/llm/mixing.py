@@ -3,7 +3,8 @@
 Sizes are tokens of a public tokenizer. Weights follow a temperature path from the sources' own
 token shares to the wanted ones: w ~ share * (target / share) ** t, where the exponent t is 1 (the
 targets themselves) if the repetition limits allow the budget, and else the largest that does,
-found by bisection. Without a budget the largest one is taken for which t = 1 is allowed. The
+found by bisection. A budget as large as the listed sources (``listed_tokens``) repeats the small ones
+and thins the large; without a budget the largest one is taken for which t = 1 is allowed. The
 plain form, w ~ share ** t bisected to a target entropy, is ``temperature_weights``.
 
 Each source is then drawn as whole passes over its documents plus a part of one more: its documents
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
@@ -33,8 +35,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCKS = 1024
 #: Sources that a mix may name.
 MOST_SOURCES = 10_000
-#: Longest piece that is merged at once, in characters; runs beyond it are counted in pieces of this length.
+#: Characters from which on a text is counted in pieces, each up to the next word's end.
 _PIECE = 100_000
+_WORD_END = re.compile(r"\S(?=\s)")
+#: Setting that names another file of byte-pair ranks; every worker must see it.
+TOKENIZER_SETTING = "spark.sluiceway.tokenizer"
 
 
 @lru_cache(maxsize=2)
@@ -47,26 +52,24 @@ def _encoder(path: str):
 
 
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
-    """Tokens of a text. Texts beyond ``_PIECE`` characters are counted in pieces that end at white space where there is any."""
+    """Tokens of a text. Long texts are counted piece by piece; pieces end where a word does, so that no token is cut."""
     enc = _encoder(path)
-    if len(text) <= _PIECE:
-        return len(enc.encode_ordinary(text))
     n = at = 0
-    while at < len(text):
-        to = min(at + _PIECE, len(text))
-        if to < len(text):
-            space = text.rfind(" ", at + 1, to)
-            to = space if space > at else to
-        n += len(enc.encode_ordinary(text[at:to]))
-        at = to
-    return n
+    while len(text) - at > _PIECE:
+        end = _WORD_END.search(text, at + _PIECE)
+        if end is None:
+            break
+        n += len(enc.encode_ordinary(text[at : end.end()]))
+        at = end.end()
+    return n + len(enc.encode_ordinary(text[at:] if at else text))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None) -> DataFrame:
     """``doc_id, source, n_tokens`` of each distinct document; the source in lower case without blanks around it.
 
     Null or empty text has 0 tokens. Null ids are left out, null sources stay null.
     """
+    tokenizer = tokenizer or docs.sparkSession.conf.get(TOKENIZER_SETTING, TOKENIZER)
     rows = docs.select(F.col(id_col).cast("bigint"), F.nullif(F.lower(F.trim(F.col(source_col))), F.lit("")).alias("s"), text_col).filter(F.col(id_col).isNotNull())
 
     def make():
@@ -153,6 +156,20 @@ def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget:
 _PLAN = StructType([StructField("source", StringType()), StructField("whole", LongType()), StructField("rest", DoubleType())])
 
 
+def listed_tokens(counts: DataFrame, targets: DataFrame) -> int:
+    """Tokens of the documents of all listed sources: the budget of a mix as large as what it is drawn from."""
+    listed = targets.select(F.lower(F.trim("source")).alias("source")).distinct()
+    return counts.join(listed, "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0
+
+
+def source_sizes(counts: DataFrame) -> dict[str, int]:
+    """Tokens by source; more than ``MOST_SOURCES`` are refused."""
+    rows = counts.filter("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    return {r["source"]: r["n"] for r in rows}
+
+
 def draw(counts: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 9) -> tuple[DataFrame, dict]:
     """Documents drawn for a mix: ``doc_id, source, n_tokens, repeats``; and the plan's numbers.
 
@@ -208,8 +225,8 @@ def draw(counts: DataFrame, targets: DataFrame, budget: float | None = None, see
     return out, {"exponent": exponent, "weights": weights, "budget": spent, "tokens": tokens, "targets": wanted}
 
 
-def report(drawn: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per listed source: target and reached share of all drawn tokens, tokens there and drawn, repeats used and allowed."""
+def report(drawn: DataFrame, counts: DataFrame, targets: DataFrame, exponent: float = 1.0) -> DataFrame:
+    """Per listed source: target and reached share of all drawn tokens, tokens there and drawn, repeats used and allowed, and the plan's exponent."""
     listed = targets.select(F.lower(F.trim("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
     there = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"))
@@ -217,4 +234,4 @@ def report(drawn: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame
     met = listed.join(F.broadcast(there), "source", "left").join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(all_drawn))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     share = F.round(F.coalesce(F.col("drawn_tokens") / F.col("all_drawn"), F.lit(0.0)), 6)
-    return met.select("source", "target_share", share.alias("reached_share"), zero("tokens"), zero("drawn_tokens"), zero("most_repeats"), "max_repeats")
+    return met.select("source", "target_share", share.alias("reached_share"), zero("tokens"), zero("drawn_tokens"), zero("most_repeats"), "max_repeats", F.lit(round(exponent, 6)).alias("exponent"))

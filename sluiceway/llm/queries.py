@@ -129,28 +129,43 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 9: mixing sources
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Tokens of a mix, as a share of those of the listed sources' documents.
+MIX_SIZE = 0.5
+
+
+def _mix(spark: SparkSession, sf_dir: str, on_target: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """Drawn documents, counts, targets and exponent: of a mix of ``MIX_SIZE`` of its sources' tokens, or of the largest that meets every target."""
     counts = cut(mixing.token_counts(table(spark, sf_dir, "documents")))
     targets = table(spark, sf_dir, "mix_target")
-    return mixing.draw(counts, targets)[0], counts, targets
+    drawn, plan = mixing.draw(counts, targets, None if on_target else MIX_SIZE * mixing.listed_tokens(counts, targets))
+    return drawn, counts, targets, plan["exponent"]
 
 
 def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents drawn and how often."""
+    """The documents drawn, and how often, for a mix half as large as its sources: the exponent is bisected to the repetition limits."""
     return _mix(spark, sf_dir)[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wanted and reached shares of the sources."""
+    """Wanted and reached shares of that mix."""
     return mixing.report(*_mix(spark, sf_dir))
 
 
+def p9_target_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, and how often, for the largest mix in which every source has its target share."""
+    return _mix(spark, sf_dir, True)[0]
+
+
+def p9_target_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached shares of that mix."""
+    return mixing.report(*_mix(spark, sf_dir, True))
+
+
 def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the sources by temperature, at the entropy of the wanted shares."""
-    counts = mixing.token_counts(table(spark, sf_dir, "documents"))
-    sizes = {r[0]: r[1] for r in counts.filter("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens")).limit(mixing.MOST_SOURCES).collect()}
-    shares = [r[0] for r in table(spark, sf_dir, "mix_target").select("target_share").limit(mixing.MOST_SOURCES).collect()]
-    weights = mixing.temperature_weights(sizes, mixing.entropy(shares))
+    sizes = mixing.source_sizes(mixing.token_counts(table(spark, sf_dir, "documents")))
+    targets = table(spark, sf_dir, "mix_target").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("n_tokens"))
+    weights = mixing.temperature_weights(sizes, mixing.entropy([x or 0.0 for x in mixing.source_sizes(targets).values()]))
     return spark.createDataFrame([(s, round(w, 6), sizes[s]) for s, w in sorted(weights.items())], "source string, weight double, n_tokens bigint")
 
 
@@ -179,7 +194,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_statistics, p2_found, p3_found, p3_copies, p4_found, p4_ranking, p5_found, p5_lines, p6_found, p6_origins, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_temperature, p10_found, p10_segments, p10_documents,
+    p1_found, p1_statistics, p2_found, p3_found, p3_copies, p4_found, p4_ranking, p5_found, p5_lines, p6_found, p6_origins, p7_found, p7_sequences, p7_cleaned, p8_found, p8_leaks, p9_draws, p9_shares, p9_target_draws, p9_target_shares, p9_temperature, p10_found, p10_segments, p10_documents,
 )}
 
 _P7 = r"""

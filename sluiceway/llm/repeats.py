@@ -7,8 +7,12 @@ follows them in the projected sequences (those of frequent lines only), until no
 sequence is itself a frequent sequence of length one, so what is deleted is settled by round one;
 longer sequences tell which lines make up one block.
 
-Counting distinct urls runs as two partial aggregations, so neither a hot site nor a line on all of
-its pages meets in one task.
+Counting distinct urls runs as two partial aggregations, and lines or patterns that very many rows
+share are joined apart, so neither a hot site nor a line on all of its pages meets in one task.
+
+Patterns are runs in the projected sequences, in which only frequent lines are left: lines of the
+articles between them don't part them. Free gaps between frequent lines would make every subset of a
+block of n lines a pattern of its own, 2 ** n in all, without a line more or less to delete.
 """
 
 from __future__ import annotations
@@ -16,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_limit
 from ..session import cut, spread
 
 #: Distinct urls of one site on which a frequent line stands.
 SUPPORT = 5
-#: Salts that spread the occurrences of one line over tasks.
-SALTS = 16
 
 # The full English names of the months.
 MONTHS = "january february march april may june july august september october november december".split()
@@ -45,24 +48,33 @@ def line_keys(content: Column) -> Column:
 def lines(pages: DataFrame) -> DataFrame:
     """``page_id, line_no, site, h1, h2, u``: each line with letters, by the hashes of its key within its site and of its url.
 
-    Pages without url or content have none. h1 and h2 are 96 bits, so that no two keys of a site meet by chance.
+    Pages without url or content have none. h1 and h2 are two 64-bit hashes of site and key under
+    differing seeds: among 10 ** 12 lines two keys meet by chance with a probability below 10 ** -14.
     """
     base = spread(pages.select("page_id", "url", "content")).select(F.col("page_id").cast("bigint").alias("page_id"), site(F.col("url")).alias("site"), F.xxhash64("url").alias("u"), F.posexplode(line_keys(F.col("content"))).alias("at", "key"))
     base = base.filter("site IS NOT NULL AND page_id IS NOT NULL AND key <> ''")
-    return base.select("page_id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.xxhash64("site").alias("site"), F.xxhash64("site", "key").alias("h1"), F.hash("key", "site").alias("h2"), "u")
+    return base.select("page_id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.xxhash64("site").alias("site"), F.xxhash64("site", "key").alias("h1"), F.xxhash64(F.lit("second"), "key", "site").alias("h2"), "u")
 
 
 def _frequent(items: DataFrame, keys: list[str], support: int) -> DataFrame:
-    """Keys that stand on ``support`` distinct urls: distinct pairs first, then a count with partial sums."""
-    return items.select(*keys, "u").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_urls")).filter(F.col("n_urls") >= support)
+    """Keys that stand on ``support`` distinct urls, with their urls and rows: distinct pairs first, then sums."""
+    pairs = items.groupBy(*keys, "u").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_urls"), F.sum("n").alias("n_rows")).filter(F.col("n_urls") >= support)
+
+
+def _keep(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows whose keys are among ``groups`` (none null, each once, with ``n_rows``); groups of very many rows are broadcast, at most ``HOT_PARTS`` of them."""
+    limit = hot_limit(total)
+    if total <= limit:
+        return rows.join(groups, keys, "left_semi")
+    hot = F.broadcast(groups.filter(F.col("n_rows") > limit))
+    return rows.join(groups.filter(F.col("n_rows") <= limit), keys, "left_semi").unionByName(rows.join(hot, keys, "left_semi"))
 
 
 def occurrences(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``page_id, line_no, site, h1, h2, u`` of every occurrence of a frequent line."""
-    all_lines = lines(pages)
-    frequent = _frequent(all_lines, ["h1", "h2"], support).select("h1", "h2", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    salted = all_lines.withColumn("salt", F.pmod(F.col("page_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(frequent, ["h1", "h2", "salt"], "left_semi").drop("salt")
+    """``page_id, line_no, site, h1, h2, u`` of every occurrence of a frequent line. Texts are read once; a few numbers a line are kept."""
+    all_lines = cut(lines(pages))
+    return _keep(all_lines, _frequent(all_lines, ["h1", "h2"], support), ["h1", "h2"], all_lines.count())
 
 
 def repeated_lines(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -82,8 +94,8 @@ def frequent_sequences(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     page = Window.partitionBy("page_id", "site", "u")
     at = F.row_number().over(page.orderBy("line_no", "h1"))
     occ = cut(seen.select("page_id", "site", "u", at.alias("at"), F.col("h1").alias("id"), F.col("h1").alias("last")))
+    total = occ.count()  # rounds only lose rows
     found = cut(_frequent(occ, ["site", "id"], support).select("site", "id", F.lit(1).alias("length"), F.array("id").alias("pattern"), "n_urls"))
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     out, n, wide = None, 1, page.orderBy("at")
     while not found.isEmpty():
         rows = found.select("site", "length", "pattern", "n_urls")
@@ -95,16 +107,15 @@ def frequent_sequences(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
         pairs = cut(pairs.filter("beside = at + 1").drop("beside"))
         more = _frequent(pairs, ["site", "id", "then", "last"], support)
         more = more.join(found.select("site", "id", "pattern"), ["site", "id"])
-        found = cut(more.select("site", F.xxhash64("id", "then").alias("id"), F.col("id").alias("prefix"), "then", F.lit(n).alias("length"), F.concat("pattern", F.array("last")).alias("pattern"), "n_urls"))
-        kept = found.select("site", F.col("prefix").alias("id"), "then", salts)
-        salted = pairs.withColumn("salt", F.pmod(F.col("page_id"), F.lit(SALTS)).cast("int"))
-        occ = salted.join(kept, ["site", "id", "then", "salt"], "left_semi").select("page_id", "site", "u", "at", F.xxhash64("id", "then").alias("id"), "last")
+        found = cut(more.select("site", F.xxhash64("id", "then").alias("id"), F.col("id").alias("prefix"), "then", F.lit(n).alias("length"), F.concat("pattern", F.array("last")).alias("pattern"), "n_urls", "n_rows"))
+        kept = found.select("site", F.col("prefix").alias("id"), "then", "n_rows")
+        occ = _keep(pairs, kept, ["site", "id", "then"], total).select("page_id", "site", "u", "at", F.xxhash64("id", "then").alias("id"), "last")
     return found.select("site", "length", "pattern", "n_urls") if out is None else out
 
 
 def without_lines(pages: DataFrame, drop: DataFrame) -> DataFrame:
     """``page_id, n_removed, content``: distinct pages with the given lines (``page_id, line_no``) taken out; null content stays null."""
     gone = drop.groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))
-    met = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "content").filter("page_id IS NOT NULL").join(gone, "page_id", "left")
+    met = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "content").filter("page_id IS NOT NULL").dropDuplicates(["page_id", "content"]).join(gone, "page_id", "left")
     kept = F.filter(F.split("content", "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", (i + 1).cast("bigint")), F.lit(False)))
-    return met.select("page_id", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("content")).distinct()
+    return met.select("page_id", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("content"))

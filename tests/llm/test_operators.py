@@ -194,6 +194,28 @@ def test_sequences_of_any_length_equal_brute_force(spark):
     assert len({(r["site"], tuple(r["pattern"])) for r in got}) == len(got)
 
 
+def test_lines_of_sequences_are_those_of_round_one(spark):
+    """What frequent sequences of any length would delete is what single lines delete."""
+    rng = random.Random(8)
+    names = ["alpha", "beta", "gamma", "delta", "eps"]
+    rows = [(i, f"http://a.test/{i % 11}", None, "\n".join(rng.choices(names + ["own " + "abcdefghij"[i % 10]], k=7))) for i in range(30)]
+    df = spark.createDataFrame(rows, PAGE)
+    ids = {h for r in repeats.frequent_sequences(df).collect() for h in r["pattern"]}
+    occ = repeats.lines(df).collect()
+    assert {(r["page_id"], r["line_no"]) for r in occ if r["h1"] in ids} == {tuple(r) for r in repeats.repeated_lines(df).collect()}
+
+
+@pytest.mark.parametrize("least", [3, 10_000])
+def test_repeated_lines_on_either_path(spark, monkeypatch, least):
+    from sluiceway.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_LEAST", least)
+    monkeypatch.setattr(skew, "HOT_PARTS", 100)
+    rows = [(i, f"http://a.test/{i}", None, "hot line\nwarm " + "ab"[i % 2] + "\nown " + "x" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, PAGE)
+    assert {tuple(r) for r in repeats.repeated_lines(df).collect()} == brute_repeats(rows)
+
+
 def test_sequences_longer_than_the_rounds_between_cuts(spark):
     block = "\n".join("line " + chr(97 + i // 26) + chr(97 + i % 26) for i in range(35))
     got = Counter(r["length"] for r in repeats.frequent_sequences(spark.createDataFrame([(i, f"http://a.test/{i}", None, block) for i in range(5)], PAGE)).collect())
@@ -273,6 +295,41 @@ def test_passages_with_one_edit_of_any_kind_are_leaks(spark, kind):
     assert len(got) >= 0.8 * 60 and all(r["edits"] == 1 and not r["own"] for r in got)
 
 
+def test_end_to_end_recall_of_edited_passages():
+    """Passages of 10, 12 and 16 words with one edit of each kind, between other words, at any place."""
+    rng = random.Random(11)
+    items = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(rng.randrange(20, 60)))) for i in range(40)]
+    ix = leaks.Index(items)
+    for n in (10, 12, 16):
+        for kind in ("replaced", "inserted", "deleted"):
+            hit = 0
+            for _ in range(60):
+                k = rng.randrange(40)
+                w = items[k][1].split()
+                a, j = rng.randrange(len(w) - n + 1), rng.randrange(1, n - 1)
+                part = w[a : a + n]
+                part[j : j + (kind != "inserted")] = [] if kind == "deleted" else ["other"]
+                doc = [f"z{x}" for x in range(rng.randrange(20))] + part + ["y"] * 9
+                codes = leaks._code(doc, ix.number)
+                starts = np.arange(0, len(doc) - ix.window + 1, ix.stride)
+                pairs = ix.candidates(codes, starts).tolist()
+                hit += any(ix.ids[ix.owner[q]] == k and ix.verify(codes, doc, 0, len(doc), int(starts[p]), int(ix.owner[q]), int(ix.start[q]))[0] >= 0 for p, q in pairs)
+            assert hit >= 0.9 * 60, (n, kind, hit)
+
+
+def test_an_index_below_its_recall_is_refused(monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_REPEATS_SHIFTED", 2)
+    with pytest.raises(ValueError, match="recall"):
+        leaks.Index([(1, " ".join(f"w{i}" for i in range(40)))])
+
+
+def test_too_many_items_are_refused_before_they_are_fetched(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_WORDS", 30)
+    items = spark.createDataFrame([(1, "x " * 40)], "item_id bigint, text string")
+    with pytest.raises(ValueError, match="words"):
+        leaks.leaks(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), "doc_id", "text", items)
+
+
 def test_leaks_of_items_with_the_same_text(spark):
     text = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, text), (2, text), (3, "other words")], "item_id bigint, text string")
@@ -334,6 +391,37 @@ def test_drawn_shares(spark):
     assert mixing.draw(counts.limit(0), targets)[0].count() == 0
 
 
+def test_a_mix_as_large_as_its_sources_bisects_the_exponent(spark):
+    rng = random.Random(3)
+    rows = [(i, s, rng.randint(1, 50)) for i, s in enumerate(["a"] * 900 + ["b"] * 100 + ["c"] * 20 + ["d"] * 50)]
+    counts = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.4, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    budget = mixing.listed_tokens(counts, targets)
+    assert budget == sum(n for _, s, n in rows if s != "d")
+    drawn, plan = mixing.draw(counts, targets, budget)
+    got = drawn.collect()
+    assert 0 < plan["exponent"] < 1 and abs(sum(r["n_tokens"] * r["repeats"] for r in got) - budget) < 0.01 * budget
+    most = {"a": 2, "b": 2, "c": 3}
+    assert all(r["repeats"] <= most[r["source"]] for r in got)
+    rep = {r["source"]: r for r in mixing.report(drawn, counts, targets, plan["exponent"]).collect()}
+    assert rep["b"]["reached_share"] > sum(n for _, s, n in rows if s == "b") / budget and 0 < rep["a"]["exponent"] < 1
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    counts = spark.createDataFrame([(i, "abc"[i], 1) for i in range(3)], "doc_id bigint, source string, n_tokens bigint")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.source_sizes(counts)
+
+
+@pytest.mark.parametrize("text", ["word two, three  four\n\n five" * 40, "x" * 700, "a b\t\tc " * 90, " " * 300 + "end", "été naïve 東京 " * 50])
+def test_tokens_do_not_depend_on_pieces(monkeypatch, text):
+    whole = len(mixing._encoder(mixing.TOKENIZER).encode_ordinary(text))
+    for piece in (5, 64, 10_000):
+        monkeypatch.setattr(mixing, "_PIECE", piece)
+        assert mixing.count_tokens(text) == whole
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, " A ", "hello hello"), (1, " A ", "hello hello"), (2, None, None), (None, "a", "x"), (3, "b", "word " * 60_000)], "doc_id bigint, source string, text string").withColumn("n_tokens", F.lit(7))
     got = {r["doc_id"]: (r["source"], r["n_tokens"]) for r in mixing.token_counts(df).collect()}
@@ -377,6 +465,15 @@ def test_languages_on_made_up_documents(spark):
     assert abs(sum(r["share"] for r in per) - 1) < 1e-5
 
 
+def test_strange_languages_are_unknown(spark):
+    docs, _ = make_docs(4)
+    df = spark.createDataFrame([*docs, (900, "Το παλιό γεφύρι της πόλης είναι κλειστό. Κανείς δεν είπε γιατί έγινε αυτό.", "el"), (901, "古い橋は閉鎖されている。", None)], "doc_id bigint, text string, lang string")
+    model = languages.fit_on(df.filter("doc_id < 900"), "doc_id", "text", "lang")
+    got = {(r["doc_id"], r["lang"]) for r in languages.segments(df, "doc_id", "text", model).collect()}
+    assert {x for x in got if x[0] >= 900} == {(900, "und"), (901, "und")} and not any(la == "und" for i, la in got if i < 900)
+    assert not [r for r in languages.unnamed_languages(df, "doc_id", "text", "lang", model).collect() if r["doc_id"] >= 900]
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, PROSE, None), (2, PROSE, "zz")], "doc_id bigint, text string, lang string")
     assert languages.unnamed_languages(df, "doc_id", "text", "lang", languages.fit_on(df, "doc_id", "text", "lang")).count() == 0
