@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from hashlib import blake2b
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 from . import blocks as B
 from .automaton import repeat_marks
@@ -113,7 +113,7 @@ VAR, LATIN, MESSAGE, TITLE, TITLE_WORDS, TITLE_DAILY = 1, 2, 4, 8, 16, 32
 
 def hashed(text: str) -> int:
     """64 bits of a text, the same on every worker."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 # ------------------------------------------------------------------ keys: what makes two lines the same template
@@ -130,31 +130,30 @@ _MONTHS = frozenset("january february march april may june july august september
 _OPEN_WORDS = _MONTHS - {"may"} | {"null", "undefined", "nan"}
 
 
-def frame(text: str, host: str = "") -> tuple[list[str], bool]:
-    """The words of a text with a slot for each figure, inner capitalised word and word of the site's name; and whether it has case to tell.
+def frame(ws: list[str], host: str, cased: bool) -> tuple[list[str], bool]:
+    """The fixed words of a text's words: those that aren't figures, inner capitalised words (where there is case to tell) or words of the site's name; and whether any is not.
 
     Records of one template come out equal whatever fills their slots.
     """
-    upper = text.isupper()
-    out: list[str] = []
-    for w in _W.findall(text):
-        low = w.lower()
-        if (out and not upper and low != w and w[0] != low[0]) or low in _OPEN_WORDS or (len(w) > 4 and low in host) or (not w.isalpha() and any(map(str.isdigit, w))):
-            if not out or out[-1] != SLOT:
-                out.append(SLOT)
-        else:
-            out.append(low)
-    return out, upper or text.islower()
-
-
-def _key(mark: str, toks: list[str], text: str) -> int:
-    """Key of a frame: its fixed words; where they are fewer than two with the slots, or of slots only the words themselves, and marked as weak. 0 without letters."""
-    fixed = [t for t in toks if t != SLOT]
+    first = ws[0].lower()
+    if cased:
+        fixed = [w for w in ws[1:] if w[0].islower()]
+        if first[0].isalpha() and not (len(first) > 4 and first in host):
+            fixed.insert(0, first)
+        if not _OPEN_WORDS.isdisjoint(fixed):
+            fixed = [w for w in fixed if w not in _OPEN_WORDS]
+    else:
+        fixed = [w for x in ws if (w := x.lower())[0].isalpha() and w not in _OPEN_WORDS and not (len(w) > 4 and w in host)]
+    return fixed, len(fixed) < len(ws)
+
+
+def _key(mark: str, fixed: list[str], ws: list[str]) -> int:
+    """Key of a frame: its fixed words; where they are fewer than two marked as weak, where there are none the words themselves. 0 without letters."""
     if len(fixed) >= 2:
         return hashed(mark + " ".join(fixed)) & ~7
     if fixed:
-        return hashed(mark + " ".join(toks)) & ~7 | WEAK
-    words = " ".join(w.lower() for w in _W.findall(text) if w.isalpha())
+        return hashed(f"{mark}{fixed[0]} {SLOT}" if len(ws) > 1 else mark + fixed[0]) & ~7 | WEAK
+    words = " ".join(w.lower() for w in ws if w.isalpha())
     return hashed(mark + "=" + words) & ~7 | WEAK if words else 0
 
 
@@ -166,11 +165,14 @@ def _units(s: str, host: str, kind: int, words: list[str]) -> tuple[tuple[tuple[
         letters = "".join(filter(str.isalpha, words))
         return (((hashed("l" + letters) & ~7, False),) if letters else ()), 0
     seen = {}
+    cased = not (s.isupper() or s.islower())
     several = kind in (B.PROSE, B.SHORT, B.ITEM) and (". " in s or "! " in s or "? " in s)
     for x in _SENTENCE.split(s) if several else (s,):
-        toks, caseless = frame(x, host)
-        if k := _key("s", toks, x):
-            seen[k] = SLOT in toks
+        ws = _W.findall(x)
+        if ws:
+            fixed, open_ = frame(ws, host, not (x.isupper() or x.islower()))
+            if k := _key("s", fixed, ws):
+                seen[k] = open_
     units = tuple(seen.items())
     lead = 0
     if kind != B.PROSE or not B._END.search(s[-40:]):
@@ -179,12 +181,11 @@ def _units(s: str, host: str, kind: int, words: list[str]) -> tuple[tuple[tuple[
         m = _SEP.search(bare)
         if m and m.start() <= 40 and 1 <= len(_W.findall(bare[: m.start()])) <= 4:
             lead = hashed("L" + " ".join(_W.findall(bare[: m.start()].lower())) + m.group().strip()) & ~7 | LEAD
-        elif kind != B.PROSE and bare[:1].isupper() and len(words) <= 20:
-            if several or bulleted:
-                toks, caseless = frame(bare, host)
-            rest = toks[1:] if toks[:1] != [SLOT] else toks
-            rest = rest if rest[:1] == [SLOT] else [SLOT, *rest]
-            if not caseless and any(t != SLOT for t in rest) and not (bulleted and s[0] in "-*•0123456789("):
+        elif kind != B.PROSE and cased and bare[:1].isupper() and len(words) <= 20 and not (bulleted and s[0] in "-*•0123456789("):
+            ws = _W.findall(bare)
+            fixed = frame(ws, host, True)[0]
+            rest = fixed[1:] if fixed[:1] == [ws[0].lower()] else fixed
+            if rest:
                 lead = hashed("F" + " ".join(rest)) & ~7 | SHAPE
     return units, lead
 
@@ -193,10 +194,12 @@ def title_key(title: str | None, host: str = "") -> int:
     """Key of a title: its longest part besides the site's name. 0 without letters."""
     if not title or title.isspace():
         return 0
-    parts = [" ".join(p.split()) for p in _TITLE_CUT.split(title.strip())]
-    keyed = [(len(p), p) for p in parts if (f := frame(p, host)[0]) and f != [SLOT]] or [(len(p), p) for p in parts]
-    best = max(keyed)[1]
-    return _key("t", frame(best, host)[0], best)
+    parts = [(len(p), ws) for p in _TITLE_CUT.split(title.strip()) if (ws := _W.findall(p))]
+    if not parts:
+        return 0
+    own = [x for x in parts if frame(x[1], host, True)[0]] or parts
+    ws = max(own)[1]
+    return _key("t", frame(ws, host, True)[0], ws)
 
 
 # ------------------------------------------------------------------ facts of a line
@@ -281,7 +284,7 @@ def _line_facts(line: str, host: str) -> tuple:
             marks |= OPEN if b >= 2 else BLANKS
         if k <= 25 and (k < 4 or stops * 2 < k) and not _FILLER_HINTS.isdisjoint(ws) and _FILLER_LINE.fullmatch(B._bare(s)):
             marks |= FILLER
-    if not _MESSAGE_HINTS.isdisjoint(ws) or any("error" in w or "exception" in w for w in ws if len(w) > 12):
+    if not _MESSAGE_HINTS.isdisjoint(ws) or "error" in low or "exception" in low:
         marks |= HINTED
     units, lead = _units(s, host, kind, ws)
     return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead, ws
