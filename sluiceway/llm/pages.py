@@ -435,12 +435,12 @@ PAGE = (
 )
 
 
-def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
-    """What the operators need of a page, a value for each column of ``PAGE``."""
+def page(host: str, title: str | None, facts: list, lines: list[str], full: bool = True) -> tuple:
+    """What the operators need of a page, a value for each column of ``PAGE``; what only problems 1, 2 and 5 ask stays empty unless ``full``."""
     shown = [(no, f, x) for no, (f, x) in enumerate(zip(facts, lines, strict=True), 1) if f is not None]
     columns = list(zip(*(f for _, f, _ in shown), strict=True)) or [()] * 11
     kinds, marks = list(columns[0]), list(columns[5])
-    solid, long, often = cover(facts)
+    solid, long, often = cover(facts) if full else ([], [], [])
     heading = B.bare(title).casefold() if title else ""
     heads = [B.bare(x).casefold() for x in _TITLE_CUT.split(title.strip())] if heading else []
     total = sum(f[3] for _, f, _ in shown if f[0] in (B.PROSE, B.SHORT, B.ITEM))
@@ -491,16 +491,8 @@ def page(host: str, title: str | None, facts: list, lines: list[str]) -> tuple:
     if name:
         keys.append(name)
         key_at.append(len(shown))  # the title stands behind the last line
+    own = lambda i: columns[i] if full else ()
     return (
-        name, bits, [no for no, _, _ in shown], columns[2], kinds, columns[1], columns[3], columns[4], marks, columns[6], columns[7], solid, long, often,
+        name, bits, [no for no, _, _ in shown] if full else (), columns[2], kinds, own(1), columns[3], own(4), marks, own(6), own(7), solid, long, often,
         list(map(len, columns[8])), keys, key_at,
     )
-
-
-_NAME = re.compile(r"(?<=[a-z,;:] )[A-ZÀ-Þ]\w+|\d+")
-_SPACES = re.compile(r"\s+")
-
-
-def skeleton(text: str) -> str:
-    """A text with variables, figures and inner capitalised words as slots: equal for records of one template."""
-    return _SPACES.sub(" ", _NAME.sub("\u25a1", VARIABLE.sub("\u25a1", text))).strip().lower()

@@ -28,15 +28,19 @@ LEAST_BODY = 120
 _JUDGED = "page_id bigint, listlike boolean, keywords boolean, bare boolean, origin int, lines array<bigint>, templates array<bigint>"
 
 
-def _facts(url, title, facts, lines):
+def _light_facts(url, title, facts, lines):
+    return _facts(url, title, facts, lines, False)
+
+
+def _facts(url, title, facts, lines, full=True):
     host = site_of(url) or ""
     site = P.hashed(host) if host else None
-    return site, P.hashed(url or ""), *P.page(host, title, facts, lines)
+    return site, P.hashed(url or ""), *P.page(host, title, facts, lines, full)
 
 
 def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd, solid, long, often, n_units, hit_lines, hit_keys, hit_classes, frame_bytes, frame_link_bytes):
     """One row of the judgement (see ``_JUDGED``) on one page's facts, the classes of its keys and its frames."""
-    n = len(numbers)
+    n = len(sizes)
     frames = [(a if a >= 0 else None, b if b >= 0 else None) for a, b in zip(frame_bytes or (), frame_link_bytes or (), strict=True)]
     classes: list[dict[int, int]] = [{} for _ in range(n + 1)]
     for line, key, c in zip(hit_lines or (), hit_keys or (), hit_classes or (), strict=True):
@@ -57,6 +61,10 @@ def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd,
         elif not (kinds[k] in (B.PROSE, B.SHORT) and common or not n_units[k] or kinds[k] == B.BOILER):
             body += sizes[k]
     core = [k for k in range(n) if label[k] != B.BOILER]
+    origin, bare = templates.origins(bits, marks, core, words, classes), body < LEAST_BODY
+    if n and not numbers:  # read for residue only
+        yield i, False, False, bare, origin, [], templates.candidates(classes, kinds)
+        return
     v = [0] * P.WIDTH
     for k in core:
         v[P.N_LINES] += 1
@@ -71,9 +79,7 @@ def judge(i, bits, numbers, sizes, kinds, chars, words, stops, marks, tags, odd,
         if P.dense(words[k], stops[k]):
             v[P.DENSE_CHARS] += chars[k]
     stuffed = keyword_page([(kinds[k], chars[k], words[k], stops[k], marks[k], tags[k], solid[k], long[k], often[k], odd[k]) for k in core], link_share(sizes, label, frames))
-    origin = templates.origins(bits, marks, core, words, classes)
     bad = [no for no, out in zip(numbers, second_pass(sizes, label, frames), strict=True) if out]
-    bare = body < LEAST_BODY
     yield i, bool(core) and not P.prose(v), stuffed, bare, origin, bad, templates.candidates(classes, kinds)
 
 
@@ -82,11 +88,12 @@ class Review:
 
     Null or blank content makes no lines and no case by itself; rows without ``page_id`` are left
     out, repeated rows count once. Frames that don't fit a page's text, or miss, leave its lines to the
-    other rules; pages without a url have no site, and only their own lines speak for them.
+    other rules; pages without a url have no site, and only their own lines speak for them. Without
+    frames only ``residue`` is settled, and what the others ask is not read.
     """
 
     def __init__(self, pages: DataFrame, frames: DataFrame | None = None):
-        facts = cut(read_pages(pages, _facts, f"site bigint, u bigint, {P.PAGE}"))
+        facts = cut(read_pages(pages, _light_facts if frames is None else _facts, f"site bigint, u bigint, {P.PAGE}"))
         met = facts.drop("keys", "key_at", "site", "u", "title").join(key_classes(facts), "page_id", "left")
         met = met.withColumns({c: F.lit(None).cast("array<int>") for c in ("frame_bytes", "frame_links")}) if frames is None else met.join(frame_links(frames), "page_id", "left")
         arrays = ["numbers", "sizes", "kinds", "chars", "words", "stops", "marks", "tags", "odd", "solid", "long", "often", "n_units"]

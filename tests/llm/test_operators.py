@@ -36,7 +36,7 @@ def test_page_operators(spark):
     ids = lambda df: sorted(r[0] for r in df.collect())
     r = review.Review(pages, frames_)
     assert ids(r.list_pages()) == [1, 2, 3] and ids(r.residue()) == [5, 9] and ids(r.keyword_pages()) == [1, 3]
-    assert ids(review.Review(pages).residue()) == [5, 9]
+    assert ids(review.Review(pages).residue()) == [5, 9] and review.Review(pages).residue_origins().exceptAll(r.residue_origins()).count() == 0
     got = {tuple(x) for x in r.boilerplate_lines().collect()}
     assert got == {(4, 1), (4, 8), (4, 9), (4, 10)}
     assert {tuple(x) for x in r.lines().collect() if x[0] == 4} == got
@@ -88,7 +88,7 @@ def test_body_lines_that_crawls_and_sites_repeat_stay(spark):
     again = [(1000 + k, *rows[0][1:]) for k in range(8)]
     quote = "It was the best of bridges, and it was the worst of bridges for all of the town."
     rows = [(i, u, t, f"{x}\n{quote}\n{PROSE}" if i % 12 == 5 else x) for i, u, t, x in rows]
-    got = {tuple(x) for x in review.Review(spark.createDataFrame(rows + again, PAGE)).boilerplate_lines().collect()}
+    got = {tuple(x) for x in review.Review(spark.createDataFrame(rows + again, PAGE), spark.createDataFrame(frames, FRAME)).boilerplate_lines().collect()}
     by = {i: x.split("\n") for i, _, _, x in rows + again}
     assert not any(by[i][n - 1] == quote or by[i][n - 1].startswith("The ") and by[i][n - 1].endswith(".") for i, n in got)
 
