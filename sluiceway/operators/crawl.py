@@ -6,6 +6,7 @@ import re
 import time
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 from urllib.parse import urlsplit
 from urllib.request import Request, urlopen
 from urllib.robotparser import RobotFileParser
@@ -30,25 +31,30 @@ def readable(pages: DataFrame) -> DataFrame:
     return pages.filter(F.contains("content_type", F.lit("text/html")))
 
 
-def discover(edges: DataFrame, start: str, exclude: list[str] | None = None, rounds: int = 1000, cut_every: int = 5) -> tuple[DataFrame, DataFrame]:
+def discover(edges: DataFrame, start: str, exclude: list[str] | None = None, rounds: int | None = None, cut_every: int = 5) -> tuple[DataFrame, DataFrame]:
     """Breadth-first search from ``start`` over ``src_url, dst_url``: (``url, depth`` visited, ``domain`` seen).
 
     Every linked url is visited once; only those of the start's own network location outside the
     excluded prefixes are followed. Each round is one equality join of the frontier with the edges
-    and one anti join with what was visited; the lineage is cut in the checkpoint folder.
+    and one anti join with what was visited; the edges that can be followed are kept once and the
+    lineage is cut in the checkpoint folder. Rounds run until none finds a new url; where ``rounds``
+    bounds them, a search that is not done by then is an error.
     """
     spark = edges.sparkSession
     home = urlsplit(start).netloc
-    edges = edges.filter("src_url IS NOT NULL AND dst_url IS NOT NULL").select("src_url", "dst_url").distinct()
+    edges = edges.filter("src_url IS NOT NULL AND dst_url IS NOT NULL").select("src_url", "dst_url")
     inner = edges.filter((urls.netloc(F.col("src_url")) == home) & ~urls.excluded(F.col("src_url"), exclude or []))
+    inner = cut(inner.distinct())  # read in every round
     frontier = spark.createDataFrame([(start, 0)], "url string, depth int")
     layers = [frontier]
     visited = frontier
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         found = inner.join(frontier, F.col("src_url") == F.col("url"), "left_semi").select(F.col("dst_url").alias("url")).distinct()
         frontier = cut(found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
+        if rounds is not None and depth > rounds:
+            raise RuntimeError(f"the search is not done after {rounds} rounds")
         layers.append(frontier)
         visited = visited.unionByName(frontier)
         if depth % cut_every == 0:

@@ -41,10 +41,10 @@ def postings(pages: DataFrame, stemmed: bool = True, positions: bool = True) ->
 
 
 def write(pages: DataFrame, path: str, mode: str = "overwrite", parts: int | None = None) -> None:
-    """Write documents and postings; postings are laid out by term within each field."""
+    """Write documents and postings; postings are laid out by ranges of term and document within each field, so that a frequent term spreads over several files."""
     documents(pages).write.mode(mode).parquet(f"{path}/docs")
     p = postings(pages)
-    p = p.repartition(parts, "term") if parts else p.repartition("term")
+    p = p.repartitionByRange(parts, "term", "doc_id") if parts else p.repartitionByRange("term", "doc_id")
     p.sortWithinPartitions("term", "doc_id").write.mode(mode).partitionBy("field").parquet(f"{path}/postings")
 
 

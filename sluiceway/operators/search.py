@@ -67,6 +67,11 @@ def fuse(results: DataFrame, keys: list[str], seen: DataFrame | None = None, adj
     return out.select(*keys, "dedup_key", (F.col("total") / F.col("n")).alias("mean_rank"), F.col("n").alias("n_ranks"), F.col("record.title").alias("title"), F.col("record.url").alias("url"), F.col("record.description").alias("description"), "sources")
 
 
+def in_order(fused: DataFrame, keys: list[str], total_rows: int | None = None) -> DataFrame:
+    """The rows of ``fuse`` with ``position`` within their query, best mean rank first, ties by key; a hot query is numbered range by range."""
+    return row_numbers(fused, keys, ["mean_rank", "dedup_key"], "position", total_rows)
+
+
 def zip_shortest(*arrays: Column) -> Column:
     """Arrays zipped by position, as long as the shortest; null if any is null."""
     n = F.least(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])
@@ -81,6 +86,12 @@ def feed_search(entries: DataFrame, query: Column, title: str = "title", summary
     return hit.withColumn("score", score).drop("__tokens").filter("score > 0")
 
 
+def best_first(found: DataFrame, tie: str) -> DataFrame:
+    """Entries of ``feed_search`` with ``position``: most words first, ties by ``tie``."""
+    rows = found.withColumns({"__all": F.lit(0), "__less": -F.col("score")})
+    return row_numbers(rows, ["__all"], ["__less", tie], "position").drop("__all", "__less")
+
+
 def recent(df: DataFrame, ts: str, as_of: Column, days: int = 7) -> DataFrame:
     """Rows of the last ``days`` days before ``as_of``; a missing time counts as long ago."""
     return df.filter(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days)))

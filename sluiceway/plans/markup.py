@@ -145,8 +145,8 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     page = lambda n: F.concat(F.lit("https://site.example/p"), n.cast("string"))
-    far = F.concat(F.lit("https://far"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".example/x"))
-    return table(spark, d, "lineitem").select(page(F.col("l_partkey") % 600).alias("src_url"), F.when(F.col("l_suppkey") % 5 == 0, far).otherwise(page(F.col("l_suppkey") * 7 % 600)).alias("dst_url"))
+    far = F.concat(F.lit("https://far"), F.col("l_suppkey").cast("string"), F.lit(".example/x"))
+    return table(spark, d, "lineitem").select(page(F.col("l_partkey")).alias("src_url"), F.when(F.col("l_suppkey") % 5 == 0, far).otherwise(page(F.col("l_suppkey") * 7)).alias("dst_url"))
 
 
 def discovered_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +270,7 @@ s AS (SELECT page_id, title, len(lines) AS n_lines, strlen({_SQ.format('title')}
   len(title) - len(replace(title, ',', '')) AS hc, coalesce(list_sum(list_transform(lines, lambda x: len(x) - len(replace(x, ',', '')))), 0) AS c FROM p)"""
 _LATEST = "latest AS (SELECT * FROM (SELECT DISTINCT page_id, url, title, content FROM page_data) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"
 _TOK = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
-_EDGES = """e AS (SELECT 'https://site.example/p' || (l_partkey % 600) AS s, CASE WHEN l_suppkey % 5 = 0 THEN 'https://far' || (l_suppkey % 40) || '.example/x' ELSE 'https://site.example/p' || (l_suppkey * 7 % 600) END AS t FROM lineitem),
+_EDGES = """e AS (SELECT 'https://site.example/p' || l_partkey AS s, CASE WHEN l_suppkey % 5 = 0 THEN 'https://far' || l_suppkey || '.example/x' ELSE 'https://site.example/p' || (l_suppkey * 7) END AS t FROM lineitem),
 v AS (SELECT 'https://site.example/p1' AS url UNION SELECT t FROM e JOIN v ON s = url WHERE starts_with(url, 'https://site.example/') AND NOT starts_with(url, 'https://site.example/p3'))"""
 _T = r"regexp_replace(title, '^\s+|\s+$', '', 'g')"
 _R = "SELECT result_id, '{}' AS source, 1 AS rank, {} AS title, {} AS url, {} AS description, {} AS image FROM search_result WHERE {}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -123,6 +123,19 @@ def feed_search(spark: SparkSession, d: str) -> DataFrame:
     return search.feed_search(docs, F.lit(FEED_QUERY), "title", "text").select("doc_id", F.col("score").cast("bigint").alias("score"))
 
 
+def fused_order(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every fused page within its query."""
+    rows = _results(spark, d).withColumn("source_idx", F.col("source"))
+    return search.in_order(search.fuse(rows, ["query_id"]), ["query_id"]).select("query_id", "dedup_key", F.col("position").cast("bigint").alias("position"))
+
+
+def feed_order(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold words of the query, most words first."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "title", "text"))
+    found = search.feed_search(docs, F.lit(FEED_QUERY), "title", "text").select("doc_id", "score")
+    return search.best_first(found, "doc_id").select("doc_id", F.col("position").cast("bigint").alias("position"))
+
+
 def recent_results(spark: SparkSession, d: str) -> DataFrame:
     as_of = F.to_timestamp(F.lit(AS_OF))
     return search.recent(_results(spark, d).withColumn("fetched_at", F.col("fetched_at").cast("timestamp")), "fetched_at", as_of, 1).select("result_id")
@@ -152,15 +165,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("position").cast("bigint").alias("position"), "side", "source", "result_id", "title", "url")
 
 
-def _json_bodies(spark: SparkSession, d: str, body: Column) -> DataFrame:
-    return _results(spark, d).select(F.lit("x").alias("source"), F.col("result_id").cast("string").alias("query"), F.lit(200).alias("status"), "fetched_at", body.alias("body"))
-
-
 QUERIES = {
     "q_" + f.__name__: f
     for f in (
         url_hosts, dedup_keys, netlocs, pattern_hosts, field_hosts, text_urls, request_urls, source_counts, blocked_pages, unblocked_pages, allowed_domains, union_domains, seed_urls, relevant_results,
-        top_per_source, interleaved, rank_fusion, rank_fusion_adjusted, feed_search, recent_results, zip_shortest, rendered, squeezed,
+        top_per_source, interleaved, rank_fusion, rank_fusion_adjusted, fused_order, feed_search, feed_order, recent_results, zip_shortest, rendered, squeezed,
     )
 } | {"q_search": flagship}
 
@@ -199,6 +208,9 @@ ORACLE = {
     "q_rank_fusion_adjusted": f"WITH {_FUSE}, seen AS (SELECT dedup_key FROM k WHERE source = 'wibbly') SELECT query_id, dedup_key, round(avg(rank * 2.0 + 1), 6) AS mean_rank, count(*) AS n_ranks FROM k WHERE dedup_key NOT IN (SELECT dedup_key FROM seen) GROUP BY 1, 2",
     "q_feed_search": rf"""WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents),
 s AS (SELECT doc_id, len(list_filter(string_split(lower('{FEED_QUERY}'), ' '), lambda q: list_contains(w, q))) AS score FROM t) SELECT doc_id, score FROM s WHERE score > 0""",
+    "q_fused_order": f"WITH {_FUSE} SELECT query_id, dedup_key, row_number() OVER (PARTITION BY query_id ORDER BY avg(rank), dedup_key) AS position FROM k GROUP BY 1, 2",
+    "q_feed_order": rf"""WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents),
+s AS (SELECT doc_id, len(list_filter(string_split(lower('{FEED_QUERY}'), ' '), lambda q: list_contains(w, q))) AS score FROM t) SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS position FROM s WHERE score > 0""",
     "q_recent_results": f"SELECT result_id FROM search_result WHERE fetched_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY",
     "q_zip_shortest": """WITH a AS (SELECT result_id, string_split(title, ' ') AS t, string_split(description, ' ') AS d, sources AS s FROM search_result WHERE sources IS NOT NULL AND title IS NOT NULL AND description IS NOT NULL),
 n AS (SELECT *, unnest(range(0, least(len(t), len(d), len(s)))) AS pos FROM a) SELECT result_id, pos::INT AS pos, t[pos + 1] AS title_word, d[pos + 1] AS description_word, s[pos + 1] AS source FROM n""",

@@ -7,7 +7,6 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows below which a side may be broadcast without further thought.
@@ -48,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if configured:
@@ -56,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sluiceway-checkpoints"))
     return sc.getCheckpointDir()
 
@@ -64,8 +65,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the checkpoint folder once and read them from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep rows that several branches read; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
