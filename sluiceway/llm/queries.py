@@ -100,8 +100,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of frequent sequences of each length and site."""
-    return repeats.frequent_sequences(_pages(spark, sf_dir)).groupBy("site", "length").agg(F.count(F.lit(1)).alias("n_patterns"), F.max("n_urls").alias("most_urls"))
+    """Number of frequent sequences of each length over all sites, the sites that have them, and the most urls of one."""
+    found = repeats.frequent_sequences(_pages(spark, sf_dir))
+    return found.groupBy("length").agg(F.count(F.lit(1)).alias("n_patterns"), F.countDistinct("site").alias("n_sites"), F.max("n_urls").alias("most_urls")).withColumn("length", F.col("length").cast("bigint"))
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +282,12 @@ u AS (SELECT g, min(item_id) AS item_id FROM g GROUP BY g HAVING count(DISTINCT
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 h AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM d WHERE len(w) >= 10)
 SELECT DISTINCT doc_id, item_id FROM h JOIN u USING (g)""",
+    "p7_sequences": _P7
+    + """, o AS (SELECT page_id, url, site, list(key ORDER BY line_no) AS keys FROM k JOIN f USING (site, key) GROUP BY 1, 2, 3),
+i AS (SELECT *, unnest(range(1, len(keys) + 1)) AS a FROM o),
+r AS (SELECT url, site, a, unnest(range(a, len(keys) + 1)) AS b, keys FROM i),
+s AS (SELECT site, b - a + 1 AS length, array_to_string(keys[a:b], '|') AS pattern, count(DISTINCT url) AS n FROM r GROUP BY ALL HAVING count(DISTINCT url) >= 5)
+SELECT length, count(*) AS n_patterns, count(DISTINCT site) AS n_sites, max(n) AS most_urls FROM s GROUP BY length""",
     "p7_cleaned": _P7
     + """, g AS (SELECT DISTINCT page_id, line_no FROM k JOIN f USING (site, key)),
 a AS (SELECT page_id, list(line_no) AS gone FROM g GROUP BY 1),
