@@ -122,8 +122,10 @@ _W = B.WORD
 _SEP = re.compile(r"\s*[:›»>|/·•–—]\s+|\s-\s")
 #: Lowest bits of a key: of a shape with its first word open, of a frame with fewer than two fixed words, of a lead.
 SHAPE, WEAK, LEAD = 1, 2, 4
-#: Words beyond which a line is keyed as a whole, by its letters, without leads and sentences.
-KEY_WORDS = 40
+#: Most words of a trail or a headline that repeats the page's title.
+TRAIL_WORDS = 40
+#: Words to one sign of a blank, at most, where the signs alone tell that slots were left open.
+SIGN_WORDS = 20
 SLOT = "\u25a1"
 # The full English names of the months.
 _MONTHS = frozenset("january february march april may june july august september october november december".split())
@@ -157,22 +159,21 @@ def _key(mark: str, fixed: list[str], ws: list[str]) -> int:
     return hashed(mark + "=" + words) & ~7 | WEAK if words else 0
 
 
-def _units(s: str, host: str, kind: int, words: list[str]) -> tuple[tuple[tuple[int, bool], ...], int]:
-    """(key, whether it has filled slots) of the units of a squeezed line (its sentences, or the whole), and the key of its lead or shape (0: none)."""
+def _units(s: str, host: str, kind: int, words: list[str], line: str, marks: int) -> tuple[tuple[tuple[int, int], ...], int]:
+    """(key, ``FILLED_AT``, ``BLANK_AT`` or 0) of the units of a squeezed line (its sentences, or the whole), at any length, and the key of its lead or shape (0: none)."""
     if not words:
         return (), 0
-    if len(words) > KEY_WORDS:
-        letters = "".join(filter(str.isalpha, words))
-        return (((hashed("l" + letters) & ~7, False),) if letters else ()), 0
     seen = {}
     cased = not (s.isupper() or s.islower())
     several = kind in (B.PROSE, B.SHORT, B.ITEM) and (". " in s or "! " in s or "? " in s)
-    for x in _SENTENCE.split(s) if several else (s,):
+    parts = _SENTENCE.split(s) if several else (s,)
+    blank = _blank_parts(line, parts) if marks & BLANKS else ()
+    for i, x in enumerate(parts):
         ws = _W.findall(x)
         if ws:
             fixed, open_ = frame(ws, host, not (x.isupper() or x.islower()))
             if k := _key("s", fixed, ws):
-                seen[k] = open_
+                seen[k] = seen.get(k, 0) | (BLANK_AT if i in blank else FILLED_AT if open_ and not marks & OPEN else 0)
     units = tuple(seen.items())
     lead = 0
     if kind != B.PROSE or not B._END.search(s[-40:]):
@@ -181,7 +182,7 @@ def _units(s: str, host: str, kind: int, words: list[str]) -> tuple[tuple[tuple[
         m = _SEP.search(bare)
         if m and m.start() <= 40 and 1 <= len(_W.findall(bare[: m.start()])) <= 4:
             lead = hashed("L" + " ".join(_W.findall(bare[: m.start()].lower())) + m.group().strip()) & ~7 | LEAD
-        elif kind != B.PROSE and cased and bare[:1].isupper() and len(words) <= 20 and not (bulleted and s[0] in "-*•0123456789("):
+        elif kind != B.PROSE and cased and bare[:1].isupper() and not (bulleted and s[0] in "-*•0123456789("):
             ws = _W.findall(bare)
             fixed = frame(ws, host, True)[0]
             rest = fixed[1:] if fixed[:1] == [ws[0].lower()] else fixed
@@ -227,7 +228,7 @@ def _variables(line: str) -> int:
 
 def _open(line: str, kind: int) -> bool:
     """Whether a line left a variable's name in a slot."""
-    if kind in (B.LOG, B.JUNK) or (kind == B.CODE and len(line) >= 200):
+    if kind in (B.LOG, B.JUNK):
         return False
     if _variables(line):
         rest = VARIABLE.sub("", line)
@@ -250,6 +251,24 @@ def _blanks(line: str, s: str) -> int:
     return n if n and not _EXPLAINS.search(s) else 0
 
 
+def _dense_signs(line: str, k: int, n: int) -> bool:
+    """Whether two of a line's ``n`` signs or more stand close, in the line of ``k`` words or in one of its sentences: over a long text, odd ones add up to nothing."""
+    if n < 2 or n * SIGN_WORDS >= k:
+        return n >= 2
+    for x in _SENTENCE.split(line.strip()):
+        n = _blanks(x, " ".join(x.split()))
+        if n >= 2 and n * SIGN_WORDS >= len(x.split()):
+            return True
+    return False
+
+
+def _blank_parts(line: str, parts: list[str] | tuple[str, ...]) -> set[int]:
+    """Places of the sentences of a line with blanks that hold them; all where none does by itself."""
+    raw = _SENTENCE.split(line.strip()) if len(parts) > 1 else ()
+    own = {i for i, (x, y) in enumerate(zip(raw, parts, strict=True)) if _blanks(x, y)} if len(raw) == len(parts) else set()
+    return own or set(range(len(parts)))
+
+
 def line_facts(line: str, host: str) -> tuple:
     """``_line_facts``, kept for short lines, which a site's pages repeat."""
     return _kept_facts(line, host) if len(line) <= 250 else _line_facts(line, host)
@@ -279,14 +298,14 @@ def _line_facts(line: str, host: str) -> tuple:
             tags = n
     if _open(line, kind):
         marks |= OPEN
-    if k <= KEY_WORDS and kind in (B.PROSE, B.SHORT, B.ITEM):
+    if kind in (B.PROSE, B.SHORT, B.ITEM):
         if b := _blanks(line, s):
-            marks |= OPEN if b >= 2 else BLANKS
-        if k <= 25 and (k < 4 or stops * 2 < k) and not _FILLER_HINTS.isdisjoint(ws) and _FILLER_LINE.fullmatch(B._bare(s)):
+            marks |= OPEN if _dense_signs(line, k, b) else BLANKS
+        if (k < 4 or stops * 2 < k) and not _FILLER_HINTS.isdisjoint(ws) and _FILLER_LINE.fullmatch(B._bare(s)):
             marks |= FILLER
     if not _MESSAGE_HINTS.isdisjoint(ws) or "error" in low or "exception" in low:
         marks |= HINTED
-    units, lead = _units(s, host, kind, ws)
+    units, lead = _units(s, host, kind, ws, line, marks)
     return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead, ws
 
 
@@ -447,7 +466,7 @@ def page(host: str, title: str | None, facts: list, lines: list[str], full: bool
     bits = lorem = words = telling = 0
     before = ""
     for i, (_, f, line) in enumerate(shown):
-        if heading and f[3] <= KEY_WORDS and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and (len(line) <= len(heading) + 12 or any(h[-9:] in line.casefold() for h in heads)):
+        if heading and f[3] <= TRAIL_WORDS and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and (len(line) <= len(heading) + 12 or any(h[-9:] in line.casefold() for h in heads)):
             b = B.bare(line).casefold()
             if kinds[i] in (B.SHORT, B.ITEM) and len(b) > 8 and b in heading:
                 kinds[i] = B.PROSE  # a headline that is the page's title
@@ -481,9 +500,9 @@ def page(host: str, title: str | None, facts: list, lines: list[str], full: bool
             bits |= TITLE_DAILY
     keys, key_at = [], []
     for i, (_, f, _) in enumerate(shown):
-        for k, filled in f[8]:
+        for k, mark in f[8]:
             keys.append(k)
-            key_at.append(i + FILLED_AT * (filled and not marks[i] & (BLANKS | OPEN)) + BLANK_AT * bool(marks[i] & BLANKS))
+            key_at.append(i + mark)
         if f[9]:
             keys.append(f[9])
             key_at.append(i)

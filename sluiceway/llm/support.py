@@ -22,7 +22,7 @@ URLS = 5
 COMMON_SITES = 3
 #: Records that must fill a slot which another leaves blank.
 FILLED = 2
-#: Classes of a key on a page: supported, common to sites, common under differing titles, a slot that others fill.
+#: Classes of a key on a page: supported, common to sites, common under differing titles, a blank slot that others fill.
 SUPPORTED, COMMON, VARIED, ALIGNED = 1, 2, 4, 8
 
 
@@ -51,4 +51,5 @@ def key_classes(facts: DataFrame) -> DataFrame:
     spread_out = join_groups(per.select("key", "site", "n"), keys.select("key", "sites", classes.alias("class")), ["key"], "sites", total).select("key", "site", "n", "class")
     local = per.filter(F.col("urls") >= URLS).select("key", "site", "n", F.lit(SUPPORTED).alias("class"))
     met = join_groups(occ.select("page_id", "key", "site", "at"), spread_out.unionByName(local), ["key", "site"], "n", total)
+    met = met.withColumn("class", F.when(F.col("at").bitwiseAND(F.lit(P.BLANK_AT)) == 0, F.col("class").bitwiseAND(F.lit(~ALIGNED))).otherwise(F.col("class"))).filter("class > 0")
     return met.groupBy("page_id").agg(F.collect_set(F.struct(F.col("at").bitwiseAND(F.lit(P.BLANK_AT - 1)).alias("line"), "key", "class")).alias("hits"))

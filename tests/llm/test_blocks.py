@@ -214,3 +214,21 @@ def test_long_articles_about_messages_stay(line):
 def test_error_titles_count_over_texts_of_any_length():
     assert origin("404 Not Found", STORY) == templates.BY_WORDS and origin("Bridge | Page not found", STORY) == templates.BY_WORDS
     assert origin("Forbidden", STORY) == 0 and origin("The bridge", STORY) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 30, 300])
+def test_slots_and_sentences_count_in_lines_of_any_length(n):
+    story = "The old bridge of the town is closed, and nobody has said why it was so for a year. " * n
+    assert origin("The bridge", STORY + "\n" + story + "Hello , your appointment is on  at . " + story)
+    assert origin("The bridge", STORY + "\n" + "<li>lamp sofa</li> " * n + "<li>{{first_name}}</li>")
+    units = lambda s: dict(P.line_facts(s, "")[8])
+    letter = units(story + "Dear Anna, we wrote to you of Kelver. " + story)
+    assert letter.items() >= units("Dear Bob, we wrote to you of Fosmer.").items() and P.FILLED_AT in letter.values()
+    mixed = units(story + "Dear , we wrote to you. We saw Anna at the mill.")
+    assert sorted(mixed.values())[-2:] == [P.BLANK_AT, P.FILLED_AT]  # the sentence with the blank alone is blank
+    assert P.line_facts("Text " + "text " * (n + 30) + "text", "")[5] & P.FILLER
+
+
+def test_odd_signs_far_apart_leave_no_slot_open():
+    story = "The old bridge of the town is closed, and nobody has said why it was so for a year. " * 6
+    assert not origin("The bridge", STORY + "\nHe wrote null on the form. " + story + "She wrote undefined on it. " + story)

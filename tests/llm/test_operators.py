@@ -114,6 +114,17 @@ def test_slots_that_others_fill(spark):
     assert review.Review(spark.createDataFrame(rows + alone, PAGE)).residue().count() <= 1
 
 
+@pytest.mark.parametrize("n", [0, 2, 20])
+def test_slots_that_others_fill_in_lines_of_any_length(spark, n):
+    rows, _, _ = corpus(6, 3)
+    line = lambda name: f"{PROSE} " * n + f"Dear {name}, we wrote to you."
+    filled = [(2000 + k, f"http://a.test/{k}", f"Letter {k}", f"{PROSE}\n{line(x)}\n{PROSE}") for k, x in enumerate(["Anna", "Bob", "Carl"])]
+    open_ = [(2100, "http://a.test/9", "Letter", f"{PROSE}\n{line('')}\n{PROSE}"), (2101, "http://b.test/9", "Letter", f"{PROSE}\n{line('null')}\n{PROSE}")]
+    beside = [(2102, "http://b.test/8", "Note", f"{PROSE}\n{line('Eve')} He put null on the old form.\n{PROSE}")]  # its own slot is filled
+    got = {r["page_id"]: r["origin"] for r in review.Review(spark.createDataFrame(rows + filled + open_ + beside, PAGE)).residue_origins().collect()}
+    assert got == {2100: templates.BY_SLOT, 2101: templates.BY_SLOT}
+
+
 @pytest.mark.parametrize("chunk", [7, 700, 1 << 17])
 def test_statistics_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(1)
