@@ -1,10 +1,10 @@
-"""What of a page its repeated substrings cover: a suffix automaton over its words, a suffix array for huge ones."""
+"""What of a page its repeated substrings cover: a suffix automaton over its words, and a suffix array that tests hold against it."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words up to which the automaton is built; beyond it a suffix array gives the same cover in a fraction of the memory.
+#: Words from which on a page is huge; nothing changes there (a test sets it and compares).
 AUTOMATON_WORDS = 50_000
 
 
@@ -16,44 +16,15 @@ def repeat_cover(words: list, sizes: list[int]) -> tuple[int, int, int]:
 def repeat_marks(words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether each word lies in a maximal repeat, in one of two words or more, and in one that occurs three times.
 
-    For every position the longest stretch that ends (automaton) or begins (array) there and occurs
-    twice (or three times) or more is a maximal repeat on its other side, and is marked wholly; both
-    give the union of all repeats. No words give three empty arrays.
+    The automaton is built over all the words of a page of any size. For every position the longest
+    stretch that ends there and occurs twice (or three times) or more is a maximal repeat on its
+    other side, and is marked wholly; that gives the union of all repeats. No words give three empty arrays.
     """
-    n = len(words)
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    codes = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=n)
-    times = np.bincount(codes)[codes] if n else codes
-    # a word that lies in no repeated pair lies in no repeat but its own, and parts the stretches that may hold longer ones
-    twin = np.zeros(n + 1, dtype=bool)
-    if n > 1:
-        _, inverse, count = np.unique(codes[:-1] * n + codes[1:], return_inverse=True, return_counts=True)
-        twin[1:n] = count[inverse] > 1
-    inside = twin[:n] | twin[1:]
-    marks = times > 1, inside, times > 2
-    if 2 * inside.sum() < n or not n:  # few repeats: the repeated pairs cover what the repeats of two words or more do
-        return marks
-    stretch: list = []
-    place: list[int] = []
-    before = -1
-    for i in np.flatnonzero(inside).tolist():
-        if i != before + 1 or not twin[i]:
-            stretch.append((i,))  # a mark like no other
-            place.append(-1)
-        stretch.append(words[i])
-        place.append(i)
-        before = i
-    found = np.array(_array_marks(stretch) if len(stretch) > AUTOMATON_WORDS else _automaton_marks(stretch), dtype=bool)
-    at = np.array(place)
-    real = at >= 0
-    out = marks[0].copy(), np.zeros(n, dtype=bool), marks[2].copy()
-    for o, f in zip(out, found, strict=True):
-        o[at[real]] |= f[real]
-    return out
+    return tuple(np.array(marks, dtype=bool) for marks in _automaton_marks(words))
 
 
 def _automaton_marks(words: list) -> tuple[list[bool], list[bool], list[bool]]:
-    """``repeat_marks`` by the suffix automaton."""
+    """``repeat_marks`` as lists."""
     n = len(words)
     ends, reach, thrice = _automaton(words)
     out = ([False] * n, [False] * n, [False] * n)
@@ -119,7 +90,7 @@ def _automaton(words: list) -> tuple[list[int], list[int], list[int]]:
 
 
 def _array_marks(words: list) -> tuple[list[bool], list[bool], list[bool]]:
-    """``repeat_marks`` by a suffix array (prefix doubling) and its common prefixes."""
+    """``repeat_marks`` by a suffix array (prefix doubling) and its common prefixes: a check on the automaton, no query uses it."""
     n = len(words)
     number: dict = {}
     rank = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)

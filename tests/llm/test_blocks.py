@@ -232,3 +232,11 @@ def test_slots_and_sentences_count_in_lines_of_any_length(n):
 def test_odd_signs_far_apart_leave_no_slot_open():
     story = "The old bridge of the town is closed, and nobody has said why it was so for a year. " * 6
     assert not origin("The bridge", STORY + "\nHe wrote null on the form. " + story + "She wrote undefined on it. " + story)
+
+
+def test_the_automaton_is_built_over_all_words_of_every_page(monkeypatch):
+    real, built = automaton._automaton, []
+    monkeypatch.setattr(automaton, "_automaton", lambda words: (built.append(len(words)), real(words))[1])
+    pages = [["lamp", "sofa", "mill", "lamp", "tram"], ["red", "lamp"] * 9, [f"w{i}" for i in range(automaton.AUTOMATON_WORDS)] * 2]
+    assert [repeat_cover(x, [1] * len(x)) for x in pages] == [(2, 0, 0), (18, 18, 18), (100_000, 100_000, 0)]
+    assert built == [len(x) for x in pages]
