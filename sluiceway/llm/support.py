@@ -48,7 +48,9 @@ def key_classes(facts: DataFrame) -> DataFrame:
         flag((F.col("sites") >= least) & (F.col("all_urls") >= PER_SITE * F.col("sites")), SUPPORTED) + flag(F.col("sites") >= COMMON_SITES, COMMON)
         + flag((F.col("sites") >= COMMON_SITES) & (F.col("t1") != F.col("t2")), VARIED) + flag(aligned, ALIGNED)
     )
-    spread_out = join_groups(per.select("key", "site", "n"), keys.select("key", "sites", classes.alias("class")), ["key"], "sites", total).select("key", "site", "n", "class")
+    # both read the same columns of the counts, so that one shuffle serves both
+    spread_out = join_groups(per.select("key", "site", "n", "urls"), keys.select("key", "sites", classes.alias("class")), ["key"], "sites", total)
+    spread_out = spread_out.select("key", "site", "n", F.col("class").bitwiseOR(flag(F.col("urls") >= URLS, SUPPORTED)).alias("class"))
     local = per.filter(F.col("urls") >= URLS).select("key", "site", "n", F.lit(SUPPORTED).alias("class"))
     met = join_groups(occ.select("page_id", "key", "site", "at"), spread_out.unionByName(local), ["key", "site"], "n", total)
     met = met.withColumn("class", F.when(F.col("at").bitwiseAND(F.lit(P.BLANK_AT)) == 0, F.col("class").bitwiseAND(F.lit(~ALIGNED))).otherwise(F.col("class"))).filter("class > 0")

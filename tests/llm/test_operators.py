@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.llm import blocks, boilerplate, languages, leaks, mixing, quality, repeats, review, templates
+from sluiceway import session
+from sluiceway.llm import blocks, boilerplate, languages, leaks, mixing, quality, repeats, review, support, templates
 from sluiceway.llm import pages as P
 
 PAGE = "page_id bigint, url string, title string, content string"
@@ -125,6 +126,14 @@ def test_slots_that_others_fill_in_lines_of_any_length(spark, n):
     assert got == {2100: templates.BY_SLOT, 2101: templates.BY_SLOT}
 
 
+def test_counts_of_keys_are_shuffled_once_for_all_who_read_them_alike(spark):
+    rows, _, _ = corpus(1, 4, 6)
+    facts = session.cut(quality.read_pages(spark.createDataFrame(rows, PAGE), review._light_facts, f"site bigint, u bigint, {P.PAGE}"))
+    hits = support.key_classes(facts)
+    assert hits.count() and hits.collect()
+    assert "ReusedExchange" in hits._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("chunk", [7, 700, 1 << 17])
 def test_statistics_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(1)
