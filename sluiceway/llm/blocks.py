@@ -30,17 +30,27 @@ STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws.split())
 _BULLET = re.compile(r"^(?:[•»*▪‣◦·–—>-]+\s+|#+\s+|\(?\d{1,3}[.)]\s+)+")
 _TAIL = " .!…>»"
 _END = re.compile(r"[.!?…。][\"'”’»)\]]*(?:\s*(?:lol|:\)|!!+))?$")
+_STOPS, _CLOSERS = frozenset(".!?…。"), frozenset("\"'”’»)]lL")
 _LOG = re.compile(r"^\[?\(?(?:\d{4}[-/.]\d\d[-/.]\d\d|\d\d[-/.]\d\d(?:[-/.]\d{2,4})?)[ T,]+\d\d:\d\d|\brc=-?\d|\b0x[0-9a-f]{4,}\b|^(?:DEBUG|INFO|WARN|ERROR|FATAL|TRACE)\b|\b(?:GET|POST|HEAD) /\S* HTTP|^\s*at [\w.$]+\([\w.]+:\d+\)")
 _CODE = re.compile(
     r"[{};]\s*$|^\s*(?:var|let|const|def|class|import|from|return|function|public|private|static|#include|package|using|elif|else:|try:|except|while|for|if)\b.*[({:;=]|^\s*[\w.\[\]]+ ?(?:[-+*/]|:)?= ?[^=\s].*[\])'\";0-9]\s*$|^\s*[\w.]+\([^)]*\);?\s*$|=>|::|&&|</?\w+[^<>]*>|^\s*(?://|/\*|\*/|#!)|\bfunction\s*\("
 )
 _CELL = re.compile(r"^[-+(]?[$€£]?\d[\d.,:/]*\)?[%°a-zA-Z€$]{0,3}$|^(?:n/?a|-|–|—|\?|null|nan|yes|no|x|✓)$", re.I)
+# Cells without a figure.
+_WORD_CELLS = frozenset("n/a na - ? null nan yes no x".split())
+_LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPLIT = re.compile(r"\s*[|;\t]+\s*|\s{2,}")
 _MOJI = re.compile(r"[ÐÑÃÂâ][\x80-\xbf\u2018-\u203a€™šžŸ„…†‡ˆ‰Šƒ¡-¿ÃÑÐ]|\ufffd|ï¿½")
 _LONG = re.compile(r"\S{40,}")
 _SOUP = re.compile(r"[^\w\s.,'’“”\"!?-]")
 
 
+def ended(s: str) -> bool:
+    """Whether a stripped line ends as a sentence does. Most lines tell by their last character."""
+    last = s[-1:]
+    return last in _STOPS if last not in _CLOSERS else _END.search(s[-40:]) is not None
+
+
 def _bare(s: str) -> str:
     """A squeezed line without bullet and closing marks."""
     if not s[:1].isalpha():
@@ -74,27 +84,28 @@ def kind(line: str, parts: list[str] | None = None) -> tuple[int, int, int]:
     ws = s.lower().split() if parts is None else parts
     k = len(ws)
     stops = sum(map(STOP.__contains__, ws))
-    return _judge(s, len(s), k, stops / k), k, stops
+    return _judge(s, len(s), k, stops / k, ws), k, stops
 
 
-def _judge(s: str, n: int, k: int, share: float) -> int:
+def _judge(s: str, n: int, k: int, share: float, ws: list[str]) -> int:
     if share < 0.3:
-        letters = sum(map(str.isalpha, s))
-        bad = 0 if s.isascii() else len(_MOJI.findall(s))
+        plain = s.isascii()
+        letters = n - len(s.encode().translate(None, _LETTERS)) if plain else sum(map(str.isalpha, s))
+        bad = 0 if plain else len(_MOJI.findall(s))
         if bad * 25 > n and bad > 1:
             return JUNK
         if letters * 2 < n and len(_SOUP.findall(s)) * 3 > n:
             return JUNK
         figures = _DIGIT.search(s) is not None
-        if (figures or s[:4].isupper()) and _LOG.search(s):
+        if (figures or s[:4].isupper()) and (_LOG.search if "rc=" in s or "0x" in s or " /" in s else _LOG.match)(s):  # the others stand at the start
             return LOG
         if share < 0.25 and _CODE_MARK.search(s) and _CODE.search(s):
             return CODE
-        long = sum(map(len, _LONG.findall(s))) if n >= 40 else 0
+        long = sum(map(len, _LONG.findall(s))) if n >= 40 and max(map(len, ws)) >= 40 else 0
         if long * 2 > n and not s.startswith(("http://", "https://", "www.", "#")):
             return JUNK if " " not in s or long * 4 > n * 3 else ITEM
-        tokens = s.replace("|", " ").replace(";", " ").split()
-        num = sum(_CELL.match(t) is not None for t in tokens)
+        tokens = s.replace("|", " ").replace(";", " ").split() if not plain else s.lower().replace("|", " ").replace(";", " ").split() if "|" in s or ";" in s else ws
+        num = sum(map(_WORD_CELLS.__contains__, tokens)) if plain and not figures else len(tokens) - list(map(_CELL.match, tokens)).count(None)
         if num * 3 >= len(tokens) and num >= 2 and len(tokens) >= 3:
             return TABLE
         if letters * 3 < n and k >= 8:
@@ -102,10 +113,10 @@ def _judge(s: str, n: int, k: int, share: float) -> int:
         cells = _SPLIT.split(s) if "|" in s or ";" in s or "\t" in s or "  " in s else ()
         if len(cells) >= 3 and all(len(c) < 40 for c in cells) and not _END.search(s[-40:]):
             return TABLE
-    ended = _END.search(s[-40:]) is not None
-    if share >= 0.2 and (k >= 12 or ended):
+    end = ended(s)
+    if share >= 0.2 and (k >= 12 or end):
         return PROSE
-    if ended and k >= 25 and share >= 0.1:
+    if end and k >= 25 and share >= 0.1:
         return PROSE
     if n > 200 and share >= 0.15:
         return PROSE

@@ -35,7 +35,6 @@ _FIELD = re.compile(r"\b(?:(?:FIRST|LAST|FULL|USER|CUSTOMER|CLIENT|COMPANY|PRODU
 _MISSING = re.compile(r"\b(?:undefined|NaN|null)\b|\[object Object\]")
 # Words behind which a value belongs.
 _BLANK = re.compile(r"\b(?i:dear|hello|hi|on|at|to|by|for|from|in|of|is|hallo|am|um|von|bonjour|le|à|de|hola|el|en|por)(?: [,.!?;](?!\w)|(?P<gap>  +)[a-zß-ÿ.,])|\w [,.](?= |$)")
-_CAPITALS = re.compile("[A-Z]{4}")
 _GAP = re.compile(" {2,}")
 # Words of a sentence that explains a variable or a filler instead of leaving it unfilled.
 _EXPLAINS = re.compile(
@@ -64,10 +63,16 @@ LOREM = frozenset(
 )
 #: Words of it that no other language's text is full of.
 _LOREM_OWN = LOREM - B.STOP - frozenset("quam vel porta et est in ad ex ea eu do id non sit ut elit tempora minima dolor sint culpa magna nulla mauris".split())
-# What error pages and script notices say.
-_ERROR = re.compile(
-    r"\b(?:4\d\d|5\d\d)\b.{0,30}\b(?:error|not found|forbidden|unavailable|no such|gone|bad|timeout|request|unauthori[sz]ed)|\b(?:error|status|code|ray|reference|fehler|erreur|error n|incident|request id)\s?(?:code|no\.?|n°|#|:)?\s?[#:]?\s?[0-9a-f]*\d{2,}|"
-    r"\b(?:page|file|document|entry|address|link|site|article|story|content|resource|thing|post|url)\b.{0,60}\b(?:(?:is|was|are|could|can|does|has|may)(?: have)?(?: not|n't|not)? (?:be )?(?:found|here|exist|available|gone|missing|moved|broken|dead|removed|deleted|load)|no longer (?:available|exists?|here)|never existed|not found|cannot be)|"
+# What error pages and script notices say: codes, things that are gone, and others.
+_ERROR_CODE = re.compile(
+    r"\b(?:4\d\d|5\d\d)\b.{0,30}\b(?:error|not found|forbidden|unavailable|no such|gone|bad|timeout|request|unauthori[sz]ed)|\b(?:error|status|code|ray|reference|fehler|erreur|error n|incident|request id)\s?(?:code|no\.?|n°|#|:)?\s?[#:]?\s?[0-9a-f]*\d{2,}",
+    re.I,
+)
+_ERROR_GONE = re.compile(
+    r"\b(?:page|file|document|entry|address|link|site|article|story|content|resource|thing|post|url)\b.{0,60}\b(?:(?:is|was|are|could|can|does|has|may)(?: have)?(?: not|n't|not)? (?:be )?(?:found|here|exist|available|gone|missing|moved|broken|dead|removed|deleted|load)|no longer (?:available|exists?|here)|never existed|not found|cannot be)",
+    re.I,
+)
+_ERROR_OTHER = re.compile(
     r"\b(?:could not|couldn't|cannot|can't|unable to|failed to|were unable to)\b.{0,25}\b(?:find|load|connect|open|reach|display|process|complete|retrieve|access)\b|\bno such page\b|\b(?:page|file) not found\b|\bnot found\b|"
     r"\b(?:javascript|scripts?|scripting|client-side code|cookies)\b.{0,40}\b(?:enabled?|disabled|required|requires?|switched|turned|blocked|blocking|must|needed|on|off|run|allow)\b|\b(?:enable|allow|activate|turn on|requires?|needs?|blocking)\b.{0,20}\b(?:javascript|scripts|scripting|cookies)\b|"
     r"\b(?:activer|activez|aktivieren|schalten|einschalten|habilita|habilite|activa|active|attiva|ative|włącz|включите|aktivera|schakel)\b.{0,20}\bjavascript\b|\bjavascript\b.{0,40}\b(?:ein|an|inschakelen|aktiveras|activado)\b|"
@@ -79,6 +84,20 @@ _ERROR = re.compile(
     r"\bseite\b.{0,40}\b(?:nicht gefunden|existiert nicht|nicht mehr|verschoben)|\bnicht gefunden\b|\b(?:page|adresse|ressource)\b.{0,40}\b(?:introuvable|n'existe|déplacée|supprimée)|\bintrouvable\b|\b(?:página|dirección)\b.{0,60}\b(?:no encontrada|no existe)|\bno encontrad[ao]\b|\bpagina non trovata\b|\bpagina niet gevonden\b|\bsidan hittades inte\b|\bstrona nie (?:istnieje|została)\b|страниц[аы] не найден",
     re.I,
 )
+# In lower case, what each of these needs, so that most lines are not searched: a code one of these, a thing that is gone one of both, another message one of these.
+_CODE_HINTS = ("error", "not found", "forbidden", "unavailable", "no such", "gone", "bad", "timeout", "request", "unauthori", "status", "code", "ray", "reference", "fehler", "erreur", "incident")
+_THING_HINTS = ("page", "file", "document", "entry", "address", "link", "site", "article", "story", "content", "resource", "thing", "post", "url")
+_GONE_HINTS = ("found", "here", "exist", "available", "gone", "missing", "moved", "broken", "dead", "removed", "deleted", "load", "cannot be")
+_OTHER_HINTS = (
+    "could not", "couldn't", "cannot", "can't", "unable to", "failed to", "no such page", "not found", "script", "client-side code", "cookies", "suspended", "disabled", "switched off", "deactivated", "parked", "for sale",
+    "expired", "terminated", "under construction", "session", "requests", "connections", "attempts", "denied", "refused", "have permission", "have access", "have the right", "members only", "needs a", "not available in your",
+    "maintenance", "repairs", "upgrade", "will be back", "unavailable", "did not answer", "did not respond", "timed out", "try again", "try once more", "try later", "stack trace", "stacktrace", "fatal error", "database error",
+    "undefined", "memory size", "unexpected", "request failed", "request timed", "response failed", "response timed", "empty response", "exception", "index of /", "parent directory", "checking", "verifying", "prove", "verify",
+    "confirm", "just a moment", "unusual traffic", "captcha", "loading", "your browser", "went wrong", "thing broke", "things broke", "oops", "broken link", "start page", "startpage", "home page", "homepage", "seite",
+    "nicht gefunden", "introuvable", "n'existe", "déplacée", "supprimée", "no encontrad", "no existe", "pagina non trovata", "pagina niet gevonden", "sidan hittades inte", "strona nie", "страниц",
+)
+#: Characters that patterns without case take for others than their lower case.
+_ODD_CASE = frozenset("\u0130\u0131\u017f\u212a\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86\u1c87\u1c88")
 _ERROR_TITLE = re.compile(
     r"(?:(?:error|fehler|erreur|http) ?\d{3}\b.{0,30}|[45]\d\d\b ?[-:–]? ?(?:error|not found|no such page|forbidden|service unavailable|bad gateway|gateway time-?out|internal server error|unavailable|page not found|gone|access denied|.{0,3})|(?:page|file|site|document) not found.{0,3}|not found|access (?:denied|refused)|forbidden|account suspended|just a moment.{0,4}|loading.{0,4}|session expired|too many requests|members only|scheduled maintenance|under (?:maintenance|construction)|service unavailable|(?:fatal|database|server|internal server|application) error|warning|index of /.{0,60}|(?:this )?(?:name|domain|address|site)(?: name)? (?:is )?(?:for sale|parked)|bad gateway|attention required.{0,30}|are you a robot\??|security check|seite nicht gefunden|page introuvable|página no encontrada|pagina non trovata|page unavailable|enable javascript.{0,30}|javascript (?:is )?(?:required|disabled)|something went wrong|oops.{0,30}|site (?:off|un)line|coming soon)",
     re.I,
@@ -127,19 +146,21 @@ TRAIL_WORDS = 40
 #: Words to one sign of a blank, at most, where the signs alone tell that slots were left open.
 SIGN_WORDS = 20
 SLOT = "\u25a1"
+#: Characters before the mark behind a lead, at most.
+SEP_AT = 40
 # The full English names of the months.
 _MONTHS = frozenset("january february march april may june july august september october november december".split())
 _OPEN_WORDS = _MONTHS - {"may"} | {"null", "undefined", "nan"}
 
 
-def frame(ws: list[str], host: str, cased: bool) -> tuple[list[str], bool]:
+def frame(ws: list[str], host: str, cased: bool, plain: bool = False) -> tuple[list[str], bool]:
     """The fixed words of a text's words: those that aren't figures, inner capitalised words (where there is case to tell) or words of the site's name; and whether any is not.
 
-    Records of one template come out equal whatever fills their slots.
+    Records of one template come out equal whatever fills their slots. ``plain`` says that the words are ASCII, where small letters sort last.
     """
     first = ws[0].lower()
     if cased:
-        fixed = [w for w in ws[1:] if w[0].islower()]
+        fixed = [w for w in ws[1:] if w >= "a"] if plain else [w for w in ws[1:] if w[0].islower()]
         if first[0].isalpha() and not (len(first) > 4 and first in host):
             fixed.insert(0, first)
         if not _OPEN_WORDS.isdisjoint(fixed):
@@ -159,32 +180,31 @@ def _key(mark: str, fixed: list[str], ws: list[str]) -> int:
     return hashed(mark + "=" + words) & ~7 | WEAK if words else 0
 
 
-def _units(s: str, host: str, kind: int, words: list[str], line: str, marks: int) -> tuple[tuple[tuple[int, int], ...], int]:
-    """(key, ``FILLED_AT``, ``BLANK_AT`` or 0) of the units of a squeezed line (its sentences, or the whole), at any length, and the key of its lead or shape (0: none)."""
-    if not words:
-        return (), 0
+def _units(s: str, host: str, kind: int, parts: list[str], words: list[list[str]], line: str, marks: int, plain: bool) -> tuple[tuple[tuple[int, int], ...], int]:
+    """(key, ``FILLED_AT``, ``BLANK_AT`` or 0) of the units of a squeezed line (its ``parts``: sentences, or the whole), at any length, and the key of its lead or shape (0: none); ``words`` of each."""
     seen = {}
     cased = not (s.isupper() or s.islower())
-    several = kind in (B.PROSE, B.SHORT, B.ITEM) and (". " in s or "! " in s or "? " in s)
-    parts = _SENTENCE.split(s) if several else (s,)
     blank = _blank_parts(line, parts) if marks & BLANKS else ()
-    for i, x in enumerate(parts):
-        ws = _W.findall(x)
+    fixed: list[str] = []
+    for i, (x, ws) in enumerate(zip(parts, words, strict=True)):
         if ws:
-            fixed, open_ = frame(ws, host, not (x.isupper() or x.islower()))
+            fixed, open_ = frame(ws, host, cased if len(parts) == 1 else not (x.isupper() or x.islower()), plain)
             if k := _key("s", fixed, ws):
                 seen[k] = seen.get(k, 0) | (BLANK_AT if i in blank else FILLED_AT if open_ and not marks & OPEN else 0)
     units = tuple(seen.items())
     lead = 0
-    if kind != B.PROSE or not B._END.search(s[-40:]):
+    if kind != B.PROSE or not B.ended(s):
         bulleted = not s[0].isalpha() and B._BULLET.match(s)
         bare = B._BULLET.sub("", s) if bulleted else s
-        m = _SEP.search(bare)
-        if m and m.start() <= 40 and 1 <= len(_W.findall(bare[: m.start()])) <= 4:
+        m = _SEP.search(bare, 0, SEP_AT + 4)  # blanks are single here: a mark has three characters at most
+        if m and m.start() <= SEP_AT and 1 <= len(_W.findall(bare[: m.start()])) <= 4:
             lead = hashed("L" + " ".join(_W.findall(bare[: m.start()].lower())) + m.group().strip()) & ~7 | LEAD
         elif kind != B.PROSE and cased and bare[:1].isupper() and not (bulleted and s[0] in "-*•0123456789("):
-            ws = _W.findall(bare)
-            fixed = frame(ws, host, True)[0]
+            if bulleted or len(parts) > 1:
+                ws = _W.findall(bare) if bulleted else [w for ws in words for w in ws]
+                fixed = frame(ws, host, True, plain)[0]
+            else:
+                ws = words[0]  # the frame of the only part
             rest = fixed[1:] if fixed[:1] == [ws[0].lower()] else fixed
             if rest:
                 lead = hashed("F" + " ".join(rest)) & ~7 | SHAPE
@@ -241,7 +261,7 @@ def _blanks(line: str, s: str) -> int:
     n = 0
     if "undefined" in s or "NaN" in s or "null" in s or "[object" in s:
         n += len(_MISSING.findall(s))
-    if _CAPITALS.search(s) and not s.isupper():
+    if ("NAME" in s or "NUMBER" in s or "DATE" in s or "TITLE" in s or "ID" in s or "COMPANY" in s) and not s.isupper():
         n += len(_FIELD.findall(s))
     raw = line.strip()
     if " ," in raw or " ." in raw or " !" in raw or "  " in raw:
@@ -269,33 +289,55 @@ def _blank_parts(line: str, parts: list[str] | tuple[str, ...]) -> set[int]:
     return own or set(range(len(parts)))
 
 
-def line_facts(line: str, host: str) -> tuple:
+def line_facts(line: str, host: str, full: bool = True) -> tuple:
     """``_line_facts``, kept for short lines, which a site's pages repeat."""
-    return _kept_facts(line, host) if len(line) <= 250 else _line_facts(line, host)
+    return _kept_facts(line, host, full) if len(line) <= 250 else _line_facts(line, host, full)
 
 
 @lru_cache(maxsize=100_000)
-def _kept_facts(line: str, host: str) -> tuple:
-    return _line_facts(line, host)
+def _kept_facts(line: str, host: str, full: bool) -> tuple:
+    return _line_facts(line, host, full)
+
+
+#: Blanks for all ASCII characters that stand in no word; line breaks and apostrophes stay.
+_SPACED = bytes(c if chr(c).isalnum() or chr(c) in "\n'" else 32 for c in range(128)) + bytes(128)
+_EDGE = re.compile(r"(?:^|[\s'])'|'(?:\s|$)")
 
 
-def _line_facts(line: str, host: str) -> tuple:
-    """(kind, characters, bytes, words, function words, marks, tag and address characters, odd characters, unit keys, lead key, the words) of a line that isn't blank."""
+def _words(line: str, low: str, s: str, kind: int) -> tuple[list[str], list[list[str]], list[str]]:
+    """The sentences of a squeezed line (or the whole), the words of each, and all the line's words in lower case."""
+    if kind in (B.PROSE, B.SHORT, B.ITEM) and (". " in s or "! " in s or "? " in s):
+        s = s.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n")  # ``_SENTENCE`` where blanks are single
+    parts = s.split("\n")
+    if line.isascii():
+        spaced = s.encode().translate(_SPACED).decode()
+        if "'" not in spaced or not _EDGE.search(spaced):  # apostrophes stand inside words
+            return parts, [x.split() for x in spaced.split("\n")], spaced.lower().split()
+    return parts, [_W.findall(x) for x in parts], _W.findall(low)
+
+
+def _line_facts(line: str, host: str, full: bool = True) -> tuple:
+    """(kind, characters, bytes, words, function words, marks, tag and address characters, odd characters, unit keys, lead key, the words) of a line that isn't blank.
+
+    Unless ``full``, ``ITEMS`` isn't marked and tag, address and odd characters aren't counted: only problems 1, 2 and 5 ask for them.
+    """
     low = line.lower()
-    ws = _W.findall(low)
     kind, k, stops = B.kind(line, low.split())
-    s = " ".join(line.split())
+    s = line.strip() if "  " not in line and line.isprintable() else " ".join(line.split())
     n = len(s)
-    marks = ENDED if B._END.search(s[-40:]) else 0
-    odd = len(s.encode().translate(None, _PLAIN)) if s.isascii() else len(_NO_LETTER.findall(s))
-    if stops * 4 < k and n > 12 and len(_ITEMS.findall(s)) >= 3:
-        marks |= ITEMS
-    tags = 0
-    if stops * 4 < k or not stops:
-        if "#" in s:
-            tags = sum(len(x.strip()) for x in _HASH.findall(s))
-        if "." in s and _HOST.match(s):
-            tags = n
+    plain = line.isascii()
+    parts, words, ws = _words(line, low, s, kind)
+    marks = ENDED if B.ended(s) else 0
+    odd = tags = 0
+    if full:
+        odd = len(s.encode().translate(None, _PLAIN)) if s.isascii() else len(_NO_LETTER.findall(s))
+        if stops * 4 < k and n > 12 and len(_ITEMS.findall(s)) >= 3:
+            marks |= ITEMS
+        if stops * 4 < k or not stops:
+            if "#" in s:
+                tags = sum(len(x.strip()) for x in _HASH.findall(s))
+            if "." in s and _HOST.match(s):
+                tags = n
     if _open(line, kind):
         marks |= OPEN
     if kind in (B.PROSE, B.SHORT, B.ITEM):
@@ -305,8 +347,8 @@ def _line_facts(line: str, host: str) -> tuple:
             marks |= FILLER
     if not _MESSAGE_HINTS.isdisjoint(ws) or "error" in low or "exception" in low:
         marks |= HINTED
-    units, lead = _units(s, host, kind, ws, line, marks)
-    return kind, n, len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead, ws
+    units, lead = _units(s, host, kind, parts, words, line, marks, plain) if ws else ((), 0)
+    return kind, n, len(line) if plain else len(line.encode("utf-8", "surrogatepass")), k, stops, marks, tags, odd, units, lead, ws
 
 
 def _message(line: str, before: str) -> bool:
@@ -314,7 +356,7 @@ def _message(line: str, before: str) -> bool:
     if before.rstrip().endswith(":") or (before and _EXPLAINS.search(_SENTENCE.split(before.rstrip())[-1])):
         return False
     bare = B.bare(line)
-    if _ENGINE.search(line):
+    if (not line.isascii() or "on line " in line.lower()) and _ENGINE.search(line):
         return not _EXPLAINS.search(_ENGINE.sub(" ", line))
     if _MESSAGE_LINE.fullmatch(bare.rstrip(" .!")):
         return True
@@ -324,35 +366,35 @@ def _message(line: str, before: str) -> bool:
 # ------------------------------------------------------------------ states of chunks
 
 
-def partial(text: str, host: str = "") -> list:
+def partial(text: str, host: str = "", full: bool = True) -> list:
     """[facts of the closed lines (None: blank), first piece, last piece or None where the chunk holds no line break, lines as read]"""
     lines = text.split("\n")
     inner = lines[1:-1]
-    return [[line_facts(x, host) if x.strip() else None for x in inner], lines[0], lines[-1] if len(lines) > 1 else None, inner]
+    return [[line_facts(x, host, full) if x.strip() else None for x in inner], lines[0], lines[-1] if len(lines) > 1 else None, inner]
 
 
-def merge(a: list, b: list, host: str = "") -> list:
+def merge(a: list, b: list, host: str = "", full: bool = True) -> list:
     """The state of two adjacent chunks: the open pieces that meet make a line, read as a whole. Associative; ``partial("")`` is neutral."""
     if a[2] is None:
         return [b[0], a[1] + b[1], b[2], b[3]]
     met = a[2] + b[1]
     if b[2] is None:
         return [a[0], a[1], met, a[3]]
-    return [a[0] + [line_facts(met, host) if met.strip() else None] + b[0], a[1], b[2], a[3] + [met] + b[3]]
+    return [a[0] + [line_facts(met, host, full) if met.strip() else None] + b[0], a[1], b[2], a[3] + [met] + b[3]]
 
 
-def finish(state: list, host: str = "") -> tuple[list, list[str]]:
+def finish(state: list, host: str = "", full: bool = True) -> tuple[list, list[str]]:
     """(facts of all lines in order, the lines)"""
     closed, first, last, texts = state
-    one = lambda x: line_facts(x, host) if x.strip() else None
+    one = lambda x: line_facts(x, host, full) if x.strip() else None
     if last is None:
         return [one(first)], [first]
     return [one(first), *closed, one(last)], [first, *texts, last]
 
 
-def read(text: str, host: str = "") -> tuple[list, list[str]]:
-    """Facts of all lines of a text, and the lines."""
-    return finish(partial(text, host), host)
+def read(text: str, host: str = "", full: bool = True) -> tuple[list, list[str]]:
+    """Facts of all lines of a text, and the lines; ``full`` as in ``_line_facts``."""
+    return finish(partial(text, host, full), host, full)
 
 
 # ------------------------------------------------------------------ counts (problem 1)
@@ -444,7 +486,14 @@ def cover(facts: list) -> tuple[list[int], list[int], list[int]]:
 
 @lru_cache(maxsize=50_000)
 def _reads_as_error(line: str) -> bool:
-    return _ERROR.search(line) is not None
+    """Whether a line says what error pages and script notices say; searched only for what its words allow."""
+    has = line.lower().__contains__
+    odd = not line.isascii() and not _ODD_CASE.isdisjoint(line)
+    return (
+        (odd or any(map(has, _OTHER_HINTS))) and _ERROR_OTHER.search(line) is not None
+        or (odd or any(map(has, _GONE_HINTS)) and any(map(has, _THING_HINTS))) and _ERROR_GONE.search(line) is not None
+        or (odd or any(map(has, _CODE_HINTS)) and B._DIGIT.search(line) is not None) and _ERROR_CODE.search(line) is not None
+    )
 
 
 #: Columns that ``page`` gives: key of the title, bits of what shows by form, arrays over the lines that aren't blank, and the page's keys with their lines.
@@ -453,6 +502,9 @@ PAGE = (
     "solid array<int>, long array<int>, often array<int>, n_units array<int>, keys array<bigint>, key_at array<int>"
 )
 
+#: Those of them that only problems 1, 2 and 5 ask.
+FULL = ("numbers", "chars", "stops", "tags", "odd", "solid", "long", "often")
+
 
 def page(host: str, title: str | None, facts: list, lines: list[str], full: bool = True) -> tuple:
     """What the operators need of a page, a value for each column of ``PAGE``; what only problems 1, 2 and 5 ask stays empty unless ``full``."""
@@ -463,29 +515,31 @@ def page(host: str, title: str | None, facts: list, lines: list[str], full: bool
     heading = B.bare(title).casefold() if title else ""
     heads = [B.bare(x).casefold() for x in _TITLE_CUT.split(title.strip())] if heading else []
     total = sum(f[3] for _, f, _ in shown if f[0] in (B.PROSE, B.SHORT, B.ITEM))
+    short = total <= 2 * SHORT_PAGE
+    tails = [h[-9:] for h in heads]
     bits = lorem = words = telling = 0
     before = ""
-    for i, (_, f, line) in enumerate(shown):
-        if heading and f[3] <= TRAIL_WORDS and f[0] in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and (len(line) <= len(heading) + 12 or any(h[-9:] in line.casefold() for h in heads)):
+    for i, (_, (kind, _, _, k, stops, mark, _, _, _, _, ws), line) in enumerate(shown):
+        if heading and k <= TRAIL_WORDS and kind in (B.SHORT, B.ITEM, B.PROSE, B.TABLE) and (len(line) <= len(heading) + 12 or any(map(line.casefold().__contains__, tails))):
             b = B.bare(line).casefold()
             if kinds[i] in (B.SHORT, B.ITEM) and len(b) > 8 and b in heading:
                 kinds[i] = B.PROSE  # a headline that is the page's title
-            elif _SEP.search(b) and any(len(b) > len(h) > 8 and b.endswith(h) for h in heads):
+            elif any(len(b) > len(h) > 8 and b.endswith(h) for h in heads) and _SEP.search(b):
                 kinds[i] = B.BOILER  # a trail that ends in it
-        if f[0] == B.SHORT and kinds[i] == B.SHORT and f[4] and line.lstrip(" >\t")[:1].islower():
+        if kind == B.SHORT and kinds[i] == B.SHORT and stops and line.lstrip(" >\t")[:1].islower():
             kinds[i] = B.PROSE  # a sentence in passing, no heading
-        if f[5] & OPEN:
+        if mark & OPEN:
             bits |= VAR
-        if f[5] & HINTED and not bits & MESSAGE and _message(line, before):
+        if mark & HINTED and not bits & MESSAGE and _message(line, before):
             bits |= MESSAGE
         before = line
-        words += f[3]
-        if f[4] * 4 < f[3] and f[3] >= 3:
-            hit = sum(map(LOREM.__contains__, f[10]))
-            if hit * 3 >= f[3]:
-                lorem += f[3]
-                telling += sum(map(_LOREM_OWN.__contains__, f[10]))
-        if total <= 2 * SHORT_PAGE and f[0] in (B.PROSE, B.SHORT, B.ITEM) and _reads_as_error(line):
+        words += k
+        if stops * 4 < k and k >= 3:
+            hit = sum(map(LOREM.__contains__, ws))
+            if hit * 3 >= k:
+                lorem += k
+                telling += sum(map(_LOREM_OWN.__contains__, ws))
+        if short and kind in (B.PROSE, B.SHORT, B.ITEM) and _reads_as_error(line):
             marks[i] |= NOTICE
     if telling >= 2 and lorem * 3 >= words:
         bits |= LATIN

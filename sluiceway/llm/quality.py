@@ -37,36 +37,36 @@ def site_of(url: str | None) -> str | None:
     return (s[4:] if s.startswith("www.") else s) or None
 
 
-def read_pages(pages: DataFrame, result: Callable, schema: str, chunk: int | None = None) -> DataFrame:
+def read_pages(pages: DataFrame, result: Callable, schema: str, chunk: int | None = None, full: bool = True) -> DataFrame:
     """One row for each row of ``pages`` (``page_id, url, title, content``): ``page_id`` and ``result(url, title, facts, lines)``.
 
     Null content reads as empty. Rows without ``page_id`` are left out. Exact copies of a long text's
-    row are read once.
+    row are read once. ``full`` as in ``pages._line_facts``.
     """
     chunk = chunk or CHUNK
     schema = f"page_id bigint, {schema}"
     rows = pages.select(F.col("page_id").cast("bigint"), "url", "title", F.coalesce("content", F.lit("")).alias("content")).filter("page_id IS NOT NULL")
 
     def whole(i, url, title, content):
-        return ((i, *result(url, title, *P.read(content, site_of(url) or ""))),)
+        return ((i, *result(url, title, *P.read(content, site_of(url) or "", full))),)
 
     short = map_rows(rows.filter(F.length("content") <= chunk), whole, schema, scan=True)
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / chunk).cast("int")), lambda i: F.substring(F.col("content"), i * chunk + 1, F.lit(chunk)))
     pieces = rows.filter(F.length("content") > chunk).select("page_id", "url", "title", F.posexplode(cuts).alias("at", "t"))
     state_schema = "page_id bigint, url string, title string, at int, s binary"
-    state = map_rows(pieces, lambda i, url, title, at, t: ((i, url, title, at, pickle.dumps(P.partial(t, site_of(url) or ""), 5)),), state_schema)
+    state = map_rows(pieces, lambda i, url, title, at, t: ((i, url, title, at, pickle.dumps(P.partial(t, site_of(url) or "", full), 5)),), state_schema)
 
     def merged(key, frame):
         frame = frame.drop_duplicates("at").sort_values("at")
         host = site_of(frame["url"].iloc[0]) or ""
-        s = reduce(lambda a, b: P.merge(a, b, host), map(pickle.loads, frame["s"]))
+        s = reduce(lambda a, b: P.merge(a, b, host, full), map(pickle.loads, frame["s"]))
         return frame.iloc[:1].assign(at=int(key[1]), s=pickle.dumps(s, 5))
 
     for _ in range(LEVELS):
         state = state.groupBy("page_id", F.floor(F.col("at") / FAN_IN).cast("int").alias("g")).applyInPandas(merged, state_schema)
 
     def last(i, url, title, _, s):
-        return ((i, *result(url, title, *P.finish(pickle.loads(s), site_of(url) or ""))),)
+        return ((i, *result(url, title, *P.finish(pickle.loads(s), site_of(url) or "", full))),)
 
     return short.unionByName(map_rows(state, last, schema))
 

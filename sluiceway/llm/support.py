@@ -39,6 +39,8 @@ def key_classes(facts: DataFrame) -> DataFrame:
     seen = F.bit_or(F.expr("shiftleft(1L, cast(pmod(u, 64) AS int))"))
     has = lambda mark: F.sum((F.col("at").bitwiseAND(F.lit(mark)) != 0).cast("int"))
     per = occ.groupBy("key", "site").agg(F.bit_count(seen).alias("urls"), F.count(F.lit(1)).alias("n"), F.min("title").alias("t1"), F.max("title").alias("t2"), has(P.FILLED_AT).alias("filled"), has(P.BLANK_AT).alias("blank"))
+    # always true; it names every column, so that all three reads plan the same exchange and the counts are shuffled once
+    per = per.filter(F.coalesce(F.col("t1") <= F.col("t2"), F.lit(True)) & (F.col("filled") <= F.col("n")) & (F.col("blank") <= F.col("n")) & (F.col("urls") <= F.col("n")))
     keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("sites"), F.sum("urls").alias("all_urls"), F.min("t1").alias("t1"), F.max("t2").alias("t2"), F.sum("filled").alias("filled"), F.sum("blank").alias("blank"))
     aligned = (F.col("blank") > 0) & (F.col("filled") >= FILLED)
     keys = keys.filter((F.col("sites") >= COMMON_SITES) | aligned)
@@ -48,10 +50,13 @@ def key_classes(facts: DataFrame) -> DataFrame:
         flag((F.col("sites") >= least) & (F.col("all_urls") >= PER_SITE * F.col("sites")), SUPPORTED) + flag(F.col("sites") >= COMMON_SITES, COMMON)
         + flag((F.col("sites") >= COMMON_SITES) & (F.col("t1") != F.col("t2")), VARIED) + flag(aligned, ALIGNED)
     )
-    # both read the same columns of the counts, so that one shuffle serves both
-    spread_out = join_groups(per.select("key", "site", "n", "urls"), keys.select("key", "sites", classes.alias("class")), ["key"], "sites", total)
+    # in both joins the groups have one row a key (and site), laid out evenly: they are hashed, and the many rows need no sort
+    spread_out = join_groups(per.select("key", "site", "n", "urls"), keys.select("key", "sites", classes.alias("class")).hint("shuffle_hash"), ["key"], "sites", total)
     spread_out = spread_out.select("key", "site", "n", F.col("class").bitwiseOR(flag(F.col("urls") >= URLS, SUPPORTED)).alias("class"))
     local = per.filter(F.col("urls") >= URLS).select("key", "site", "n", F.lit(SUPPORTED).alias("class"))
-    met = join_groups(occ.select("page_id", "key", "site", "at"), spread_out.unionByName(local), ["key", "site"], "n", total)
+    met = join_groups(occ.select("page_id", "key", "site", "at"), spread_out.unionByName(local).hint("shuffle_hash"), ["key", "site"], "n", total)
     met = met.withColumn("class", F.when(F.col("at").bitwiseAND(F.lit(P.BLANK_AT)) == 0, F.col("class").bitwiseAND(F.lit(~ALIGNED))).otherwise(F.col("class"))).filter("class > 0")
-    return met.groupBy("page_id").agg(F.collect_set(F.struct(F.col("at").bitwiseAND(F.lit(P.BLANK_AT - 1)).alias("line"), "key", "class")).alias("hits"))
+    # hits are moved as plain rows; only where a page's all are, they become an array
+    met = met.select("page_id", F.col("at").bitwiseAND(F.lit(P.BLANK_AT - 1)).alias("line"), "key", "class").repartition("page_id")
+    met = met.groupBy("page_id", "line", "key").agg(F.bit_or("class").alias("class"))
+    return met.groupBy("page_id").agg(F.collect_list(F.struct("line", "key", "class")).alias("hits"))

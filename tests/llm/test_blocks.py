@@ -240,3 +240,32 @@ def test_the_automaton_is_built_over_all_words_of_every_page(monkeypatch):
     pages = [["lamp", "sofa", "mill", "lamp", "tram"], ["red", "lamp"] * 9, [f"w{i}" for i in range(automaton.AUTOMATON_WORDS)] * 2]
     assert [repeat_cover(x, [1] * len(x)) for x in pages] == [(2, 0, 0), (18, 18, 18), (100_000, 100_000, 0)]
     assert built == [len(x) for x in pages]
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Error 404", "404 - the thing is gone", "Status code: 5001", "The page you asked for could not be found", "This file no longer exists", "We were unable to load it", "No such page", "Not found", "Cookies must be enabled",
+        "Please enable JavaScript", "Bitte schalten Sie JavaScript ein", "This account has been suspended", "Your session has expired", "Too many requests", "Access denied", "You do not have permission", "Members only", "This needs an account",
+        "Not available in your country", "Down for maintenance", "Undergoing an upgrade", "It will be back soon", "Service temporarily unavailable", "It did not respond", "The call timed out", "Try once more", "Stack trace", "Fatal error",
+        "Undefined index", "Memory size", "Unexpected token", "The request failed", "Empty response", "Exception thrown in it", "Index of /", "Parent directory", "Checking your browser", "Prove that you are human", "Just a moment",
+        "Unusual traffic", "Captcha", "Loading...", "Your browser is too old", "Something broke", "Oops", "Broken link", "Go to the start page", "Home page", "Die Seite existiert nicht", "Nicht gefunden", "La page a été DÉPLACÉE", "Introuvable",
+        "La página no existe", "Pagina non trovata", "Pagina niet gevonden", "Sidan hittades inte", "Strona nie istnieje", "Страница не найдена", "Try again at the \u212aiosk", "Thi\u017f \u017fite i\u017f parked", "A walk by the river", "",
+    ],
+)
+def test_hints_leave_out_no_error_message(line):
+    for x in (line, line.upper(), f"It said: {line} \u00e9", line.replace("s", "\u017f").replace("k", "\u212a")):
+        assert P._reads_as_error(x) == any(p.search(x) is not None for p in (P._ERROR_CODE, P._ERROR_GONE, P._ERROR_OTHER))
+    assert P._reads_as_error(line) == (line not in ("A walk by the river", ""))
+
+
+def test_reading_for_residue_leaves_out_only_what_others_ask():
+    rng = random.Random(4)
+    odd = ["don't", "'tis", "dogs'", "a''b", "snake_case", "x|y;z", "#tag", "404", "\u00e9t\u00e9", "\u0130zmir", "Anna", "null", ",", ".", "1\u00a0000", "https://a.test/b", "{name}", "it.", "So?", "Yes!"]
+    for _ in range(3000):
+        line = rng.choice([" ", "  ", "\t"]).join(rng.choice(odd + BODY[1].split()) for _ in range(rng.randrange(1, 30)))
+        light, full = P.line_facts(line, "a.test", False), P.line_facts(line, "a.test")
+        assert light[:5] == full[:5] and light[5] == full[5] & ~P.ITEMS and light[6:8] == (0, 0) and light[8:] == full[8:]
+        assert full[10] == P._W.findall(line.lower())
+        parts, words, _ = P._words(line, line.lower(), " ".join(line.split()), full[0])
+        assert words == [P._W.findall(x) for x in parts] and len(parts) in (1, len(P._SENTENCE.split(" ".join(line.split()))))

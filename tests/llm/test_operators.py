@@ -134,6 +134,30 @@ def test_counts_of_keys_are_shuffled_once_for_all_who_read_them_alike(spark):
     assert "ReusedExchange" in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counts_of_keys_are_shuffled_once_and_hits_are_moved_as_rows(spark):
+    rows, _, _ = corpus(1, 4, 6)
+    facts = session.cut(quality.read_pages(spark.createDataFrame(rows + rows[:5], PAGE), review._light_facts, f"site bigint, u bigint, {P.PAGE}"))
+    hits = support.key_classes(facts)
+    got = [[(h["line"], h["key"]) for h in r["hits"]] for r in hits.collect()]
+    assert got and all(len(x) == len(set(x)) for x in got)  # once each, copies of a page included
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 2 and "partial_collect_set" not in plan
+
+
+def test_residue_keeps_no_columns_that_only_others_ask(spark):
+    rows, _, _ = corpus(1, 3, 4)
+    kept = []
+    real = session.cut
+    try:
+        review.cut = lambda df: kept.append(df.columns) or real(df)
+        light = {r[0] for r in review.Review(spark.createDataFrame(rows, PAGE)).residue().collect()}
+        frames = spark.createDataFrame([], "page_id bigint, frame_no int, char_count int, link_char_count int")
+        assert light == {r[0] for r in review.Review(spark.createDataFrame(rows, PAGE), frames).residue().collect()}
+    finally:
+        review.cut = real
+    assert not set(P.FULL) & set(kept[0]) and set(P.FULL) <= set(kept[2])
+
+
 @pytest.mark.parametrize("chunk", [7, 700, 1 << 17])
 def test_statistics_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(1)
